@@ -10,8 +10,7 @@ and d(y,p) - d(y,q) add up to at most 2 d(x,y), so the smaller is at most d(x,y)
 loses a pair only if both excesses are above the relaxed bound.
 
 Trees. In a shard a vantage-point tree holds the vectors; a visiting vector skips the inside (outside) of a node's ball where
-its distance to the vantage point is more than its reach / factor outside (inside) the radius. The reach shrinks to the k-th
-best found so far. Factor 1 gives the exact result, up to the rounding of components to 16 bits (about 1e-5 in the cosine).
+its distance to the vantage point is more than its reach / factor outside (inside) the radius. Factor 1 gives the exact result, up to the rounding of components to 16 bits (about 1e-5 in the cosine).
 
 Scale. A shard with more than ``shard_rows`` vectors or visitors is a grid of tasks, each with a part of either, so no task
 grows with the data. Equal vectors form a class, of which the k + 1 lowest ids are indexed (any other has the same neighbours:
@@ -79,8 +78,8 @@ class VantageTree:
         self.nodes[at] = (rows,)
         return at
 
-    def leaves(self, queries: np.ndarray, reach, factor: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(leaf rows, query numbers that reach the leaf). ``reach()`` gives each query's reach at that moment."""
+    def leaves(self, queries: np.ndarray, reach: np.ndarray, factor: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(leaf rows, query numbers that reach the leaf)."""
         stack = [(0, np.arange(len(queries)))]
         while stack:
             node, who = stack.pop()
@@ -92,7 +91,7 @@ class VantageTree:
                 continue
             point, radius, inner, outer = here
             gap = chord(queries[who] @ self.units[point]) - radius
-            slack = reach()[who] / factor
+            slack = reach[who] / factor
             near_in, near_out = gap <= slack, gap >= -slack
             stack.append((outer, who[near_out]))
             stack.append((inner, who[near_in]))
@@ -115,9 +114,8 @@ def search_shard(ids: np.ndarray, units: np.ndarray, visitors: np.ndarray, seeki
     tree = VantageTree(units)
     start = float(chord(np.array(min_cosine)))
     reach = np.full(len(visitors), start, dtype=np.float32)
-    best = np.full((len(visitors), k), -2, dtype=np.float32)
     owners, rows, cosines = [], [], []
-    for leaf, who in tree.leaves(seeking, lambda: reach, factor):
+    for leaf, who in tree.leaves(seeking, reach, factor):
         for part in np.array_split(who, -(-len(who) // 4096)):
             sims = seeking[part] @ units[leaf].T
             q, x = np.nonzero(sims >= np.float32(min_cosine - 2e-5))
@@ -240,7 +238,7 @@ def nearest_vectors(
 
     # Members of a class beyond the indexed ones. Counting classes moves one hash a row; most data have none so large.
     large = one.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > k + 1)
-    if sum(counts.values()) > total - 1 and _has_large_class(packed, k):
+    if _has_large_class(packed, k):
         few = ranked.join(large.select("v"), "v", "left_semi").groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("lowest"))
         rest = one.join(few, "v").where(~F.array_contains("lowest", F.col("id")))
         found = found.unionByName(rest.select("id", F.explode(F.slice("lowest", 1, k)).alias("neighbour"), F.lit(1.0).alias("cosine")))
