@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querypond.llm import knn, leakage, segmenting
+from querypond.llm import chosen_path, knn, leakage, segmenting
 from querypond.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,15 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return knn.neighbour_pairs(knn.nearest_vectors(table(spark, d, "semantic_cache"), newest="hit_count"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return chosen_path.linked_pairs(*chosen_path.near_duplicates(table(spark, d, "search_results")))
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One row a result: its class of equal token sets and the number of results in other classes that it is linked to."""
+    return chosen_path.link_counts(*chosen_path.near_duplicates(table(spark, d, "search_results")))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
