@@ -3,8 +3,8 @@
 A record's set T holds the distinct tokens (maximal runs of a-z and 0-9, lower case) of its text columns. Two records are
 linked when both sets have at least ``min_tokens`` tokens and their Jaccard similarity is at least ``threshold``.
 
-Paths. Sets are split recursively on sampled shared tokens. At each node of the path tree a token is chosen by a hash of the
-path and the token that both sets share, with a probability in proportion to a power of its information -log(df / N): rare
+Paths. Sets are split recursively on sampled shared tokens. At the root of the path tree ``width`` tokens are chosen, at each
+further node ``spread``, by hashes of the path and the token that all sets share (consistent weighted sampling), in proportion to a power of its information -log(df / N): rare
 tokens split well, frequent ones hardly do, and a token of one set only, which can't be shared, is never chosen. A path ends when a chance meeting of ``bucket`` records is all that is expected in its bucket,
 N times the product of its tokens' frequencies, or at ``max_depth``. Sets that reach one bucket are compared there by
 brute force: 64-bit sketches of one-bit minima first, then, once for each pair, the sets themselves. Runs with fresh
@@ -50,32 +50,39 @@ def token_set(columns: list[Column]) -> Column:
     return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.hash(w))))
 
 
-def runs_for(recall: float, threshold: float, width: float, spread: float) -> int:
-    """Runs after which a pair at the threshold has met with the wanted probability. ``width`` tokens are chosen at the root
-    and ``spread`` at deeper nodes; a shared token is chosen by both sets with the share of the larger set's weight."""
-    shared = 2 * threshold / (1 + threshold) * (1 + threshold) / 2  # weight of the intersection over the larger set, sets of one size
-    miss = math.exp(-width * shared * (1 - math.exp(-spread * shared)))
+def runs_for(recall: float, threshold: float, width: int, spread: int) -> int:
+    """Runs after which a pair at the threshold has met with the wanted probability. With sets of one size a sampled token is
+    shared with a probability of about the threshold; a path of two tokens must be shared throughout."""
+    meets = threshold * (1 - (1 - threshold) ** spread)
+    miss = (1 - meets) ** width
     return max(1, math.ceil(math.log(1 - recall) / math.log(miss)))
 
 
 class Paths:
     """Bucket keys and sketches of many sets at once."""
 
-    def __init__(self, frequency: np.ndarray, total: int, *, runs: int, width: float, spread: float, bucket: float, max_depth: int, power: float = 1.0, seed: int = 5):
+    def __init__(self, frequency: np.ndarray, total: int, *, runs: int, width: int, spread: int, bucket: float, max_depth: int, power: float = 1.0, seed: int = 5):
         self.share = np.clip(frequency / max(1, total), 1.0 / max(2, total), 1.0)
         # A token of a single set can't be shared: it is never chosen.
         self.weight = np.where(frequency > 1, (-np.log(self.share * 0.999)) ** power, 0.0)
         self.total, self.runs, self.width, self.spread, self.bucket, self.max_depth, self.seed = total, runs, width, spread, bucket, max_depth, seed
 
-    def keys(self, tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(record number, key) of all buckets of all runs; equal pairs once."""
+    def keys(self, tokens: np.ndarray, lengths: np.ndarray, chunk: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+        """(record number, key) of all buckets of all runs, some thousand records at a time."""
+        bounds = np.r_[0, np.cumsum(lengths)]
+        parts = []
+        for first in range(0, len(lengths), chunk):
+            last = min(len(lengths), first + chunk)
+            record, key = self._keys(tokens[bounds[first] : bounds[last]], lengths[first:last])
+            parts.append((record + first, key))
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    def _keys(self, tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(lengths)
         start = np.cumsum(lengths) - lengths
         slot = tokens.view(np.uint32).astype(np.int64) & (COUNTERS - 1)
         weight, share = self.weight[slot], self.share[slot]
         t64 = mix(tokens.view(np.uint32).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-        record = np.repeat(np.arange(n), lengths)
-        whole = np.bincount(record, weight, n)
         out_record, out_key = [], []
         for run in range(self.runs):
             rec = np.arange(n)
@@ -84,23 +91,36 @@ class Paths:
             used = np.zeros((n, 0), dtype=np.int64)
             for depth in range(self.max_depth):
                 count = lengths[rec]
-                at = np.repeat(start[rec] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-                node = np.repeat(np.arange(len(rec)), count)
-                child = mix(path[node] ^ t64[at])
-                chance = (self.width if depth == 0 else self.spread) * weight[at] / np.maximum(whole[rec[node]], 1e-9)
-                chosen = (child >> np.uint64(11)).astype(np.float64) < chance * float(1 << 53)
-                node, at, child = node[chosen], at[chosen], child[chosen]
-                fresh = (used[node] != at[:, None]).all(axis=1)  # no token twice in a path
-                node, at, child = node[fresh], at[fresh], child[fresh]
-                rec, path, expected, used = rec[node], child, expected[node] * share[at], np.c_[used[node], at]
+                first = np.cumsum(count) - count
+                at = np.repeat(start[rec] - first, count) + np.arange(int(count.sum()))
+                child = mix(np.repeat(path, count) ^ t64[at])
+                # consistent weighted sampling: the smallest exponential variates, the same in all sets that hold the token
+                u = ((child >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+                with np.errstate(divide="ignore"):
+                    draw = -np.log(u) / weight[at]
+                for j in range(depth):  # no token twice in a path
+                    draw[first + used[:, j] - start[rec]] = np.inf
+                chosen = []
+                for _ in range(self.width if depth == 0 else self.spread):
+                    least = np.minimum.reduceat(draw, first)
+                    hit = np.flatnonzero((draw == np.repeat(least, count)) & np.isfinite(draw))
+                    chosen.append(hit)
+                    draw[hit] = np.inf
+                hit = np.concatenate(chosen)
+                node = np.searchsorted(first, hit, side="right") - 1
+                token = at[hit]
+                # a set with no further token to share ends where it is
+                stuck = np.setdiff1d(np.arange(len(rec)), node) if depth else np.zeros(0, dtype=np.int64)
+                out_record.append(rec[stuck])
+                out_key.append(path[stuck])
+                rec, path, expected, used = rec[node], child[hit], expected[node] * share[token], np.c_[used[node], token]
                 done = (expected <= self.bucket) | (depth == self.max_depth - 1)
                 out_record.append(rec[done])
                 out_key.append(path[done])
                 rec, path, expected, used = rec[~done], path[~done], expected[~done], used[~done]
                 if not len(rec):
                     break
-        record, key = np.concatenate(out_record), np.concatenate(out_key)
-        return record, key
+        return np.concatenate(out_record), np.concatenate(out_key)
 
     @staticmethod
     def sketches(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -109,7 +129,7 @@ class Paths:
         t64 = tokens.view(np.uint32).astype(np.uint64)
         out = np.zeros(len(lengths), dtype=np.uint64)
         for bit in range(64):
-            least = np.minimum.reduceat(mix(t64 + np.uint64(bit + 1) * np.uint64(0x9E3779B97F4A7C15)), start)
+            least = np.minimum.reduceat(mix(t64 + np.uint64((bit + 1) * 0x9E3779B97F4A7C15 % (1 << 64))), start)
             out |= ((least >> np.uint64(7)) & np.uint64(1)) << np.uint64(bit)
         return out
 
@@ -163,9 +183,9 @@ def similar_classes(
     sets: DataFrame,
     *,
     threshold: float = 0.7,
-    recall: float = 0.95,
-    width: float = 9.0,
-    spread: float = 1.0,
+    recall: float = 0.98,
+    width: int = 8,
+    spread: int = 1,
     bucket: float = 64.0,
     power: float = 1.5,
     max_depth: int = 6,
