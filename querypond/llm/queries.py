@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querypond.llm import chosen_path, knn, leakage, segmenting
+from querypond.llm import chosen_path, knn, leakage, segmenting, truncation
 from querypond.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,20 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return chosen_path.link_counts(*chosen_path.near_duplicates(table(spark, d, "search_results")))
 
 
+def _possibly_cut(spark: SparkSession, d: str) -> DataFrame:
+    snippets = truncation.texts_of(table(spark, d, "search_results"), src="search_results", id_col="result_id", text="snippet", source="provider", at="ingested_at")
+    articles = truncation.texts_of(table(spark, d, "gnews_articles"), src="gnews_articles", id_col="article_id", text="content_text", source="source_id", at="fetched_at")
+    return snippets.unionByName(articles)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.cut_texts(_possibly_cut(spark, d)).where("cut").select("src", F.col("id").alias("record_id"))
+
+
+def p6_shares(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.cut_shares(truncation.cut_texts(_possibly_cut(spark, d)))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
