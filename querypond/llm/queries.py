@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querypond.llm import chosen_path, knn, leakage, segmenting, truncation
+from querypond.llm import chosen_path, knn, leakage, mixing, segmenting, truncation
 from querypond.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,14 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     pieces = segmenting.split_documents(table(spark, d, "documents"), with_text=False)
     return pieces.where("piece_no = 0").select("doc_id")
