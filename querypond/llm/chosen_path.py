@@ -7,7 +7,7 @@ Paths. Sets are split recursively on sampled shared tokens. At the root of the p
 further node ``spread``, by hashes of the path and the token that all sets share (consistent weighted sampling), in proportion to a power of its information -log(df / N): rare
 tokens split well, frequent ones hardly do, and a token of one set only, which can't be shared, is never chosen. A path ends when a chance meeting of ``bucket`` records is all that is expected in its bucket,
 N times the product of its tokens' frequencies, or at ``max_depth``. Sets that reach one bucket are compared there by
-brute force: 64-bit sketches of one-bit minima first, then, once for each pair, the sets themselves. Runs with fresh
+brute force: 128-bit sketches of one-bit minima first, then, once for each pair, the sets themselves. Runs with fresh
 hashes repeat until ``recall`` of the pairs right at the threshold are expected to meet; more similar ones meet more often.
 
 Scale. Token frequencies are kept in a fixed number of hashed counters, so what is broadcast doesn't grow. Records with
@@ -30,7 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from querypond.runtime import cut
+
 COUNTERS = 1 << 16
+SKETCH_BITS = 128
 MIX1, MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 #: Rows up to which a side is broadcast; above, the join is shuffled.
 BROADCAST_ROWS = 200_000
@@ -124,20 +127,20 @@ class Paths:
 
     @staticmethod
     def sketches(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """64 one-bit minwise values of each (non-empty) set."""
+        """SKETCH_BITS one-bit minwise values of each (non-empty) set, 64 a column."""
         start = np.cumsum(lengths) - lengths
         t64 = tokens.view(np.uint32).astype(np.uint64)
-        out = np.zeros(len(lengths), dtype=np.uint64)
-        for bit in range(64):
+        out = np.zeros((SKETCH_BITS // 64, len(lengths)), dtype=np.uint64)
+        for bit in range(SKETCH_BITS):
             least = np.minimum.reduceat(mix(t64 + np.uint64((bit + 1) * 0x9E3779B97F4A7C15 % (1 << 64))), start)
-            out |= ((least >> np.uint64(7)) & np.uint64(1)) << np.uint64(bit)
+            out[bit // 64] |= ((least >> np.uint64(7)) & np.uint64(1)) << np.uint64(bit % 64)
         return out
 
 
 def sketch_bound(threshold: float, deviations: float = 3.4) -> int:
     """Differing bits above which a pair isn't compared further: the mean at the threshold plus some standard deviations."""
     p = (1 - threshold) / 2
-    return min(64, math.ceil(64 * p + deviations * math.sqrt(64 * p * (1 - p))))
+    return min(SKETCH_BITS, math.ceil(SKETCH_BITS * p + deviations * math.sqrt(SKETCH_BITS * p * (1 - p))))
 
 
 def newest_rows(rows: DataFrame, newest: str | None) -> DataFrame:
@@ -192,10 +195,11 @@ def similar_classes(
 ) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (id, class) with class = a hash of the set; links (class_a, class_b, jaccard), a < b."""
     spark = sets.sparkSession
-    frequency, total = token_frequencies(sets)
+    # The sets are read by several branches: they are made once, and none of them recomputes texts when an executor is lost.
+    hashed = cut(sets.select("id", F.xxhash64("tokens").alias("class"), "tokens"))
+    frequency, total = token_frequencies(hashed)
     shared = spark.sparkContext.broadcast(frequency)
     settings = dict(runs=runs_for(recall, threshold, width, spread), width=width, spread=spread, bucket=bucket, max_depth=max_depth, power=power)
-    hashed = sets.select("id", F.xxhash64("tokens").alias("class"), "tokens")
 
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Paths(shared.value, total, **settings)
@@ -205,16 +209,17 @@ def similar_classes(
             column = b.column("tokens")
             lengths = np.asarray(column.value_lengths(), dtype=np.int64)
             tokens = np.asarray(column.flatten(), dtype=np.int32)
-            sketch = maker.sketches(tokens, lengths).view(np.int64)
+            low, high = maker.sketches(tokens, lengths).view(np.int64)
             record, key = maker.keys(tokens, lengths)
             own = np.asarray(b.column("class"))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own[record]), pa.array(sketch[record])], names=["key", "class", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own[record]), pa.array(low[record]), pa.array(high[record])], names=["key", "class", "low", "high"])
 
     # One row a class. Its exchange serves the paths and, on both sides, the comparison of the sets.
     one = hashed.groupBy("class").agg(F.first("tokens").alias("tokens"))
-    buckets = one.mapInArrow(paths, "key bigint, class bigint, sketch bigint").repartition("key")
-    other = buckets.select("key", F.col("class").alias("class_b"), F.col("sketch").alias("sketch_b"))
-    near = (F.col("class") < F.col("class_b")) & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("sketch_b"))) <= sketch_bound(threshold))
+    buckets = one.mapInArrow(paths, "key bigint, class bigint, low bigint, high bigint").repartition("key")
+    other = buckets.select("key", *[F.col(c).alias(f"{c}_b") for c in ("class", "low", "high")])
+    differing = F.bit_count(F.col("low").bitwiseXOR(F.col("low_b"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("high_b")))
+    near = (F.col("class") < F.col("class_b")) & (differing <= sketch_bound(threshold))
     candidates = buckets.join(other, "key").where(near).select(F.col("class").alias("class_a"), "class_b").repartition("class_a").distinct()
     left, right = (one.select(F.col("class").alias(f"class_{s}"), F.col("tokens").alias(f"tokens_{s}")) for s in "ab")
     common = F.size(F.array_intersect("tokens_a", "tokens_b"))
