@@ -1,6 +1,6 @@
 """Text cut off by field limits: word trigrams inside texts against trigrams at their ends, in SQL.
 
-Words are taken by shape (lower-case, capitalised, number, keyword of a list, link, code), punctuation as it is. Marks of
+Words are taken by shape (lower-case, capitalised, number, keyword of a list, link, code), punctuation as it is, so a text becomes a string with one character a word. Marks of
 omission at the end are set aside. A trigram that is frequent inside texts but almost never ends one can only end a text
 that was cut. Where a final trigram is too rare to tell, its last two words decide, then the last one. An exact check
 follows for what no finished sentence can end with: an open bracket, tag, character reference, or half a character or word.
@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from querypond.runtime import cut
+
 #: A final shape is almost never terminal below this share of its occurrences; below the support, a shorter shape decides.
 TERMINAL_SHARE, SUPPORT = 0.05, 30
 
@@ -36,38 +38,34 @@ SHAPE_STEPS = [
     r"""SELECT *, regexp_count(tail, '[|·/,–&:(]') >= 3 AND regexp_count(tail, '[\\p{{L}}\\p{{N}}]+') <= 2 * (regexp_count(tail, '[|·/,–&:(]') + 1) AS listed FROM {step}""",
     r"""SELECT src, id, source, at, broken,
       CASE WHEN listed THEN concat(left(body, length(body) - length(tail)), regexp_replace(tail, '[\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}.]*', 'ⓚ')) ELSE body END AS body FROM {step}""",
-    r"""SELECT src, id, source, at, broken, regexp_extract_all(
+    r"""SELECT src, id, source, at, broken, concat('^^', regexp_replace(
       regexp_replace(regexp_replace(regexp_replace(body, '[0-9][0-9.,]*[0-9]|[0-9]', '0'), '\\p{{Lu}}[\\p{{L}}\\p{{M}}]*(?:[\'’-][\\p{{L}}]+)*', 'A'), '\\p{{Ll}}[\\p{{L}}\\p{{M}}]*(?:[\'’-][\\p{{L}}]+)*', 'a'),
-      '[^\\s]', 0) AS w FROM {step}""",
+      '\\s+', '')) AS shape FROM {step}""",
 ]
 
 COUNTS = """
-SELECT g.a AS a, g.b AS b, g.c AS c, count_if(NOT g.last) AS inside, count_if(g.last) AS final FROM (
-  SELECT explode(transform(sequence(1, greatest(n, 1)), i -> named_struct(
-    'a', CASE WHEN i > 2 THEN w[i - 3] ELSE '^' END, 'b', CASE WHEN i > 1 THEN w[i - 2] ELSE '^' END, 'c', w[i - 1], 'last', i = n))) AS g
-  FROM {shapes} WHERE n > 0
-) GROUP BY g.a, g.b, g.c
+SELECT trigram, sum(n) - sum(f) AS inside, sum(f) AS final FROM (
+  SELECT trigram, count(*) AS n, 0 AS f FROM (SELECT explode(regexp_extract_all(shape, '(?=(...))', 1)) AS trigram FROM {shapes}) GROUP BY trigram
+  UNION ALL
+  SELECT right(shape, 3) AS trigram, 0 AS n, count(*) AS f FROM {shapes} GROUP BY right(shape, 3)
+) GROUP BY trigram
 """
 
 VERDICTS = """
-SELECT a, b, c,
+SELECT trigram,
   CASE WHEN inside + final >= {support} THEN final < {share} * (inside + final)
        WHEN inside2 + final2 >= {support} THEN final2 < {share} * (inside2 + final2)
        ELSE final1 < {share} * (inside1 + final1) END AS never_final
 FROM (
-  SELECT a, b, c, inside, final, sum(inside) OVER (PARTITION BY b, c) AS inside2, sum(final) OVER (PARTITION BY b, c) AS final2,
-    sum(inside) OVER (PARTITION BY c) AS inside1, sum(final) OVER (PARTITION BY c) AS final1 FROM {counts}
+  SELECT trigram, inside, final, sum(inside) OVER (PARTITION BY right(trigram, 2)) AS inside2, sum(final) OVER (PARTITION BY right(trigram, 2)) AS final2,
+    sum(inside) OVER (PARTITION BY right(trigram, 1)) AS inside1, sum(final) OVER (PARTITION BY right(trigram, 1)) AS final1 FROM {counts}
 ) WHERE final > 0
 """
 
 FLAGS = """
 SELECT src, id, max_by(source, at) AS source, max_by(cut, at) AS cut FROM (
-  SELECT ends.src, ends.id, ends.source, coalesce(ends.at, timestamp'1970-01-01') AS at, ends.broken OR coalesce(v.never_final, true) AS cut
-  FROM (
-    SELECT src, id, source, at, broken,
-      CASE WHEN n > 2 THEN w[n - 3] ELSE '^' END AS a, CASE WHEN n > 1 THEN w[n - 2] ELSE '^' END AS b, CASE WHEN n > 0 THEN w[n - 1] ELSE '^' END AS c
-    FROM {shapes}
-  ) ends LEFT JOIN {verdicts} v ON ends.a = v.a AND ends.b = v.b AND ends.c = v.c
+  SELECT e.src, e.id, e.source, coalesce(e.at, timestamp'1970-01-01') AS at, e.broken OR coalesce(v.never_final, true) AS cut
+  FROM {shapes} e LEFT JOIN {verdicts} v ON right(e.shape, 3) = v.trigram
 ) GROUP BY src, id
 """
 
@@ -83,7 +81,7 @@ def cut_texts(texts: DataFrame, *, terminal_share: float = TERMINAL_SHARE, suppo
     shapes = texts
     for step in SHAPE_STEPS:
         shapes = spark.sql(step, step=shapes)
-    shapes = shapes.withColumn("n", F.size("w"))
+    shapes = cut(shapes)
     counts = spark.sql(COUNTS, shapes=shapes)
     verdicts = spark.sql(VERDICTS, counts=counts, support=support, share=terminal_share)
     return spark.sql(FLAGS, shapes=shapes, verdicts=verdicts)
