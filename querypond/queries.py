@@ -3,18 +3,53 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from querypond.operators import timestamps
 from querypond.runtime import table
 
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _normalised_feeds(spark: SparkSession, d: str) -> DataFrame:
+    """(feed, record_id, stamp, utc, zone_from, notation, seen) of the four feeds' records."""
+    publishers = table(spark, d, "publishers").select("source_id", "tz_name", "date_order").dropDuplicates(["source_id"])
+    articles = table(spark, d, "gnews_articles").select("source_id", "article_id", F.col("pub_date").alias("stamp"), "fetched_at")
+    guessed = timestamps.estimate_zones(articles.join(F.broadcast(publishers), "source_id", "left_anti"), source="source_id", stamp="stamp", ingested="fetched_at").select(F.col("source").alias("source_id"), F.col("zone").alias("guess"))
+    none, utc = F.lit(None).cast("string"), F.lit("UTC")
+    form = lambda name, df, key, stamp, declared=utc, order=none, guess=none: df.select(F.lit(name).alias("feed"), F.col(key).cast("string").alias("record_id"), F.col(stamp).cast("string").alias("stamp"), F.col("fetched_at").alias("seen"), declared.alias("declared"), order.alias("date_order"), guess.alias("guess"))
+    feeds = [
+        form("hn_hits", table(spark, d, "hn_hits"), "object_id", "created_at"),
+        form("gdelt_articles", table(spark, d, "gdelt_articles"), "article_id", "seendate"),
+        form("se_items", table(spark, d, "se_items"), "question_id", "creation_date"),
+        form("gnews_articles", articles.join(F.broadcast(publishers), "source_id", "left").join(guessed, "source_id", "left"), "article_id", "stamp", F.col("tz_name"), F.col("date_order"), F.col("guess")),
+    ]
+    return timestamps.normalise(reduce(DataFrame.unionByName, feeds), stamp="stamp", declared_zone=F.col("declared"), date_order=F.col("date_order"), estimated_zone=F.col("guess"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """One row a record whose stamp means one instant; of repeated rows the first that does counts."""
+    sure = _normalised_feeds(spark, d).where("record_id IS NOT NULL AND utc IS NOT NULL AND zone_from <> 'estimated'")
+    return sure.groupBy("feed", "record_id").agg(F.min_by(F.unix_seconds("utc"), F.struct("seen", "stamp")).alias("utc_second"))
+
+
+def p4_zones(spark: SparkSession, d: str) -> DataFrame:
+    """The zone that fits each publisher's local stamps, beside the declared one."""
+    publishers = table(spark, d, "publishers").select(F.col("source_id").alias("source"), "tz_name", "date_order").dropDuplicates(["source"])
+    articles = table(spark, d, "gnews_articles").withColumnRenamed("source_id", "source").join(F.broadcast(publishers), "source", "left")
+    found = timestamps.estimate_zones(articles, source="source", stamp="pub_date", ingested="fetched_at", date_order=F.col("date_order"))
+    return found.join(F.broadcast(publishers.select("source", "tz_name")), "source", "left").select("source", "tz_name", "zone", "stamps", "violations", "low_lag_s")
+
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {"p4_found": p4_found, "p4_zones": p4_zones}
 
 
 def oracle_sql() -> dict[str, str]:
