@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querypond.llm import chosen_path, knn, leakage, mixing, segmenting, truncation
+from querypond.llm import boilerplate, chosen_path, knn, leakage, mixing, residue, segmenting, truncation
 from querypond.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return knn.neighbour_pairs(knn.nearest_vectors(table(spark, d, "semantic_cache"), newest="hit_count"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.find_residue(table(spark, d, "extractions")).select(F.col("id").alias("extraction_id"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return chosen_path.linked_pairs(*chosen_path.near_duplicates(table(spark, d, "search_results")))
 
@@ -26,6 +30,23 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return chosen_path.link_counts(*chosen_path.near_duplicates(table(spark, d, "search_results")))
 
 
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    extracted = boilerplate.page_rows(table(spark, d, "extractions"), src="extractions", id_col="extraction_id", text="markdown", host="host", at="extracted_at", html=False)
+    readable = boilerplate.page_rows(table(spark, d, "readable_pages"), src="readable_pages", id_col="page_id", text="content_html", host="host", at="fetched_at", html=True)
+    return extracted.unionByName(readable)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    lines = boilerplate.label_lines(_pages(spark, d)).where("furniture")
+    residual = p2_found(spark, d).select(F.lit("extractions").alias("src"), F.col("extraction_id").alias("id"))
+    return lines.join(residual, ["src", "id"], "left_anti").select("src", F.col("id").alias("record_id"), "line_no")
+
+
+def p5_bodies(spark: SparkSession, d: str) -> DataFrame:
+    pages = _pages(spark, d)
+    return boilerplate.main_bodies(pages, boilerplate.label_lines(pages))
+
+
 def _possibly_cut(spark: SparkSession, d: str) -> DataFrame:
     snippets = truncation.texts_of(table(spark, d, "search_results"), src="search_results", id_col="result_id", text="snippet", source="provider", at="ingested_at")
     articles = truncation.texts_of(table(spark, d, "gnews_articles"), src="gnews_articles", id_col="article_id", text="content_text", source="source_id", at="fetched_at")
