@@ -33,13 +33,14 @@ from pyspark.sql import functions as F
 from querypond.llm.page_lines import FURNITURE, RELATED, Line, html_lines, is_navigation, markdown_lines, masked, site_name
 from querypond.runtime import cut
 
-FEATURES = 24
+#: Parameters and settings: they recur as furniture does, but belong to the text.
+ASSIGNMENT = re.compile(r"\w\s*(?::=|=|→|->)\s*\S")
 #: Weights of the smoothness edges, in nats.
 NEXT, SAME_LIST, AFTER_HEADING, CONTAINER = 0.35, 1.6, 1.4, 0.25
 
 
 def line_features(lines: list[Line]) -> list[list[float]]:
-    """Features of each line that its page alone tells, FEATURES - 3 of them; three of repetition follow later."""
+    """Features of each line that its page alone tells; three of repetition follow later."""
     n, out = len(lines), []
     first_h1 = next((i for i, line in enumerate(lines) if line.role == "h1"), -1)
     below = False  # under a heading of related items
@@ -75,6 +76,7 @@ def line_features(lines: list[Line]) -> list[list[float]]:
                 float(i >= n - 3),
                 float(bool(re.search(r"[|·]", line.text))),
                 float(bool(re.match(r"^\W*\d[\d.,]*\s+\w+\W*$", line.text))),
+                float(bool(ASSIGNMENT.search(line.text))),
             ]
         )
     return out
@@ -167,11 +169,11 @@ def fit(x: np.ndarray, y: np.ndarray, steps: int = 400, rate: float = 0.5, ridge
 
 def certain(features: np.ndarray) -> np.ndarray:
     """1: furniture for certain, 0: content for certain, nan: neither. Columns as in line_features, then repetition."""
-    words, sentence, wording, nav, inside, code, h1 = (features[:, i] for i in (1, 3, 4, 6, 8, 13, 10))
+    words, sentence, wording, nav, inside, outside, code, h1, setting = (features[:, i] for i in (1, 3, 4, 6, 8, 9, 13, 10, 21))
     pages, sites = features[:, -3], features[:, -2]
     out = np.full(len(features), np.nan)
-    out[(wording > 0) | (nav > 0) | ((sites >= np.log(4)) & (words <= 0.5) & (code == 0) & (h1 == 0))] = 1
-    out[((sentence > 0) & (pages <= np.log(2)) & (inside == 0) & (wording == 0)) | (code > 0) | ((h1 > 0) & (sites <= np.log(3)))] = 0
+    out[(wording > 0) | (nav > 0) | ((sites >= np.log(4)) & (words <= 0.5) & (code == 0) & (h1 == 0) & (setting == 0))] = 1
+    out[((sentence > 0) & (pages <= np.log(2)) & (inside == 0) & (wording == 0)) | (code > 0) | ((outside > 0) & (wording == 0) & (inside == 0) & (sites <= np.log(3))) | ((setting > 0) & (wording == 0) & (inside == 0)) | ((h1 > 0) & (sites <= np.log(3)))] = 0
     return out
 
 
