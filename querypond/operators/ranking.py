@@ -97,13 +97,16 @@ def topic_alignment(query, title, snippet, provider) -> F.Column:
 
     def of(x: F.Column) -> F.Column:
         pair = lambda c: F.instr(c, " ") > 0
-        covered = F.filter(x.asked, lambda c: F.when(pair(c), F.contains(x.doc, c)).otherwise(F.array_contains(x.there, c) | F.array_contains(x.there, F.regexp_replace(c, "s$", "")) | F.array_contains(x.there, F.concat(c, F.lit("s")))))
+        # a word is covered as it is, without its plural s, or with one
+        forms = F.concat(x.there, F.transform(x.there, lambda w: F.concat(w, F.lit("s"))), F.transform(F.filter(x.there, lambda w: F.endswith(w, F.lit("s"))), lambda w: F.regexp_replace(w, "s$", "")))
+        met = F.size(F.filter(x.asked, lambda c: pair(c) & F.contains(x.doc, c)))
+        covered = F.size(F.array_intersect(F.filter(x.asked, lambda c: ~pair(c)), forms)) + met
         off = F.lit(False)
         for source, terms in K.OFF_TOPIC_SOURCES.items():
             off = off | ((x.provider == source) & reduce(lambda a, b: a | b, [F.contains(x.low, F.lit(t)) for t in terms]))
         hijacked = F.exists(F.split(x.query, "[^A-Za-z0-9]+"), lambda w: (F.length(w) >= 3) & w.rlike(".[A-Z]") & F.contains(x.doc, F.lower(w)) & ~F.contains(x.original, w))
         pairs = F.filter(x.asked, pair)
-        return F.struct((F.size(covered) / F.size(x.asked)).alias("coverage"), F.size(pairs).alias("pairs"), F.size(F.filter(pairs, lambda c: F.contains(x.doc, c))).alias("met"), F.greatest(F.when(off, 0.4).otherwise(0.0), F.when(hijacked, 0.3).otherwise(0.0)).alias("penalty"), F.size(x.asked).alias("n"))
+        return F.struct((covered / F.size(x.asked)).alias("coverage"), F.size(pairs).alias("pairs"), met.alias("met"), F.greatest(F.when(off, 0.4).otherwise(0.0), F.when(hijacked, 0.3).otherwise(0.0)).alias("penalty"), F.size(x.asked).alias("n"))
 
     def score(m: F.Column) -> F.Column:
         overlap = F.when(m.pairs > 0, m.met / m.pairs).otherwise(m.coverage)

@@ -122,7 +122,7 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
 def final_scores(spark: SparkSession, d: str) -> DataFrame:
     """BM25 candidates with all signals, fused, the first ten of each query."""
     stuffing = ranking.stuffing(table(spark, d, "documents"), "doc_id", "text")
-    scores = ranking.scored(_candidates(spark, d), text="text", stuffing_of=stuffing).withColumn("final_score", F.round("final_score", 4))
+    scores = ranking.scored(_candidates(spark, d), text="text", stuffing_of=stuffing).withColumn("final_score", F.round("final_score", 6))
     return ranking.top_per_query(scores, 10, "final_score").select("query_id", "doc_id", "rank", "bm25", F.round("trust", 4).alias("trust"), "freshness", F.round("spam", 4).alias("spam"), "has_examples", "final_score")
 
 
@@ -135,7 +135,7 @@ m AS (SELECT c.*, url, coalesce(title, '') AS title, substring(text, 1, 600) AS
 r AS (SELECT *, ({signals.trust()})::DOUBLE AS raw_trust FROM m),
 s AS (SELECT query_id, doc_id, bm25, ({signals.adjusted_trust(DUCK)})::DOUBLE AS trust, ({signals.freshness(DUCK)})::DOUBLE AS freshness, ({signals.popularity(DUCK)})::DOUBLE AS popularity, ({signals.code_quality(DUCK)})::DOUBLE AS code_quality, ({signals.has_examples(DUCK, 'text')})::DOUBLE AS has_examples,
   ({signals.authority(DUCK, 'raw_trust')})::DOUBLE AS authority, ({signals.source_quality(DUCK)})::DOUBLE AS source_quality, ({signals.spam(DUCK, 'text', 'stuffing', 'raw_trust')})::DOUBLE AS spam, 0.5::DOUBLE AS ai_relevance, 0.5::DOUBLE AS semantic FROM r),
-f AS (SELECT *, round(({signals.final_score()})::DOUBLE, 4) AS final_score FROM s)
+f AS (SELECT *, round(({signals.final_score()})::DOUBLE, 6) AS final_score FROM s)
 SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, doc_id) AS rank, bm25, round(trust, 4) AS trust, freshness, round(spam, 4) AS spam, has_examples, final_score FROM f QUALIFY rank <= 10"""
 )
 
@@ -475,7 +475,7 @@ def memory_fold(spark: SparkSession, d: str) -> DataFrame:
 
 
 def circuit_fold(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select("user_id", "ts", "event_id", F.unix_millis("ts").alias("at_ms"), (F.col("event_type") == "error").alias("failed"))
+    e = table(spark, d, "events").select("user_id", "ts", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), (F.col("event_type") == "error").alias("failed"))
     return state.fold(e, key="user_id", order=["ts", "event_id"], step=state.circuit, state_schema=_CIRCUIT)
 
 
