@@ -24,13 +24,14 @@ from __future__ import annotations
 import re
 from collections import deque
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querypond.llm.page_lines import FURNITURE, RELATED, Line, html_lines, is_navigation, markdown_lines, masked, site_name
+from querypond.llm.page_lines import RELATED, Line, html_lines, is_navigation, markdown_lines, masked, site_name, wording
 from querypond.runtime import cut
 
 #: Parameters and settings: they recur as furniture does, but belong to the text.
@@ -50,17 +51,17 @@ def line_features(lines: list[Line]) -> list[list[float]]:
             below = bool(RELATED.match(line.text)) and words <= 8
         elif line.role not in ("li",):
             below = below and False
-        hit = FURNITURE.search(line.text)
-        sentence = words >= 6 and bool(re.search(r"[.!?:;][\"”»’)\]]*$", line.text))
+        hit = wording(line.text, line.words) >= 0
+        sentence = words >= 10 and line.text.rstrip("\"”»’)]")[-1:] in ".!?:;"
         short = 1.0 if words <= 3 else 0.0
         out.append(
             [
                 1.0,
                 min(words, 40) / 40,
                 short,
-                float(sentence and words >= 10),
-                float(bool(hit) and words <= 16),
-                float(bool(hit) and words > 16),
+                float(sentence),
+                float(hit and words <= 16),
+                float(hit and words > 16),
                 float(is_navigation(line)),
                 line.linked / max(1, words),
                 float(line.inside > 0),
@@ -74,9 +75,9 @@ def line_features(lines: list[Line]) -> list[list[float]]:
                 float(first_h1 >= 0 and i < first_h1),
                 i / max(1, n - 1),
                 float(i >= n - 3),
-                float(bool(re.search(r"[|·]", line.text))),
-                float(bool(re.match(r"^\W*\d[\d.,]*\s+\w+\W*$", line.text))),
-                float(bool(ASSIGNMENT.search(line.text))),
+                float("|" in line.text or "·" in line.text),
+                float(words == 2 and line.words[0].isdigit()),
+                float(("=" in line.text or "→" in line.text or "->" in line.text) and bool(ASSIGNMENT.search(line.text))),
             ]
         )
     return out
@@ -187,21 +188,27 @@ def label_lines(pages: DataFrame, *, sample_lines: int = 20_000, seed: int = 3)
     """(src, id, line_no, furniture) of every line with visible text."""
     schema = "src string, id bigint, host string, line_no int, mask bigint, first boolean, role string, block int, side boolean, inside boolean, outside boolean, related boolean, features array<float>"
 
-    def lines_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from hashlib import blake2b
-
-        for pdf in batches:
-            out = []
-            for src, i, host, text, html in zip(pdf["src"], pdf["id"], pdf["host"], pdf["text"], pdf["html"]):
+    def lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns: list[list] = [[] for _ in range(12)]
+            flat: list[float] = []
+            for src, i, host, text, html in zip(*(batch.column(c).to_pylist() for c in ("src", "id", "host", "text", "html"))):
                 lines = html_lines(text) if html else markdown_lines(text)
                 seen, site = set(), site_name(host)
                 for line, f in zip(lines, line_features(lines)):
                     mask = int.from_bytes(blake2b(masked(line.text, site).encode(), digest_size=8).digest(), "little", signed=True)
-                    out.append((src, i, host, line.number, mask, mask not in seen, line.role, line.block, line.side, line.inside > 0, line.outside > 0, bool(RELATED.match(line.text)), f))
+                    for column, value in zip(columns, (src, i, host, line.number, mask, mask not in seen, line.role, line.block, line.side, line.inside > 0, line.outside > 0, bool(RELATED.match(line.text)))):
+                        column.append(value)
+                    flat.extend(f)
                     seen.add(mask)
-            yield pd.DataFrame(out, columns=["src", "id", "host", "line_no", "mask", "first", "role", "block", "side", "inside", "outside", "related", "features"])
-
-    lines = cut(pages.mapInPandas(lines_of, schema))
+            n = len(columns[0])
+            if n:
+                width = len(flat) // n
+                features = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, width, dtype=np.int32)), pa.array(np.array(flat, dtype=np.float32)))
+                kinds = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds)), features], names=["src", "id", "host", "line_no", "mask", "first", "role", "block", "side", "inside", "outside", "related", "features"])
+
+    lines = cut(pages.mapInArrow(lines_of, schema))
     repeated = lines.where("first").groupBy("mask", "host").agg(F.count("*").alias("n")).groupBy("mask").agg(F.sum("n").alias("pages"), F.count("*").alias("sites"), F.max("n").alias("most"))
     counted = lines.join(repeated.where("pages > 1"), "mask", "left")
     log = lambda c: F.log(F.coalesce(c, F.lit(1)).cast("double"))
@@ -217,19 +224,25 @@ def label_lines(pages: DataFrame, *, sample_lines: int = 20_000, seed: int = 3)
     sure = ~np.isnan(y)
     w = fit(x[sure], y[sure]) if len(set(y[sure])) == 2 else None
 
-    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for src, i, lines in zip(pdf["src"], pdf["id"], pdf["lines"]):
-                f = np.array([line["features"] for line in lines], dtype=np.float64)
-                z = np.clip(f @ w, -12, 12) if w is not None else np.where(certain(f) == 1, 4.0, -4.0)
-                cost_content, cost_furniture = np.logaddexp(0, z), np.logaddexp(0, -z)
-                pick = lambda k: [line[k] for line in lines]  # noqa: E731, B023
-                sides = minimum_cut(cost_furniture.tolist(), cost_content.tolist(), edges_of(pick("role"), pick("block"), pick("side"), pick("inside"), pick("outside"), pick("related")))
-                out.extend((src, i, line["line_no"], side) for line, side in zip(lines, sides))
-            yield pd.DataFrame(out, columns=["src", "id", "line_no", "furniture"])
-
-    return full.mapInPandas(label, "src string, id bigint, line_no int, furniture boolean")
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = batch.column("lines")
+            sizes, flat = np.asarray(column.value_lengths(), dtype=np.int64), column.flatten()
+            f = np.asarray(flat.field("features").flatten(), dtype=np.float64).reshape(len(flat), -1)
+            z = np.clip(f @ w, -12, 12) if w is not None else np.where(certain(f) == 1, 4.0, -4.0)
+            content, furniture = np.logaddexp(0, z).tolist(), np.logaddexp(0, -z).tolist()
+            parts = [flat.field(k).to_pylist() for k in ("role", "block", "side", "inside", "outside", "related")]
+            out, at = [], 0
+            for n in sizes:
+                end = at + int(n)
+                out.extend(minimum_cut(furniture[at:end], content[at:end], edges_of(*(p[at:end] for p in parts))))
+                at = end
+            take = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            yield pa.RecordBatch.from_arrays([batch.column("src").take(take), batch.column("id").take(take), flat.field("line_no"), pa.array(out, pa.bool_())], names=["src", "id", "line_no", "furniture"])
+
+    return full.mapInArrow(label, "src string, id bigint, line_no int, furniture boolean")
 
 
 def main_bodies(pages: DataFrame, labels: DataFrame) -> DataFrame:

@@ -7,9 +7,7 @@ import re
 from dataclasses import dataclass, field
 
 #: Wording of page furniture in English, German, French and Spanish. Phrases by what they ask or say.
-FURNITURE = re.compile(
-    "|".join(
-        [
+_WORDING = [
             # consent
             r"\b(we|this site|our site|this page)\b.{0,30}\b(use|uses|set|sets|store|stores)\b.{0,20}\bcookies?\b", r"\bcookies?\b.{0,60}\b(accept|preferences|consent|zustimm|einwillig)", r"\bpartners? (store|process)\b", r"\byour privacy\b", r"\boptional trackers\b",
             r"\bwir (setzen|verwenden|nutzen)\b.{0,20}\bcookies", r"\bdiese (seite|website)\b.{0,30}\bspeichert\b", r"\bdatenschutzerklärung\b", r"\bce site\b.{0,30}\bcookies", r"\bpolitique de confidentialité", r"\busamos cookies", r"\beste sitio\b.{0,20}\bcookies", r"\bpolítica de privacidad",
@@ -18,16 +16,32 @@ FURNITURE = re.compile(
             # sharing, subscription, comments, feedback
             r"^\W*(share|tweet|teilen|partager|compartir|pin|mail|print|drucken|imprimer|imprimir|save|merken)(\W+(share|tweet|teilen|partager|compartir|pin|mail|print|drucken|imprimer|imprimir|save|merken|this page|on \w+))*\W*$", r"^\W*(share|print|save) this (page|article|post)", r"^\d[\d.,]* (shares|comments?|kommentare?|commentaires?|comentarios?|likes|geteilt|partages)\W*$",
             r"\b(newsletter|boletín|lettre de)\b.{0,60}\b(bestellen|anmelden|abonnieren|semaine|semana|week|inbox)", r"\bsign up for\b", r"\bsubscribe (to|for|now|today)\b.{0,40}(our|newsletter|updates|$)", r"\bin your inbox\b", r"^(join|rejoignez|schon|únete)\b.{0,30}\d.{0,40}\b(readers?|abonnés|lesen|lectores|subscribers)\b", r"^(follow|folge|suivez|sigue a)\b.{0,60}$",
-            r"^(recevez|recibe|jetzt den|get the best of)\b", r"\bcreate a free account\b|\bsign in to (save|comment|reply)|\blog in to (reply|comment)|^zum antworten anmelden|^connectez-vous pour|^inicia sesión para", r"^loading comments|\bto (view|see|load) the comments?\b|^(post|leave|add) a (comment|reply)", r"\bwas this (page|article) helpful|^war diese seite hilfreich|cette page vous a-t-elle|^¿?te (ha )?(resultado|sido) útil|^rate this",
+            r"^(recevez|recibe|jetzt den|get the best of)\b", r"\bcreate a free account\b|\bsign in to (save|comment|reply)|\blog in to (reply|comment)", r"^zum antworten anmelden|^connectez-vous pour|^inicia sesión para", r"^loading comments|^(post|leave|add) a (comment|reply)", r"\bto (view|see|load) the comments?\b", r"\bwas this (page|article) helpful|cette page vous a-t-elle", r"^war diese seite hilfreich|^¿?te (ha )?(resultado|sido) útil|^rate this",
             r"^(edit|improve) this page|^skip to (main )?content|^zum inhalt springen|^aller au contenu|^saltar al contenido|^back to top|^nach oben|^(continue|keep) reading( below)?\W*$|^weiterlesen\W*$|^lire la suite\W*$",
             # advertising and related items
             r"^(advertisement|anzeige|publicité|publicidad|werbung|sponsored|promoted)\b", r"^(contenu sponsorisé|contenido patrocinado|gesponsert)\b", r"^hire \S+.{0,40}\b(engineers|developers|experts)\b", r"\btry it free\b",
             r"^(trending|related( articles| posts)?|you may also like|popular( this week| posts)?|more from|recommended|most read|read next|see also from|das könnte dich auch interessieren|meistgelesen|mehr von|à lire aussi|les plus lus|plus sur|te puede interesar|lo más leído|más de)\b.{0,40}$",
             r"^(trending|related( articles| posts)?|you may also like|popular( this week| posts)?|more from [^:]{1,40}|recommended|most read|das könnte dich auch interessieren|meistgelesen|mehr von [^:]{1,40}|à lire aussi|les plus lus|plus sur [^:]{1,40}|te puede interesar|lo más leído|más de [^:]{1,40})\s*: ",
-        ]
-    ),
-    re.I,
-)
+]
+_ANCHORED = re.compile("|".join(p for p in _WORDING if p.startswith("^")), re.I)
+_FREE = re.compile("|".join(p for p in _WORDING if not p.startswith("^")), re.I)
+#: Every wording that may stand anywhere in a line holds one of these.
+_TRIGGERS = frozenset("cookie cookies partner partners privacy tracker trackers speichert datenschutz datenschutzerklärung confidentialité privacidad copyright c rights rechte droits derechos trademark sitemap accessibility imprint agb newsletter boletín lettre sign subscribe inbox account log comment comments terms impressum mentions aviso plan try reply helpful built made powered".split())
+#: Words up to which a line can be furniture by its wording.
+LONGEST = 24
+
+
+def wording(text: str, words: list[str]) -> int:
+    """Where furniture's wording begins in a line, -1 for none; lines of many words are not looked at."""
+    if len(words) > LONGEST:
+        return -1
+    m = _ANCHORED.match(text)
+    if m:
+        return 0
+    if _TRIGGERS.isdisjoint(words) and "©" not in text:
+        return -1
+    m = _FREE.search(text)
+    return m.start() if m else -1
 #: Words that name sections of sites. Fixed values.
 SECTIONS = frozenset(
     "home about pricing jobs careers tutorials api blog contact support login register signup changelog community docs documentation forum guides help faq status terms privacy start über anmelden anleitungen "
@@ -54,9 +68,21 @@ class Line:
     words: list[str] = field(default_factory=list)
 
 
+_HREF = re.compile(r"href\s*=\s*[\"']?([^\"'\s>]*)")
+_HIDING = re.compile(r"<(script|style)\b[^<>]*>", re.I)
+_SPACE = re.compile(r"\s+")
+_ABSOLUTE = re.compile(r"https?://")
+_VISIBLE = re.compile(r"[^\W_]")
+_HEADING = re.compile(r"\s*(#{1,6})\s+(.*)")
+_ITEM = re.compile(r"\s*(?:[-*+]|\d+[.)])\s+(.*)")
+_ANY_TAG = re.compile(r"<[^<>]*>")
+_CRUMB = re.compile(r"\s[»›>/]\s")
+_DIGITS = re.compile(r"\d+")
+
+
 def _links(line: Line, pairs: list[tuple[str, str]]) -> None:
     for label, target in pairs:
-        if re.match(r"https?://", target):
+        if _ABSOLUTE.match(target):
             line.outside += 1
         else:
             line.inside += 1
@@ -67,38 +93,44 @@ def markdown_lines(text: str) -> list[Line]:
     """The lines with visible text, numbered from 1 as line feeds divide them."""
     out, fence, block, blank = [], None, 0, True
     for number, raw in enumerate(text.split("\n"), 1):
-        mark = FENCE.match(raw)
+        bare = raw.strip()
+        start = bare[:1]
+        mark = FENCE.match(raw) if start in ("`", "~") and start else None
         if fence:
             if mark and mark[1].startswith(fence):
                 fence = None
                 block += 1
-            elif re.search(r"[^\W_]", raw):
-                out.append(Line(number, raw.strip(), "code", block=block, words=WORD.findall(raw)))
+            elif _VISIBLE.search(bare):
+                out.append(Line(number, bare, "code", block=block, words=WORD.findall(bare.lower())))
             continue
         if mark:
             fence = mark[1][:3]
             block += 1
             continue
-        if not raw.strip():
+        if not bare:
             blank = True
             continue
-        line = Line(number, raw.strip())
-        if m := re.match(r"\s*(#{1,6})\s+(.*)", raw):
+        line = Line(number, bare)
+        if start == "#" and (m := _HEADING.match(raw)):
             line.role, line.text = ("h1" if len(m[1]) == 1 else "h"), m[2]
-        elif m := re.match(r"\s*(?:[-*+]|\d+[.)])\s+(.*)", raw):
+        elif (start in "-*+" or start.isdigit()) and (m := _ITEM.match(raw)):
             line.role, line.text = "li", m[1]
         elif raw.startswith(("    ", "\t")) and (blank or out and out[-1].role == "code" and out[-1].number == number - 1):
             line.role = "code"
-        elif raw.lstrip().startswith(">"):
-            line.text = raw.lstrip(" >")
+        elif start == ">":
+            line.text = bare.lstrip(" >")
         if blank or not out or (out[-1].role == "li") != (line.role == "li") or line.role in ("h1", "h"):
             block += 1
         blank = False
-        _links(line, MARKDOWN_LINK.findall(line.text))
-        line.text = re.sub(r"<[^<>]*>", " ", MARKDOWN_LINK.sub(r"\1", line.text)) if line.role != "code" else line.text
-        line.words = WORD.findall(line.text)
+        if line.role != "code":
+            if "](" in line.text:
+                _links(line, MARKDOWN_LINK.findall(line.text))
+                line.text = MARKDOWN_LINK.sub(r"\1", line.text)
+            if "<" in line.text:
+                line.text = _ANY_TAG.sub(" ", line.text)
+        line.words = WORD.findall(line.text.lower())
         line.block = block
-        if re.search(r"[^\W_]", line.text):
+        if line.words and _VISIBLE.search(line.text):
             out.append(line)
     return out
 
@@ -115,10 +147,11 @@ def html_lines(text: str) -> list[Line]:
             if not end:
                 continue
             raw, hidden = raw[end.end() :], None
-        raw = re.sub(r"<(script|style)\b[^<>]*>.*?</\1\s*>", " ", raw, flags=re.I | re.S)
-        if m := re.search(r"<(script|style)\b[^<>]*>(?!.*</\1)", raw, re.I):
-            raw, hidden = raw[: m.start()], m[1].lower()
-        elif "<!--" in raw and "-->" not in raw[raw.rindex("<!--") :]:
+        if _HIDING.search(raw):
+            raw = re.sub(r"<(script|style)\b[^<>]*>.*?</\1\s*>", " ", raw, flags=re.I | re.S)
+            if m := _HIDING.search(raw):
+                raw, hidden = raw[: m.start()], m[1].lower()
+        if "<!--" in raw and "-->" not in raw[raw.rindex("<!--") :]:
             raw, hidden = raw[: raw.rindex("<!--")], "!--"
         role = "code" if pre else "p"
         side = any(s for _, s in stack)
@@ -141,7 +174,7 @@ def html_lines(text: str) -> list[Line]:
                     links.append((" ".join(label), href))
                     href, label = None, []
                 elif not closing:
-                    found = re.search(r"href\s*=\s*[\"']?([^\"'\s>]*)", m[3])
+                    found = _HREF.search(m[3])
                     href, label = (found[1] if found else "#"), []
             elif name == "pre":
                 pre = max(0, pre + (-1 if closing else 1))
@@ -154,7 +187,7 @@ def html_lines(text: str) -> list[Line]:
                             del stack[k:]
                             break
                 else:
-                    marked = re.search(r"(?:class|id|role)\s*=\s*[\"']?[^\"'>]*\b(menu|nav\w*|sidebar|widget|footer|share|social|promo|ads?|related|cookie|banner|breadcrumbs?|comments?)\b", m[3], re.I)
+                    marked = "=" in m[3] and re.search(r"(?:class|id|role)\s*=\s*[\"']?[^\"'>]*\b(menu|nav\w*|sidebar|widget|footer|share|social|promo|ads?|related|cookie|banner|breadcrumbs?|comments?)\b", m[3], re.I)
                     stack.append((name, name in ("aside", "nav", "footer") or bool(marked)))
                     side = side or stack[-1][1]
                 block += 1
@@ -165,14 +198,14 @@ def html_lines(text: str) -> list[Line]:
             label.append(raw[at:])
             links.append((" ".join(label), href))
             label = []
-        line.text = re.sub(r"\s+", " ", html_entities.unescape("".join(pieces))).strip()
+        line.text = " ".join(html_entities.unescape("".join(pieces)).split())
         if not raw.strip():
             block += 1
             continue
-        if not re.search(r"[^\W_]", line.text):
+        if not _VISIBLE.search(line.text):
             continue
         _links(line, links)
-        line.role, line.side, line.depth, line.block, line.words = role, side, len(stack), block, WORD.findall(line.text)
+        line.role, line.side, line.depth, line.block, line.words = role, side, len(stack), block, WORD.findall(line.text.lower())
         out.append(line)
     return out
 
@@ -184,22 +217,22 @@ def site_name(host: str | None) -> str:
 
 def masked(text: str, site: str) -> str:
     """A line without what differs from page to page: the site's name, numbers, case, spacing."""
-    out = re.sub(r"\d+", "0", text.lower())
-    if len(site) > 3:
+    out = _DIGITS.sub("0", text.lower())
+    if len(site) > 3 and site in out:
         out = out.replace(site, "∅")
-    return re.sub(r"\s+", " ", out).strip()
+    return " ".join(out.split())
 
 
 def is_navigation(line: Line) -> bool:
     """Names of sections, or links to the site itself and nothing else."""
     if line.role == "code" or not line.words:
         return False
-    words = [w.lower() for w in line.words]
-    if all(w in SECTIONS for w in words):
+    words = line.words
+    if SECTIONS.issuperset(words):
         return True
     if line.inside == 0 or line.outside or line.role in ("h1", "h"):
         return False
-    return line.linked >= 0.6 * len(words) or bool(re.search(r"\s[»›>/]\s", line.text)) and len(words) <= 16
+    return line.linked >= 0.6 * len(words) or bool(_CRUMB.search(line.text)) and len(words) <= 16
 
 
 def is_furniture(line: Line) -> bool:
@@ -208,5 +241,5 @@ def is_furniture(line: Line) -> bool:
         return False
     if is_navigation(line):
         return True
-    hit = FURNITURE.search(line.text)
-    return bool(hit) and (len(line.words) <= 16 or hit.start() == 0 and len(line.words) <= 24)
+    at = wording(line.text, line.words)
+    return at == 0 or at > 0 and len(line.words) <= 16

@@ -39,8 +39,8 @@ SHORT_BODY = 60
 #: Names that Python gives to special methods; other words between double underscores are placeholders.
 SPECIAL_METHODS = frozenset("init call new del repr str bytes format lt le eq ne gt ge hash bool getattr setattr delattr dir get set len iter next contains getitem setitem delitem enter exit aenter aexit await aiter anext add sub mul matmul name main file doc dict class slots all version author module qualname annotations post pre".split())
 PLACEHOLDER = re.compile(
-    r"\{\{\{?[^{}\n]{0,80}\}\}\}?|\{%[^%\n]{0,80}%?\}|<%[^%\n]{0,80}%>|\$\{[^{}\n]{1,80}\}|#\{[^{}\n]{1,80}\}|\[\[[A-Za-z_][^\[\]\n|]{0,60}\]\]|%%[A-Za-z_][\w ]{0,60}%%|%\([A-Za-z_]\w{0,40}\)[sdif]|@@[A-Za-z_]\w{0,60}@@"
-    r"|\$[A-Z][A-Z0-9_]{2,60}\$|(?<![\w{])\{(?:[a-z]+[A-Z]\w*|[a-z]+_\w+|\d+|[A-Z][A-Z0-9_]+|name|title|content|body|url|date|author|text|value|user|email)\}(?![\w}])|<(?:INSERT|YOUR|ENTER|ADD)[A-Z _-]{0,60}>|\[(?:INSERT|ENTER|ADD|YOUR|Insert|Enter|Your|Add)\b[^\[\]\n]{0,60}\](?!\()|__[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)*__"
+    r"(?=[{<$#%@_\[])(?:\{\{\{?[^{}\n]{0,80}\}\}\}?|\{%[^%\n]{0,80}%?\}|<%[^%\n]{0,80}%>|\$\{[^{}\n]{1,80}\}|#\{[^{}\n]{1,80}\}|\[\[[A-Za-z_][^\[\]\n|]{0,60}\]\]|%%[A-Za-z_][\w ]{0,60}%%|%\([A-Za-z_]\w{0,40}\)[sdif]|@@[A-Za-z_]\w{0,60}@@"
+    r"|\$[A-Z][A-Z0-9_]{2,60}\$|(?<![\w{])\{(?:[a-z]+[A-Z]\w*|[a-z]+_\w+|\d+|[A-Z][A-Z0-9_]+|name|title|content|body|url|date|author|text|value|user|email)\}(?![\w}])|<(?:INSERT|YOUR|ENTER|ADD)[A-Z _-]{0,60}>|\[(?:INSERT|ENTER|ADD|YOUR|Insert|Enter|Your|Add)\b[^\[\]\n]{0,60}\](?!\()|__[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)*__)"
 )
 LOREM = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split())
 
@@ -98,7 +98,9 @@ def has_placeholder(text: str) -> bool:
 
 
 def is_residue(line: Line) -> bool:
-    words = [w.lower() for w in line.words]
+    words = line.words
+    if len(words) > 40 and not LOREM.issuperset(words[:3]):
+        return False
     if len(words) >= 3 and sum(w in LOREM for w in words) >= 0.6 * len(words):
         return True
     return len(words) <= 40 and all(RESIDUE.match(s) for s in _sentences(line.text))
@@ -116,25 +118,35 @@ def page_state(title: str, lines: list[Line], text: str, site: str) -> tuple[str
     """(state, body): placeholder, residue, content, open or none, and the normalised body."""
     if has_placeholder(title) or has_placeholder(text):
         return "placeholder", ""
-    body = [line for line in lines if not is_furniture(line)]
-    plain = [line for line in body if line.role not in ("h1", "h")]
-    heads = [line for line in body if line.role in ("h1", "h")]
-    residue = [line for line in plain if line.role != "code" and is_residue(line)]
-    content = [line for line in plain if line not in residue and not _stray(line)]
-    words = sum(len(line.words) for line in content)
+    # Lines in order until the content suffices: residue only stands in place of content.
+    plain, heads, residue, words, rich = [], [], 0, 0, False
+    for line in lines:
+        if words >= SHORT_BODY:
+            return "content", ""
+        if is_furniture(line):
+            continue
+        if line.role in ("h1", "h"):
+            heads.append(line)
+            continue
+        plain.append(line)
+        if line.role != "code" and is_residue(line):
+            residue += 1
+        elif not _stray(line):
+            words += len(line.words)
+            rich = rich or line.role == "code" or line.outside > 0
     normal = " ".join(masked(line.text, site) for line in plain)
     if residue and words < 5:
         return "residue", normal
-    if not plain and (ERROR_TITLE.match(title) or any(RESIDUE.match(h.text) for h in heads) and not any(not RESIDUE.match(h.text) for h in heads)):
+    if not plain and (ERROR_TITLE.match(title) or heads and all(RESIDUE.match(h.text) for h in heads)):
         return ("residue" if title or heads else "none"), normal
-    if words >= SHORT_BODY or any(line.role == "code" for line in content) or any(line.outside for line in content):
-        return "content", normal
+    if words >= SHORT_BODY or rich:
+        return "content", ""
     return ("open" if words else "none"), normal
 
 
 def _stray(line: Line) -> bool:
     """A line that belongs to neither: bare numbers, references of errors, single words."""
-    return bool(re.match(r"^\W*(?:ref(?:erence)?|request|ray|incident|code|id)\b[\W\w]{0,40}$", line.text, re.I)) and len(line.words) <= 6
+    return len(line.words) <= 6 and line.words[0] in ("ref", "reference", "request", "ray", "incident", "code", "id")
 
 
 def shingles(text: str, size: int = SHINGLE) -> list[str]:
