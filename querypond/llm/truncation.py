@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from querypond.runtime import cut
 
-#: A final shape is almost never terminal below this share of its occurrences; below the support, a shorter shape decides.
-TERMINAL_SHARE, SUPPORT = 0.05, 30
+#: A shape is almost never terminal where it ends texts less often than this many times chance (the ends among all trigrams,
+#: so the length of texts doesn't matter); below the support, a shorter shape decides.
+LIFT, SUPPORT = 2.0, 30
 
 #: Each step reads the one before. Stand-ins: ⓒ code, ⓛ link, ⓚ word of a list, 0 number, A and a word by its first letter.
 SHAPE_STEPS = [
@@ -34,7 +35,7 @@ SHAPE_STEPS = [
     # code and links are single words
     r"""SELECT src, id, source, at, broken, regexp_replace(regexp_replace(body, '`[^`]*`', ' ⓒ '), 'https?://[^\\s]+', ' ⓛ ') AS body FROM {step}""",
     # what follows the last finished sentence, and whether it is a list: many separators for its words
-    r"""SELECT *, regexp_extract(body, '(?:^|[.!?]["”»’)]*[ ])((?:[^.!?]|[.!?](?!["”»’)]*[ ]))*)$', 1) AS tail FROM {step}""",
+    r"""SELECT *, regexp_replace(body, '(?s)^.*[.!?]["”»’)]*[ ]', '') AS tail FROM {step}""",
     r"""SELECT *, regexp_count(tail, '[|·/,–&:(]') >= 3 AND regexp_count(tail, '[\\p{{L}}\\p{{N}}]+') <= 2 * (regexp_count(tail, '[|·/,–&:(]') + 1) AS listed FROM {step}""",
     r"""SELECT src, id, source, at, broken,
       CASE WHEN listed THEN concat(left(body, length(body) - length(tail)), regexp_replace(tail, '[\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}.]*', 'ⓚ')) ELSE body END AS body FROM {step}""",
@@ -53,11 +54,11 @@ SELECT trigram, sum(n) - sum(f) AS inside, sum(f) AS final FROM (
 
 VERDICTS = """
 SELECT trigram,
-  CASE WHEN inside + final >= {support} THEN final < {share} * (inside + final)
-       WHEN inside2 + final2 >= {support} THEN final2 < {share} * (inside2 + final2)
-       ELSE final1 < {share} * (inside1 + final1) END AS never_final
+  CASE WHEN inside + final >= {support} THEN final < {lift} * chance * (inside + final)
+       WHEN inside2 + final2 >= {support} THEN final2 < {lift} * chance * (inside2 + final2)
+       ELSE final1 < {lift} * chance * (inside1 + final1) END AS never_final
 FROM (
-  SELECT trigram, inside, final, sum(inside) OVER (PARTITION BY right(trigram, 2)) AS inside2, sum(final) OVER (PARTITION BY right(trigram, 2)) AS final2,
+  SELECT trigram, inside, final, sum(final) OVER () / sum(inside + final) OVER () AS chance, sum(inside) OVER (PARTITION BY right(trigram, 2)) AS inside2, sum(final) OVER (PARTITION BY right(trigram, 2)) AS final2,
     sum(inside) OVER (PARTITION BY right(trigram, 1)) AS inside1, sum(final) OVER (PARTITION BY right(trigram, 1)) AS final1 FROM {counts}
 ) WHERE final > 0
 """
@@ -75,7 +76,7 @@ def texts_of(df: DataFrame, *, src: str, id_col: str, text: str, source: str, at
     return df.where(F.col(id_col).isNotNull()).select(F.lit(src).alias("src"), F.col(id_col).cast("bigint").alias("id"), F.col(source).cast("string").alias("source"), F.col(at).cast("timestamp").alias("at"), F.col(text).alias("body"))
 
 
-def cut_texts(texts: DataFrame, *, terminal_share: float = TERMINAL_SHARE, support: int = SUPPORT) -> DataFrame:
+def cut_texts(texts: DataFrame, *, lift: float = LIFT, support: int = SUPPORT) -> DataFrame:
     """(src, id, source, cut) of each text."""
     spark = texts.sparkSession
     shapes = texts
@@ -83,7 +84,7 @@ def cut_texts(texts: DataFrame, *, terminal_share: float = TERMINAL_SHARE, suppo
         shapes = spark.sql(step, step=shapes)
     shapes = cut(shapes)
     counts = spark.sql(COUNTS, shapes=shapes)
-    verdicts = spark.sql(VERDICTS, counts=counts, support=support, share=terminal_share)
+    verdicts = spark.sql(VERDICTS, counts=counts, support=support, lift=lift)
     return spark.sql(FLAGS, shapes=shapes, verdicts=verdicts)
 
 
