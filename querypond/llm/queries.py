@@ -86,5 +86,20 @@ def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
 
+TOKENS = r"list_filter(regexp_split_to_array(lower(coalesce({x}, '')), '[^a-z0-9]+'), lambda w: w <> '')"
+
+SQL = {
+    "p1_found": """WITH one AS (SELECT entry_id, embedding FROM semantic_cache WHERE len(embedding) = 64 QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY hit_count DESC) = 1),
+v AS (SELECT entry_id, embedding::DOUBLE[] AS e FROM one WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT a.entry_id AS i, b.entry_id AS j, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.entry_id < b.entry_id),
+n AS (SELECT i, j, c FROM s WHERE c >= 0.92 UNION ALL SELECT j, i, c FROM s WHERE c >= 0.92)
+SELECT DISTINCT least(i, j) AS entry_a, greatest(i, j) AS entry_b FROM (SELECT i, j FROM n QUALIFY row_number() OVER (PARTITION BY i ORDER BY c DESC, j) <= 5)""",
+    "p7_found": f"""WITH d AS (SELECT doc_id, {TOKENS.format(x='text')} AS w FROM documents), i AS (SELECT item_id, {TOKENS.format(x='item_text')} AS w FROM eval_items), i2 AS (SELECT item_id, w, least(len(w), 13) AS n FROM i WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(w[k : k + n - 1], ' ') AS run FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM i2)),
+sizes AS (SELECT DISTINCT n FROM iw), dw AS (SELECT DISTINCT doc_id, n, array_to_string(w[k : k + n - 1], ' ') AS run FROM (SELECT doc_id, w, n, unnest(range(1, greatest(len(w) - n + 2, 1))) AS k FROM d, sizes WHERE len(w) >= n))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (n, run)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL
