@@ -14,7 +14,7 @@ def normal_text(text) -> F.Column:
 
 def first_by(df: DataFrame, key: list, order: list) -> DataFrame:
     """The first row of each key; the rank limit is applied before the shuffle, too."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
+    return df.withColumn("_first_by", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_first_by = 1").drop("_first_by")
 
 
 def exact(df: DataFrame, text: str, order: str) -> DataFrame:

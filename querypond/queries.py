@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 from querypond import constants as K
 from querypond.functions import signals
 from querypond.functions.dialect import DUCK, SPARK
-from querypond.operators import budget, dedup, evaluate, extract, ranking, research, timestamps
-from querypond.plans import planner
+from querypond.operators import budget, dedup, evaluate, extract, ranking, research, timestamps, vectors
+from querypond.plans import planner, search
 from querypond.runtime import table
 from querypond.sources import registry
 from querypond.streaming import state
@@ -275,17 +275,39 @@ SQL["detected_language"] = f"SELECT coalesce(lang, 'none') AS lang, {signals.lan
 
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     """For each vector whose id is divisible by 100, the ten most similar of all the others."""
-    v = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    v = v.withColumn("e", F.transform("e", lambda x: x / F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, y: a + y * y))))
+    v = vectors.units(table(spark, d, "embeddings"), "vec_id", "embedding", "e")
     queries = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"))
-    dot = F.aggregate(F.zip_with("e", "q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    pairs = v.join(queries, F.col("vec_id") != F.col("query_id")).select("query_id", F.col("vec_id").alias("doc_id"), F.round(dot, 6).alias("cosine"))
-    return ranking.top_per_query(pairs, 10, "cosine").select("query_id", F.col("doc_id").alias("vec_id"), "rank", "cosine")
+    pairs = vectors.against_all(queries, v).where("vec_id <> query_id").select("query_id", "vec_id", F.round("cosine", 6).alias("cosine"))
+    return ranking.top_per_query(pairs, 10, "cosine", "vec_id").select("query_id", "vec_id", "rank", "cosine")
 
 
 SQL["cosine_topk"] = "SELECT q.vec_id AS query_id, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, v.vec_id) AS rank, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS cosine FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id QUALIFY rank <= 10"
 
 
+def cache_probe(spark: SparkSession, d: str) -> DataFrame:
+    """Cached queries whose id is divisible by 100 looked up among the other entries that are alive."""
+    entries = dedup.first_by(table(spark, d, "semantic_cache"), [F.col("entry_id")], [F.col("hit_count").desc(), F.col("created_at")])
+    asked = vectors.units(entries.where("entry_id % 100 = 0"), "entry_id", "embedding", "q").withColumnRenamed("entry_id", "query_id")
+    alive = entries.where(F.expr(f"expires_at IS NULL OR expires_at > {CACHE_NOW}"))
+    near = vectors.against_all(asked, vectors.units(alive, "entry_id", "embedding", "e"), least=0.92).where("query_id <> entry_id").withColumn("cosine", F.round("cosine", 6))
+    return ranking.top_per_query(near, 1, "cosine", "entry_id").select("query_id", "entry_id", "cosine")
+
+
+CACHE_NOW = "TIMESTAMP '2023-01-01 00:00:00'"
+SQL["cache_probe"] = f"""WITH o AS (SELECT * FROM semantic_cache QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY hit_count DESC, created_at) = 1), v AS (SELECT entry_id, embedding::DOUBLE[] AS e, expires_at FROM o WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.entry_id AS query_id, v.entry_id, round(list_cosine_similarity(q.e, v.e), 6) AS cosine FROM v q JOIN v ON len(q.e) = len(v.e) AND q.entry_id <> v.entry_id WHERE q.entry_id % 100 = 0 AND (v.expires_at IS NULL OR v.expires_at > {CACHE_NOW}) AND list_cosine_similarity(q.e, v.e) >= 0.92)
+SELECT query_id, entry_id, cosine FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, entry_id) = 1"""
+
+
+def search_results(spark: SparkSession, d: str) -> DataFrame:
+    """The whole pipeline: items searched in the results of all sources."""
+    return search.search(_items(spark, d), results(spark, d))
+
+
+def research_sources(spark: SparkSession, d: str) -> DataFrame:
+    return search.research(_items(spark, d), results(spark, d))
+
+
 def _judged(spark: SparkSession, d: str) -> DataFrame:
     """Results of each query in order, judged against its first one: the same address or a like title, else shared words."""
     rows = results(spark, d).select("query_id", "result_id", "url", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("snippet", F.lit("")).alias("snippet"), "provider")
@@ -505,7 +527,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 NAMES = (
-    "p4_found p4_zones exact_dedup token_stats term_freq doc_freq bm25_topk final_scores reranked rrf url_dedup url_parts provider_cap spam_penalty query_plan query_boosts domain_hints text_flags detected_language cosine_topk judge_match retrieval_metrics "
+    "p4_found p4_zones exact_dedup token_stats term_freq doc_freq bm25_topk final_scores reranked rrf url_dedup url_parts provider_cap spam_penalty query_plan query_boosts domain_hints text_flags detected_language cosine_topk cache_probe search_results research_sources judge_match retrieval_metrics "
     "metrics_summary threshold_violations budget_truncate context_strings answer_confidence citation_list page_links articles code_blocks crawl greedy_dedup provider_results source_registry rate_windows value_histogram usage_analytics watch_alerts credibility_fold memory_fold circuit_fold best_sources order_revenue"
 ).split()
 
