@@ -216,11 +216,12 @@ def similar_classes(
 
     # One row a class. Its exchange serves the paths and, on both sides, the comparison of the sets.
     one = hashed.groupBy("class").agg(F.first("tokens").alias("tokens"))
-    buckets = one.mapInArrow(paths, "key bigint, class bigint, low bigint, high bigint").repartition("key")
-    other = buckets.select("key", *[F.col(c).alias(f"{c}_b") for c in ("class", "low", "high")])
-    differing = F.bit_count(F.col("low").bitwiseXOR(F.col("low_b"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("high_b")))
-    near = (F.col("class") < F.col("class_b")) & (differing <= sketch_bound(threshold))
-    candidates = buckets.join(other, "key").where(near).select(F.col("class").alias("class_a"), "class_b").repartition("class_a").distinct()
+    buckets = one.mapInArrow(paths, "key bigint, class bigint, low bigint, high bigint")
+    # Both sides of the self-join keep their columns' names, so that they are one exchange, which AQE may split where a key is hot.
+    a, b = buckets.alias("a"), buckets.alias("b")
+    differing = F.bit_count(F.col("a.low").bitwiseXOR(F.col("b.low"))) + F.bit_count(F.col("a.high").bitwiseXOR(F.col("b.high")))
+    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.class") < F.col("b.class")) & (differing <= sketch_bound(threshold))
+    candidates = a.join(b, near).select(F.col("a.class").alias("class_a"), F.col("b.class").alias("class_b")).distinct()
     left, right = (one.select(F.col("class").alias(f"class_{s}"), F.col("tokens").alias(f"tokens_{s}")) for s in "ab")
     common = F.size(F.array_intersect("tokens_a", "tokens_b"))
     jaccard = common / (F.size("tokens_a") + F.size("tokens_b") - common)

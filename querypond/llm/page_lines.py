@@ -19,7 +19,7 @@ _WORDING = [
             r"^(recevez|recibe|jetzt den|get the best of)\b", r"\bcreate a free account\b|\bsign in to (save|comment|reply)|\blog in to (reply|comment)", r"^zum antworten anmelden|^connectez-vous pour|^inicia sesión para", r"^loading comments|^(post|leave|add) a (comment|reply)", r"\bto (view|see|load) the comments?\b", r"\bwas this (page|article) helpful|cette page vous a-t-elle", r"^war diese seite hilfreich|^¿?te (ha )?(resultado|sido) útil|^rate this",
             r"^(edit|improve) this page|^skip to (main )?content|^zum inhalt springen|^aller au contenu|^saltar al contenido|^back to top|^nach oben|^(continue|keep) reading( below)?\W*$|^weiterlesen\W*$|^lire la suite\W*$",
             # advertising and related items
-            r"^(advertisement|anzeige|publicité|publicidad|werbung|sponsored|promoted)\b", r"^(contenu sponsorisé|contenido patrocinado|gesponsert)\b", r"^hire \S+.{0,40}\b(engineers|developers|experts)\b", r"\btry it free\b",
+            r"^(advertisement|anzeige|publicité|publicidad|werbung|sponsored|promoted)\b", r"^(contenu (sponsorisé|partenaire)|contenido patrocinado|gesponsert|patrocinado|ofrecido|presentado|sponsorisé|offert|présenté|präsentiert|unterstützt|brought to you|presented|powered|in partnership)( von| by| par| por| with)?\b.{0,60}$", r"^hire \S+.{0,40}\b(engineers|developers|experts)\b", r"\btry it free\b",
             r"^(trending|related( articles| posts)?|you may also like|popular( this week| posts)?|more from|recommended|most read|read next|see also from|das könnte dich auch interessieren|meistgelesen|mehr von|à lire aussi|les plus lus|plus sur|te puede interesar|lo más leído|más de)\b.{0,40}$",
             r"^(trending|related( articles| posts)?|you may also like|popular( this week| posts)?|more from [^:]{1,40}|recommended|most read|das könnte dich auch interessieren|meistgelesen|mehr von [^:]{1,40}|à lire aussi|les plus lus|plus sur [^:]{1,40}|te puede interesar|lo más leído|más de [^:]{1,40})\s*: ",
 ]
