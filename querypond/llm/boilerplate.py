@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from querypond.llm.page_lines import RELATED, Line, html_lines, is_navigation, markdown_lines, masked, site_name, wording
 from querypond.runtime import cut
 
+#: Repetition from which a short line of several sites is furniture for certain: on 0.2 % of all pages.
+FREQUENT = float(np.log1p(500 * 0.002))
 #: Parameters and settings: they recur as furniture does, but belong to the text.
 ASSIGNMENT = re.compile(r"\w\s*(?::=|=|→|->)\s*\S")
 #: Weights of the smoothness edges, in nats.
@@ -170,11 +172,12 @@ def fit(x: np.ndarray, y: np.ndarray, steps: int = 400, rate: float = 0.5, ridge
 
 def certain(features: np.ndarray) -> np.ndarray:
     """1: furniture for certain, 0: content for certain, nan: neither. Columns as in line_features, then repetition."""
-    words, sentence, wording, nav, inside, outside, code, h1, setting = (features[:, i] for i in (1, 3, 4, 6, 8, 9, 13, 10, 21))
+    words, sentence, wording, nav, inside, outside, h1, head, code, setting = (features[:, i] for i in (1, 3, 4, 6, 8, 9, 10, 11, 13, 21))
     pages, sites = features[:, -3], features[:, -2]
+    plain = (wording == 0) & (nav == 0) & (inside == 0)
     out = np.full(len(features), np.nan)
-    out[(wording > 0) | (nav > 0) | ((sites >= np.log(4)) & (words <= 0.5) & (code == 0) & (h1 == 0) & (setting == 0))] = 1
-    out[((sentence > 0) & (pages <= np.log(2)) & (inside == 0) & (wording == 0)) | (code > 0) | ((outside > 0) & (wording == 0) & (inside == 0) & (sites <= np.log(3))) | ((setting > 0) & (wording == 0) & (inside == 0)) | ((h1 > 0) & (sites <= np.log(3)))] = 0
+    out[(wording > 0) | (nav > 0) | ((sites >= np.log(4)) & (pages >= FREQUENT) & (words <= 0.5) & (code == 0) & (h1 == 0) & (head == 0) & (setting == 0))] = 1
+    out[(code > 0) | plain & ((sentence > 0) & (pages == 0) | (setting > 0) | (outside > 0) | (head > 0) | (h1 > 0))] = 0
     return out
 
 
@@ -209,10 +212,13 @@ def label_lines(pages: DataFrame, *, sample_lines: int = 20_000, seed: int = 3)
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds)), features], names=["src", "id", "host", "line_no", "mask", "first", "role", "block", "side", "inside", "outside", "related", "features"])
 
     lines = cut(pages.mapInArrow(lines_of, schema))
+    total = lines.select("src", "id").distinct().count()
     repeated = lines.where("first").groupBy("mask", "host").agg(F.count("*").alias("n")).groupBy("mask").agg(F.sum("n").alias("pages"), F.count("*").alias("sites"), F.max("n").alias("most"))
     counted = lines.join(repeated.where("pages > 1"), "mask", "left")
-    log = lambda c: F.log(F.coalesce(c, F.lit(1)).cast("double"))
-    full = counted.withColumn("features", F.concat("features", F.array(*[log(F.col(c)).cast("float") for c in ("pages", "sites", "most")])))
+    # Repetition in proportion to all pages, so that it means the same in a collection of any size.
+    share = lambda c: F.log1p(F.lit(500.0) * (F.coalesce(F.col(c), F.lit(1)) - 1) / F.lit(float(max(1, total))))
+    sites = F.log(F.least(F.coalesce("sites", F.lit(1)), F.lit(16)).cast("double"))
+    full = counted.withColumn("features", F.concat("features", F.array(share("pages").cast("float"), sites.cast("float"), share("most").cast("float"))))
     full = cut(full.groupBy("src", "id").agg(F.array_sort(F.collect_list(F.struct("line_no", "role", "block", "side", "inside", "outside", "related", "features"))).alias("lines")))
 
     # A bounded sample for the classifier: whole pages in the order of a hash until the lines suffice.
