@@ -88,7 +88,29 @@ def queries() -> dict[str, Query]:
 
 TOKENS = r"list_filter(regexp_split_to_array(lower(coalesce({x}, '')), '[^a-z0-9]+'), lambda w: w <> '')"
 
+_CUT = r"""WITH texts AS (SELECT 'search_results' AS src, result_id AS id, provider AS source, ingested_at AS seen, snippet AS body FROM search_results UNION ALL SELECT 'gnews_articles', article_id, source_id, fetched_at, content_text FROM gnews_articles),
+s1 AS (SELECT src, id, source, seen, rtrim(regexp_replace(body, '[\s\x{00A0}]+', ' ', 'g')) AS body FROM texts WHERE length(trim(body)) > 0),
+s2 AS (SELECT * REPLACE (regexp_replace(body, '&[a-zA-Z]{2,8};|&#[0-9]{1,6};', '"', 'g') AS body) FROM s1),
+s3 AS (SELECT * REPLACE (rtrim(regexp_replace(body, '( ?(\.{2,}|…|\[(\.{3}|…)\]|\((\.{3}|…)\)|\[\+?[0-9]+ chars\]))+$', '')) AS body), regexp_matches(body, '(\x{FFFD}|\pL[-\x{2010}]|<[^<>]*|&#?[a-zA-Z0-9]{0,8}|[\(\[][^()\[\]]{0,60})$') AS broken FROM s2),
+s4 AS (SELECT * REPLACE (regexp_replace(regexp_replace(body, '`[^`]*`', ' ⓒ ', 'g'), 'https?://[^\s]+', ' ⓛ ', 'g') AS body) FROM s3),
+s5 AS (SELECT *, regexp_replace(body, '(?s)^.*[.!?]["”»’)]*[ ]', '') AS tail FROM s4),
+s6 AS (SELECT *, len(regexp_extract_all(tail, '[|·/,–&:(]')) AS marks, len(regexp_extract_all(tail, '[\pL\pN]+')) AS words FROM s5),
+s7 AS (SELECT * REPLACE (CASE WHEN marks >= 3 AND words <= 2 * (marks + 1) THEN left(body, length(body) - length(tail)) || regexp_replace(tail, '[\pL\pN][\pL\pN.]*', 'ⓚ', 'g') ELSE body END AS body) FROM s6),
+shapes AS (SELECT src, id, source, seen, broken, '^^' || regexp_replace(regexp_replace(regexp_replace(regexp_replace(body, '[0-9][0-9.,]*[0-9]|[0-9]', '0', 'g'), '\p{Lu}[\pL\pM]*(?:[''’-]\pL+)*', 'A', 'g'), '\p{Ll}[\pL\pM]*(?:[''’-]\pL+)*', 'a', 'g'), '\s+', '', 'g') AS shape FROM s7),
+every AS (SELECT t, count(*) AS n FROM (SELECT unnest(list_transform(range(1, length(shape) - 1), lambda i: substring(shape, i, 3))) AS t FROM shapes) GROUP BY t),
+ends AS (SELECT right(shape, 3) AS t, count(*) AS f FROM shapes GROUP BY 1),
+c AS (SELECT t, n, coalesce(f, 0) AS f FROM every LEFT JOIN ends USING (t)),
+w AS (SELECT *, sum(f) OVER () / sum(n) OVER () AS chance, sum(n) OVER (PARTITION BY right(t, 2)) AS n2, sum(f) OVER (PARTITION BY right(t, 2)) AS f2, sum(n) OVER (PARTITION BY right(t, 1)) AS n1, sum(f) OVER (PARTITION BY right(t, 1)) AS f1 FROM c),
+v AS (SELECT t, CASE WHEN n >= 30 THEN f < 2 * chance * n WHEN n2 >= 30 THEN f2 < 2 * chance * n2 ELSE f1 < 2 * chance * n1 END AS never FROM w WHERE f > 0),
+flags AS (SELECT src, id, arg_max(source, seen) AS source, arg_max(broken OR coalesce(never, true), seen) AS cut FROM shapes LEFT JOIN v ON right(shape, 3) = v.t GROUP BY src, id)"""
+
 SQL = {
+    "p3_found": f"""WITH r AS (SELECT result_id, title, snippet FROM search_results QUALIFY row_number() OVER (PARTITION BY result_id ORDER BY ingested_at DESC) = 1),
+s AS (SELECT result_id AS id, list_distinct({TOKENS.format(x="coalesce(title, '') || ' ' || coalesce(snippet, '')")}) AS w FROM r), k AS (SELECT id, w, len(w) AS n FROM s WHERE len(w) >= 16), tok AS (SELECT id, n, unnest(w) AS t FROM k), df AS (SELECT t, count(*) AS c FROM tok GROUP BY t),
+p AS (SELECT id, t FROM tok JOIN df USING (t) QUALIFY row_number() OVER (PARTITION BY id ORDER BY c, t) <= n - ceil(0.7 * n - 1e-9) + 1), c AS (SELECT DISTINCT a.id AS i, b.id AS j FROM p a JOIN p b ON a.t = b.t AND a.id < b.id),
+m AS (SELECT i, j, len(list_intersect(a.w, b.w)) AS o, a.n AS x, b.n AS y FROM c JOIN k a ON a.id = i JOIN k b ON b.id = j) SELECT i AS result_a, j AS result_b FROM m WHERE o >= 0.7 * (x + y - o) - 1e-9""",
+    "p6_found": _CUT + " SELECT src, id AS record_id FROM flags WHERE cut",
+    "p6_shares": _CUT + " SELECT src, source, count(*) AS texts, count_if(cut)::BIGINT AS cut_texts, round(count_if(cut) / count(*), 6) AS share FROM flags GROUP BY src, source",
     "p1_found": """WITH one AS (SELECT entry_id, embedding FROM semantic_cache WHERE len(embedding) = 64 QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY hit_count DESC) = 1),
 v AS (SELECT entry_id, embedding::DOUBLE[] AS e FROM one WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 s AS (SELECT a.entry_id AS i, b.entry_id AS j, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.entry_id < b.entry_id),
