@@ -186,8 +186,8 @@ def similar_classes(
     sets: DataFrame,
     *,
     threshold: float = 0.7,
-    recall: float = 0.98,
-    width: int = 8,
+    recall: float = 0.999,
+    width: int = 12,
     spread: int = 1,
     bucket: float = 64.0,
     power: float = 1.5,
