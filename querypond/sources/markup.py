@@ -91,12 +91,15 @@ def _embedded(payloads: DataFrame, pattern: str) -> DataFrame:
 
 
 def youtube(payloads: DataFrame) -> DataFrame:
-    """Videos in the data that a result page embeds; other items are dropped, text runs are joined."""
-    found = _embedded(payloads, r"(?s)ytInitialData\s*=\s*(\{.*?\});\s*</script>").select(F.explode(F.from_json(F.get_json_object("data", "$..videoRenderer"), "array<string>")).alias("item"))
-    runs = lambda p: F.concat_ws("", F.from_json(F.get_json_object("item", f"$.{p}.runs[*].text"), "array<string>"))
-    title = F.coalesce(F.nullif(runs("title"), F.lit("")), F.get_json_object("item", "$.title.runs[0].text"), F.get_json_object("item", "$.title.simpleText"))
-    video = F.get_json_object("item", "$.videoId")
-    return _form(found.where(video.isNotNull()), "youtube", id=video, url=F.concat(F.lit("https://www.youtube.com/watch?v="), video), title=title, published_at=F.get_json_object("item", "$.publishedTimeText.simpleText"), author=F.get_json_object("item", "$.ownerText.runs[0].text"))
+    """Videos in the data that a result page embeds, at any depth; other items are dropped, text runs are joined."""
+    parts = _embedded(payloads, r"(?s)ytInitialData\s*=\s*(\{.*?\});\s*</script>").select(F.posexplode(F.split("data", r'"videoRenderer"\s*:\s*')).alias("n", "item")).where("n > 0")
+    item = F.col("item")
+    text = r'"((?:[^"\\]|\\.)*)"'
+    runs = lambda name: F.concat_ws("", F.regexp_extract_all(F.regexp_extract(item, rf'"{name}"\s*:\s*\{{\s*"runs"\s*:\s*\[(.*?)\]', 1), F.lit(rf'"text"\s*:\s*{text}'), F.lit(1)))
+    simple = lambda name: F.nullif(F.regexp_extract(item, rf'"{name}"\s*:\s*\{{[^{{}}]*?"simpleText"\s*:\s*{text}', 1), F.lit(""))
+    video = F.regexp_extract(item, rf'^\s*\{{\s*"videoId"\s*:\s*{text}', 1)
+    found = parts.where(video != "")
+    return _form(found, "youtube", id=video, url=F.concat(F.lit("https://www.youtube.com/watch?v="), video), title=F.coalesce(F.nullif(runs("title"), F.lit("")), simple("title")), published_at=simple("publishedTimeText"), author=F.nullif(runs("ownerText"), F.lit("")))
 
 
 def medium(payloads: DataFrame) -> DataFrame:

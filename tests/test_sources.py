@@ -29,6 +29,8 @@ def test_pages(spark):
     assert [(x.url, x.published_at) for x in one(spark, '{"url": "http://a", "timestamp": "20240102030405", "digest": "D"}\n{"url": "http://a", "timestamp": "20230102"}\n', markup.commoncrawl)][0][0] == "http://a"
     nested = '{"RelatedTopics": [{"FirstURL": "http://a", "Text": "One - the first"}, {"Name": "g", "Topics": [{"FirstURL": "http://b", "Text": "Two"}]}]}'
     assert sorted((x.url, x.title) for x in one(spark, nested, markup.duckduckgo)) == [("http://a", "One"), ("http://b", "Two")]
+    videos = '<script>var ytInitialData = {"contents": [{"adRenderer": {"x": 1}}, {"videoRenderer": {"videoId": "v1", "title": {"runs": [{"text": "A "}, {"text": "tale"}]}, "publishedTimeText": {"simpleText": "2 days ago"}, "ownerText": {"runs": [{"text": "Ann"}]}}}, {"deep": {"videoRenderer": {"videoId": "v2", "title": {"simpleText": "B"}}}}]};</script>'
+    assert [(x.id, x.title, x.published_at, x.author) for x in one(spark, videos, markup.youtube)] == [("v1", "A tale", "2 days ago", "Ann"), ("v2", "B", None, None)]
     state = '<script>window.__APOLLO_STATE__ = {"Post:1": {"id": "1", "title": "T", "mediumUrl": "http://m", "clapCount": 3}, "User:2": {}}</script>'
     assert [(x.title, x.snippet) for x in one(spark, state, markup.medium)] == [("T", " (3 claps, 0 responses)")]
 
