@@ -42,63 +42,80 @@ ASSIGNMENT = re.compile(r"\w\s*(?::=|=|→|->)\s*\S")
 NEXT, SAME_LIST, AFTER_HEADING, CONTAINER = 0.35, 1.6, 1.4, 0.25
 
 
-def line_features(lines: list[Line]) -> list[list[float]]:
-    """Features of each line that its page alone tells; three of repetition follow later."""
+#: Bits of a line, in the order of their columns among the features.
+BITS = ("short", "sentence", "wording", "mention", "navigation", "inside", "outside", "h1", "h", "li", "code", "side", "below", "before", "last", "bars", "number", "setting", "related")
+BIT = {name: 1 << i for i, name in enumerate(BITS)}
+#: Columns of the features of a line.
+COLUMNS = ("one", "words", "short", "sentence", "wording", "mention", "navigation", "linked", "inside", "outside", "h1", "h", "li", "code", "side", "below", "before", "place", "last", "bars", "number", "setting", "pages", "sites", "most")
+
+
+def line_features(lines: list[Line]) -> list[tuple[int, int, float, float]]:
+    """(bits, words, share of linked words, place) of each line, as its page alone tells them."""
     n, out = len(lines), []
     first_h1 = next((i for i, line in enumerate(lines) if line.role == "h1"), -1)
     below = False  # under a heading of related items
     for i, line in enumerate(lines):
-        words = len(line.words)
+        text, words = line.text, len(line.words)
+        related = bool(RELATED.match(text))
         if line.role in ("h1", "h"):
-            below = bool(RELATED.match(line.text)) and words <= 8
-        elif line.role not in ("li",):
-            below = below and False
-        hit = wording(line.text, line.words) >= 0
-        sentence = words >= 10 and line.text.rstrip("\"”»’)]")[-1:] in ".!?:;"
-        short = 1.0 if words <= 3 else 0.0
-        out.append(
-            [
-                1.0,
-                min(words, 40) / 40,
-                short,
-                float(sentence),
-                float(hit and words <= 16),
-                float(hit and words > 16),
-                float(is_navigation(line)),
-                line.linked / max(1, words),
-                float(line.inside > 0),
-                float(line.outside > 0),
-                float(line.role == "h1"),
-                float(line.role == "h"),
-                float(line.role == "li"),
-                float(line.role == "code"),
-                float(line.side),
-                float(below),
-                float(first_h1 >= 0 and i < first_h1),
-                i / max(1, n - 1),
-                float(i >= n - 3),
-                float("|" in line.text or "·" in line.text),
-                float(words == 2 and line.words[0].isdigit()),
-                float(("=" in line.text or "→" in line.text or "->" in line.text) and bool(ASSIGNMENT.search(line.text))),
-            ]
-        )
+            below = related and words <= 8
+        elif line.role != "li":
+            below = False
+        bits = BIT.get(line.role, 0)
+        if words <= 3:
+            bits |= BIT["short"]
+        if words >= 10 and text.rstrip("\"”»’)]")[-1:] in ".!?:;":
+            bits |= BIT["sentence"]
+        if wording(text, line.words) >= 0:
+            bits |= BIT["wording"] if words <= 16 else BIT["mention"]
+        if is_navigation(line):
+            bits |= BIT["navigation"]
+        if line.inside:
+            bits |= BIT["inside"]
+        if line.outside:
+            bits |= BIT["outside"]
+        if line.side:
+            bits |= BIT["side"]
+        if below:
+            bits |= BIT["below"]
+        if i < first_h1:
+            bits |= BIT["before"]
+        if i >= n - 3:
+            bits |= BIT["last"]
+        if "|" in text or "·" in text:
+            bits |= BIT["bars"]
+        if words == 2 and line.words[0].isdigit():
+            bits |= BIT["number"]
+        if ("=" in text or "→" in text or "->" in text) and ASSIGNMENT.search(text):
+            bits |= BIT["setting"]
+        if related:
+            bits |= BIT["related"]
+        out.append((bits, min(words, 40), line.linked / max(1, words), i / max(1, n - 1)))
     return out
 
 
-def edges_of(roles: list[str], blocks: list[int], sides: list[bool], inside: list[bool], outside: list[bool], related: list[bool]) -> list[tuple[int, int, float]]:
+def feature_matrix(bits: np.ndarray, **values: np.ndarray) -> np.ndarray:
+    """One row a line, columns as in COLUMNS."""
+    values = {"one": np.ones(len(bits)), **values, "words": values["words"] / 40}
+    return np.stack([values[c] if c in values else (bits & BIT[c] > 0).astype(np.float64) for c in COLUMNS], axis=1).astype(np.float64)
+
+
+def edges_of(bits: list[int], blocks: list[int]) -> list[tuple[int, int, float]]:
     """Smoothness edges between lines of a page."""
+    code, li, h, side, inside, related = (BIT[x] for x in ("code", "li", "h", "side", "inside", "related"))
+    links = BIT["inside"] | BIT["outside"]
     out = []
-    for i in range(1, len(roles)):
-        a, b = i - 1, i
-        same = blocks[a] == blocks[b]
-        if roles[a] == roles[b] == "code" or roles[a] == roles[b] == "li" and inside[a] == inside[b] and outside[a] == outside[b] and (same or inside[a]):
-            out.append((a, b, SAME_LIST))
-        elif roles[a] == "h" and related[a] and roles[b] == "li" and inside[b]:
-            out.append((a, b, AFTER_HEADING))
+    for i in range(1, len(bits)):
+        a, b = bits[i - 1], bits[i]
+        same = blocks[i - 1] == blocks[i]
+        if a & b & code or a & b & li and a & links == b & links and (same or a & inside):
+            out.append((i - 1, i, SAME_LIST))
+        elif a & h and a & related and b & li and b & inside:
+            out.append((i - 1, i, AFTER_HEADING))
         elif same:
-            out.append((a, b, NEXT))
-        elif sides[a] and sides[b]:
-            out.append((a, b, CONTAINER))
+            out.append((i - 1, i, NEXT))
+        elif a & b & side:
+            out.append((i - 1, i, CONTAINER))
     return out
 
 
@@ -171,9 +188,8 @@ def fit(x: np.ndarray, y: np.ndarray, steps: int = 400, rate: float = 0.5, ridge
 
 
 def certain(features: np.ndarray) -> np.ndarray:
-    """1: furniture for certain, 0: content for certain, nan: neither. Columns as in line_features, then repetition."""
-    words, sentence, wording, nav, inside, outside, h1, head, code, setting = (features[:, i] for i in (1, 3, 4, 6, 8, 9, 10, 11, 13, 21))
-    pages, sites = features[:, -3], features[:, -2]
+    """1: furniture for certain, 0: content for certain, nan: neither."""
+    words, sentence, wording, nav, inside, outside, h1, head, code, setting, pages, sites = (features[:, COLUMNS.index(c)] for c in ("words", "sentence", "wording", "navigation", "inside", "outside", "h1", "h", "code", "setting", "pages", "sites"))
     plain = (wording == 0) & (nav == 0) & (inside == 0)
     out = np.full(len(features), np.nan)
     out[(wording > 0) | (nav > 0) | ((sites >= np.log(4)) & (pages >= FREQUENT) & (words <= 0.5) & (code == 0) & (h1 == 0) & (head == 0) & (setting == 0))] = 1
@@ -189,27 +205,30 @@ def page_rows(pages: DataFrame, *, src: str, id_col: str, text: str, host: str,
 
 def label_lines(pages: DataFrame, *, sample_lines: int = 20_000, seed: int = 3) -> DataFrame:
     """(src, id, line_no, furniture) of every line with visible text."""
-    schema = "src string, id bigint, host string, line_no int, mask bigint, first boolean, role string, block int, side boolean, inside boolean, outside boolean, related boolean, features array<float>"
+    schema = "src string, id bigint, host string, line_no int, mask bigint, first boolean, block int, bits int, words int, linked float, place float"
 
     def lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[] for _ in range(12)]
-            flat: list[float] = []
-            for src, i, host, text, html in zip(*(batch.column(c).to_pylist() for c in ("src", "id", "host", "text", "html"))):
+            number, mask, first, block, sizes = [], [], [], [], []
+            features: list[tuple] = []
+            for host, text, html in zip(*(batch.column(c).to_pylist() for c in ("host", "text", "html"))):
                 lines = html_lines(text) if html else markdown_lines(text)
                 seen, site = set(), site_name(host)
-                for line, f in zip(lines, line_features(lines)):
-                    mask = int.from_bytes(blake2b(masked(line.text, site).encode(), digest_size=8).digest(), "little", signed=True)
-                    for column, value in zip(columns, (src, i, host, line.number, mask, mask not in seen, line.role, line.block, line.side, line.inside > 0, line.outside > 0, bool(RELATED.match(line.text)))):
-                        column.append(value)
-                    flat.extend(f)
-                    seen.add(mask)
-            n = len(columns[0])
-            if n:
-                width = len(flat) // n
-                features = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, width, dtype=np.int32)), pa.array(np.array(flat, dtype=np.float32)))
-                kinds = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds)), features], names=["src", "id", "host", "line_no", "mask", "first", "role", "block", "side", "inside", "outside", "related", "features"])
+                for line in lines:
+                    m = int.from_bytes(blake2b(masked(line.text, site).encode(), digest_size=8).digest(), "little", signed=True)
+                    number.append(line.number)
+                    mask.append(m)
+                    first.append(m not in seen)
+                    block.append(line.block)
+                    seen.add(m)
+                features.extend(line_features(lines))
+                sizes.append(len(lines))
+            if number:
+                take = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+                bits, words, linked, place = zip(*features)
+                own = [batch.column(c).take(take) for c in ("src", "id", "host")]
+                made = [pa.array(number, pa.int32()), pa.array(mask, pa.int64()), pa.array(first, pa.bool_()), pa.array(block, pa.int32()), pa.array(bits, pa.int32()), pa.array(words, pa.int32()), pa.array(linked, pa.float32()), pa.array(place, pa.float32())]
+                yield pa.RecordBatch.from_arrays(own + made, names=["src", "id", "host", "line_no", "mask", "first", "block", "bits", "words", "linked", "place"])
 
     lines = cut(pages.mapInArrow(lines_of, schema))
     total = lines.select("src", "id").distinct().count()
@@ -218,14 +237,15 @@ def label_lines(pages: DataFrame, *, sample_lines: int = 20_000, seed: int = 3)
     # Repetition in proportion to all pages, so that it means the same in a collection of any size.
     share = lambda c: F.log1p(F.lit(500.0) * (F.coalesce(F.col(c), F.lit(1)) - 1) / F.lit(float(max(1, total))))
     sites = F.log(F.least(F.coalesce("sites", F.lit(1)), F.lit(16)).cast("double"))
-    full = counted.withColumn("features", F.concat("features", F.array(share("pages").cast("float"), sites.cast("float"), share("most").cast("float"))))
-    full = cut(full.groupBy("src", "id").agg(F.array_sort(F.collect_list(F.struct("line_no", "role", "block", "side", "inside", "outside", "related", "features"))).alias("lines")))
+    full = counted.select("src", "id", F.struct("line_no", "block", "bits", "words", "linked", "place", share("pages").cast("float").alias("pages"), sites.cast("float").alias("sites"), share("most").cast("float").alias("most")).alias("line"))
+    full = cut(full.groupBy("src", "id").agg(F.array_sort(F.collect_list("line")).alias("lines")))
 
     # A bounded sample for the classifier: whole pages in the order of a hash until the lines suffice.
-    taken = full.select("src", "id", "lines").orderBy(F.xxhash64("src", "id", F.lit(seed))).limit(max(50, sample_lines // 40)).select(F.explode("lines.features").alias("f")).limit(sample_lines).collect()
+    taken = full.orderBy(F.xxhash64("src", "id", F.lit(seed))).limit(max(50, sample_lines // 40)).select(F.explode("lines").alias("line")).select("line.*").limit(sample_lines).collect()
     if not taken:
         return lines.select("src", "id", "line_no", F.lit(False).alias("furniture"))
-    x = np.array([r["f"] for r in taken], dtype=np.float64)
+    measured = ("words", "linked", "place", "pages", "sites", "most")
+    x = feature_matrix(np.array([r["bits"] for r in taken]), **{c: np.array([r[c] for r in taken], dtype=np.float64) for c in measured})
     y = certain(x)
     sure = ~np.isnan(y)
     w = fit(x[sure], y[sure]) if len(set(y[sure])) == 2 else None
@@ -236,14 +256,15 @@ def label_lines(pages: DataFrame, *, sample_lines: int = 20_000, seed: int = 3)
                 continue
             column = batch.column("lines")
             sizes, flat = np.asarray(column.value_lengths(), dtype=np.int64), column.flatten()
-            f = np.asarray(flat.field("features").flatten(), dtype=np.float64).reshape(len(flat), -1)
+            bits = np.asarray(flat.field("bits"))
+            f = feature_matrix(bits, **{c: np.asarray(flat.field(c), dtype=np.float64) for c in measured})
             z = np.clip(f @ w, -12, 12) if w is not None else np.where(certain(f) == 1, 4.0, -4.0)
             content, furniture = np.logaddexp(0, z).tolist(), np.logaddexp(0, -z).tolist()
-            parts = [flat.field(k).to_pylist() for k in ("role", "block", "side", "inside", "outside", "related")]
+            marks, blocks = bits.tolist(), flat.field("block").to_pylist()
             out, at = [], 0
             for n in sizes:
                 end = at + int(n)
-                out.extend(minimum_cut(furniture[at:end], content[at:end], edges_of(*(p[at:end] for p in parts))))
+                out.extend(minimum_cut(furniture[at:end], content[at:end], edges_of(marks[at:end], blocks[at:end])))
                 at = end
             take = pa.array(np.repeat(np.arange(len(sizes)), sizes))
             yield pa.RecordBatch.from_arrays([batch.column("src").take(take), batch.column("id").take(take), flat.field("line_no"), pa.array(out, pa.bool_())], names=["src", "id", "line_no", "furniture"])
