@@ -212,6 +212,8 @@ def near_links(classes: DataFrame, *, hamming: int = HAMMING, similarity: float
 def components(links: DataFrame, rounds: int = 30) -> DataFrame:
     """(node, component) by smallest labels with pointer jumping; ends when no label changes."""
     edges = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    if not edges.limit(1).count():
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("component")))
     for _ in range(rounds):
         around = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("best"))
