@@ -2,18 +2,21 @@
 
 Per page. Code is set aside for the search of unfilled placeholders, in title and text. What is left of the text without
 furniture and headings is its body; its lines are content or residue (filler, an error, blocking or refusal message, a notice
-that scripts are needed). A page without content lines but with residue is trusted residue; one with content is trusted
-content; a page whose body is a few words that no rule knows is open.
-
-Near-duplicates. Bodies are normalised (case, digits, the site's name) and equal ones form a class. Short bodies of the
-classes get a 64-bit SimHash over shingles of five words; the hash is cut into bands, each a table that is partitioned by
-(band, value), so that hashes within ``hamming`` bits share a value in at least one (bands = hamming + 1). Candidates are
-verified by Hamming distance, then by the Jaccard similarity of their shingles (0.8 or more), and links join classes into
-connected components (smallest label, with pointer jumping, a checkpoint a round). A component with trusted residue and no
-trusted content passes its label to its open pages.
-
-Scale. Only classes of short bodies take part, in fixed-width rows; equal bodies, the usual hot group here, are one class.
-The join on (band, value) streams its matches and is split by AQE where a value is hot.
+that scripts are needed). A page without content lines but with residue is trusted residue, one with code or references to other
+sites trusted content; any other page with words is open, whatever its length.
+
+Near-duplicates. Bodies are normalised (case, digits, the site's name) and equal ones form a class. Classes get SimHashes over
+shingles of five words, enough independent ones for the bands that two bodies right at the similarity need to share a band with a
+probability of 0.999 (``tables_for``). Each band is a table that is partitioned by (band, value). Candidates are
+verified by the Hamming distance of their first 64 bits, within a bound that pairs at the similarity keep (``hamming_for``),
+then by the Jaccard similarity of their shingles (0.8 or more). A component with trusted residue and no trusted content passes its label
+to its open pages.
+
+Scale. Only components with trusted residue matter, so links are followed from the residue outwards, a checkpoint a round, until
+nothing new is reached; a round looks at the classes whose numbers of shingles allow the similarity to what the last one reached.
+The tables of what was reached are broadcast only after they were counted; else the join on (band, value) streams its matches
+and is split by AQE where a value is hot. Bands get wider with the number of classes, so that chance meetings stay few. The links
+join classes into connected components (smallest label, with pointer jumping).
 
 Defined results: null titles and texts are empty; pages with neither rule hits nor links stay out; rows with a null id are
 dropped; of rows with one id the latest counts; an empty table gives no rows; other columns are ignored.
@@ -21,20 +24,23 @@ dropped; of rows with one id the latest counts; an empty table gives no rows; ot
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from querypond.llm.chosen_path import mix
 from querypond.llm.page_lines import Line, html_lines, is_furniture, markdown_lines, masked, site_name
 from querypond.runtime import cut
 
-SHINGLE, SIMILARITY, HAMMING = 5, 0.8, 3
-#: Words up to which a body without content can be open.
-SHORT_BODY = 60
+SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.999
+#: Rows of tables up to which they are broadcast; above, the join is shuffled.
+BROADCAST_ROWS = 200_000
 
 #: Names that Python gives to special methods; other words between double underscores are placeholders.
 SPECIAL_METHODS = frozenset("init call new del repr str bytes format lt le eq ne gt ge hash bool getattr setattr delattr dir get set len iter next contains getitem setitem delitem enter exit aenter aexit await aiter anext add sub mul matmul name main file doc dict class slots all version author module qualname annotations post pre".split())
@@ -118,11 +124,9 @@ def page_state(title: str, lines: list[Line], text: str, site: str) -> tuple[str
     """(state, body): placeholder, residue, content, open or none, and the normalised body."""
     if has_placeholder(title) or has_placeholder(text):
         return "placeholder", ""
-    # Lines in order until the content suffices: residue only stands in place of content.
+    # Residue only stands in place of content.
     plain, heads, residue, words, rich = [], [], 0, 0, False
     for line in lines:
-        if words >= SHORT_BODY:
-            return "content", ""
         if is_furniture(line):
             continue
         if line.role in ("h1", "h"):
@@ -139,8 +143,8 @@ def page_state(title: str, lines: list[Line], text: str, site: str) -> tuple[str
         return "residue", normal
     if not plain and (ERROR_TITLE.match(title) or heads and all(RESIDUE.match(h.text) for h in heads)):
         return ("residue" if title or heads else "none"), normal
-    if words >= SHORT_BODY or rich:
-        return "content", ""
+    if rich:
+        return "content", normal
     return ("open" if words else "none"), normal
 
 
@@ -154,18 +158,38 @@ def shingles(text: str, size: int = SHINGLE) -> list[str]:
     return sorted({" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}) if words else []
 
 
-def simhash(parts: list[str]) -> int:
-    sums = [0] * 64
-    for p in parts:
-        h = int.from_bytes(blake2b(p.encode(), digest_size=8).digest(), "little")
-        for i in range(64):
-            sums[i] += 1 if h >> i & 1 else -1
-    out = sum(1 << i for i in range(64) if sums[i] > 0)
-    return out - (1 << 64) if out >> 63 else out
+def flips(similarity: float) -> float:
+    """Probability that a bit differs at a similarity: the angle between sets of one size, and a quarter more for the small ones,
+    whose sums are often zero."""
+    return min(0.5, 1.25 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def hamming_for(similarity: float) -> int:
+    """Differing bits of 64 that pairs at the similarity exceed with a probability below 0.001."""
+    p = flips(similarity)
+    return math.ceil(64 * p + 3.3 * math.sqrt(64 * p * (1 - p)))
+
+
+def tables_for(similarity: float, width: int, recall: float) -> int:
+    """Bands of so many bits of which a pair at the similarity shares one with the wanted probability."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - (1 - flips(similarity)) ** width))
+
+
+def simhashes(bodies: list[str], words: int) -> np.ndarray:
+    """(bodies, 64 * words) bits of independent SimHashes."""
+    sets = [[int.from_bytes(blake2b(p.encode(), digest_size=8).digest(), "little") for p in shingles(b)] or [0] for b in bodies]
+    lengths = np.array([len(x) for x in sets])
+    start = np.cumsum(lengths) - lengths
+    base = np.array([h for x in sets for h in x], dtype=np.uint64)
+    out = []
+    for k in range(words):
+        bits = np.unpackbits(mix(base + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))).view(np.uint8).reshape(-1, 8), axis=1)
+        out.append(2 * np.add.reduceat(bits, start, axis=0, dtype=np.int32) > lengths[:, None])
+    return np.concatenate(out, axis=1)
 
 
 def page_states(pages: DataFrame, *, id_col: str = "extraction_id", title: str = "title", text: str = "markdown", host: str = "host", newest: str | None = "extracted_at", html: bool = False) -> DataFrame:
-    """(id, state, body) of the pages; the body only of residue and open pages, where links may matter."""
+    """(id, state, body, size) of the pages; the body and its number of shingles where links may matter."""
     rows = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(title, F.lit("")).alias("title"), F.coalesce(text, F.lit("")).alias("text"), F.coalesce(host, F.lit("")).alias("host"), (F.col(newest).cast("timestamp") if newest else F.lit(None).cast("timestamp")).alias("at"))
 
     def states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,28 +198,40 @@ def page_states(pages: DataFrame, *, id_col: str = "extraction_id", title: str =
             for i, t, x, h, at in zip(pdf["id"], pdf["title"], pdf["text"], pdf["host"], pdf["at"]):
                 lines = html_lines(x) if html else markdown_lines(x)
                 state, body = page_state(t, lines, x, site_name(h))
-                out.append((i, at, state, body if state in ("residue", "open") else ""))
-            yield pd.DataFrame(out, columns=["id", "at", "state", "body"])
+                body = body if state in ("residue", "open", "content") else ""
+                out.append((i, at, state, body, len(shingles(body))))
+            yield pd.DataFrame(out, columns=["id", "at", "state", "body", "size"])
 
-    made = rows.mapInPandas(states, "id bigint, at timestamp, state string, body string")
-    return made.groupBy("id").agg(F.max_by(F.struct("state", "body"), F.struct("at", "state")).alias("s")).select("id", "s.state", "s.body")
+    made = rows.mapInPandas(states, "id bigint, at timestamp, state string, body string, size int")
+    return made.groupBy("id").agg(F.max_by(F.struct("state", "body", "size"), F.struct("at", "state")).alias("s")).select("id", "s.state", "s.body", "s.size")
 
 
-def near_links(classes: DataFrame, *, hamming: int = HAMMING, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b) of classes (class, body) whose bodies are near-duplicates."""
+def near_links(classes: DataFrame, others: DataFrame | None = None, *, hamming: int | None = None, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """(a, b) of classes (class, body) whose bodies are near-duplicates, a < b; with others, from classes to others."""
+    hamming = hamming_for(similarity) if hamming is None else hamming
+    second = classes if others is None else others
+    # Some chance meetings for each class of the first side, whatever the number of classes.
+    width = min(24, max(8, math.ceil(math.log2(max(2, second.count()))) - 3))
+    bands = tables_for(similarity, width, recall)
 
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        powers = 1 << np.arange(width)
         for pdf in batches:
-            yield pd.DataFrame({"class": pdf["class"], "print": [simhash(shingles(b)) for b in pdf["body"]]})
-
-    bands = hamming + 1
-    width = 64 // bands
-    printed = classes.mapInPandas(prints, "class bigint, print bigint")
-    tables = printed.select("class", "print", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("print", i * width).bitwiseAND(F.lit((1 << width) - 1)).alias("value")) for i in range(bands)])).alias("t")).select("class", "print", "t.band", "t.value")
-    other = tables.select("band", "value", F.col("class").alias("class_b"), F.col("print").alias("print_b"))
-    near = (F.col("class") < F.col("class_b")) & (F.bit_count(F.col("print").bitwiseXOR(F.col("print_b"))) <= hamming)
-    candidates = tables.join(other, ["band", "value"]).where(near).select(F.col("class").alias("a"), F.col("class_b").alias("b")).distinct()
-    a, b = (classes.select(F.col("class").alias(s), F.col("body").alias(f"body_{s}")) for s in "ab")
+            for first in range(0, len(pdf), 500):
+                part = pdf.iloc[first : first + 500]
+                bits = simhashes(part["body"].tolist(), -(-bands * width // 64))
+                yield pd.DataFrame({"class": part["class"], "print": np.packbits(bits[:, :64], axis=1).view(np.int64).ravel(), "bands": list((bits[:, : bands * width].reshape(-1, bands, width) @ powers).astype(np.int32))})
+
+    def tables(df: DataFrame, s: str) -> DataFrame:
+        printed = df.select("class", "body").mapInPandas(prints, "class bigint, print bigint, bands array<int>")
+        return printed.select(F.col("class").alias(s), F.col("print").alias(f"print_{s}"), F.posexplode("bands").alias("band", "value"))
+
+    small = classes.limit(BROADCAST_ROWS // bands + 1).count() * bands <= BROADCAST_ROWS
+    left = F.broadcast(tables(classes, "a")) if small else tables(classes, "a")
+    order = F.col("a") < F.col("b") if others is None else F.col("a") != F.col("b")
+    near = order & (F.bit_count(F.col("print_a").bitwiseXOR(F.col("print_b"))) <= hamming)
+    candidates = tables(second, "b").join(left, ["band", "value"]).where(near).select("a", "b").distinct()
+    a, b = (df.select(F.col("class").alias(s), F.col("body").alias(f"body_{s}")) for s, df in (("a", classes), ("b", second)))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -227,16 +263,36 @@ def components(links: DataFrame, rounds: int = 30) -> DataFrame:
     return labels
 
 
+def residue_links(classes: DataFrame) -> DataFrame | None:
+    """All links (a, b) of the components that hold residue, from classes (class, body, size, residue); None without residue."""
+    reached, links = cut(classes.where("residue").select("class")), None
+    newest = reached
+    while True:
+        rows = classes.join(newest, "class", "left_semi")
+        least, most = rows.agg(F.min("size"), F.max("size")).first()
+        if least is None:
+            return links
+        # A similarity needs numbers of shingles in that ratio.
+        around = classes.where(F.col("size").between(math.floor(least * SIMILARITY), math.ceil(most / SIMILARITY)))
+        found = cut(near_links(rows, around))
+        links = found if links is None else links.unionByName(found)
+        newest = cut(found.select(F.col("b").alias("class")).distinct().join(reached, "class", "left_anti"))
+        reached = reached.unionByName(newest)
+
+
 def find_residue(pages: DataFrame, **columns) -> DataFrame:
     """(id, reason) of the pages that are residue; reason: placeholder, residue (by rule) or near-duplicate."""
-    states = cut(page_states(pages, **columns))
+    states = cut(page_states(pages, **columns).withColumn("class", F.xxhash64("body")))
     sure = states.where(F.col("state").isin("placeholder", "residue")).select("id", F.col("state").alias("reason"))
-    short = states.where(F.col("state").isin("residue", "open") & (F.length("body") > 0)).select("id", "state", "body", F.xxhash64("body").alias("class"))
-    classes = cut(short.groupBy("class").agg(F.first("body").alias("body"), F.max(F.col("state") == "residue").alias("residue"), F.max((F.col("state") == "open") & (F.size(F.split("body", " ")) >= SHORT_BODY // 2)).alias("content")))
-    links = near_links(classes.select("class", "body"))
+    bodies = states.where("size > 0")
+    classes = cut(bodies.groupBy("class").agg(F.first("body").alias("body"), F.first("size").alias("size"), F.max(F.col("state") == "residue").alias("residue"), F.max(F.col("state") == "content").alias("content")))
+    links = residue_links(classes)
+    if links is None:
+        return sure
     member = components(links)
-    labelled = classes.join(member.withColumnRenamed("node", "class"), "class")
+    # A class without links is a component of its own.
+    labelled = classes.select("class", "residue", "content").join(member.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     passing = labelled.groupBy("component").agg(F.max("residue").alias("r"), F.max("content").alias("c")).where("r AND NOT c").select("component")
-    passed = labelled.where("NOT residue").join(passing, "component").select("class")
-    more = short.where("state = 'open'").join(passed, "class", "left_semi").select("id", F.lit("near-duplicate").alias("reason"))
+    passed = labelled.join(passing, "component").select("class")
+    more = states.where("state = 'open' AND size > 0").join(passed, "class", "left_semi").select("id", F.lit("near-duplicate").alias("reason"))
     return sure.unionByName(more)

@@ -101,6 +101,42 @@ def test_residue_labels_spread(spark):
     assert {(r.node, r.component) for r in residue.components(chain).collect()} == {(i, 1) for i in range(1, 10)} | {(20, 20), (21, 20)}
 
 
+def edited_bodies(n=150, seed=12):
+    """Bodies of 25 to 120 words, each with versions that lost or changed words at the ends or inside."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("bcdfglmnprstv") + rng.choice("aeiou") for _ in range(3))
+    out = []
+    for _ in range(n):
+        base = [word() for _ in range(rng.randrange(25, 120))]
+        out.append(" ".join(base))
+        for _ in range(2):
+            k = rng.randrange(1, max(2, len(base) // 9))
+            out.append(" ".join(base[k:] + [word() for _ in range(rng.randrange(k))] if rng.random() < 0.5 else base[: len(base) // 2] + [word()] + base[len(base) // 2 + 1 :]))
+    return list(enumerate(dict.fromkeys(out)))
+
+
+def test_residue_links_against_brute_force(spark):
+    rows = edited_bodies()
+    sets = [set(residue.shingles(b)) for _, b in rows]
+    want = {(i, j) for i, x in enumerate(sets) for j in range(i + 1, len(sets)) if len(x & sets[j]) >= 0.8 * len(x | sets[j])}
+    got = {(r.a, r.b) for r in residue.near_links(spark.createDataFrame(rows, "class bigint, body string")).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 150
+
+
+def test_residue_spreads_to_long_pages(spark):
+    """A page of more words than any rule knows, nearly equal to residue, is found; unless trusted content is as near."""
+    lorem = "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua"
+    known = "\n\n".join(["Internal server error, reference " + w for w in "able baker charlie dog easy fox george how item jig king love".split()] + [lorem] * 2)
+    near = known + "\n\nOur machines hiccuped and nobody knows why"
+    real = "\n\n".join(f"Report {w} tells in plain words how the harvest of {w} went this year" for w in "oats rye wheat barley hops flax".split())
+    rows = [(1, "A", known, "a.example", T0), (2, "A", near, "a.example", T0), (3, "A", real, "a.example", T0)]
+    df = spark.createDataFrame(rows, "extraction_id bigint, title string, markdown string, host string, extracted_at timestamp")
+    assert {r.id: r.reason for r in residue.find_residue(df).collect()} == {1: "residue", 2: "near-duplicate"}
+    cited = near.replace("knows why", "[knows](https://b.example/x) why it")
+    more = spark.createDataFrame([(4, "A", cited, "a.example", T0)], df.schema)
+    assert {r.id for r in residue.find_residue(df.unionByName(more)).collect()} == {1}
+
+
 # 3 -------------------------------------------------------------------------------------------------------------------
 def records(n=400, seed=2):
     rng = random.Random(seed)
