@@ -5,6 +5,8 @@ from __future__ import annotations
 import html as html_entities
 import re
 from dataclasses import dataclass, field
+from re import _constants as sre
+from re import _parser as sre_parser
 
 #: Wording of page furniture in English, German, French and Spanish. Phrases by what they ask or say.
 _WORDING = [
@@ -25,23 +27,42 @@ _WORDING = [
 ]
 _ANCHORED = re.compile("|".join(p for p in _WORDING if p.startswith("^")), re.I)
 _FREE = re.compile("|".join(p for p in _WORDING if not p.startswith("^")), re.I)
-#: Every wording that may stand anywhere in a line holds one of these.
-_TRIGGERS = frozenset("cookie cookies partner partners privacy tracker trackers speichert datenschutz datenschutzerklärung confidentialité privacidad copyright c rights rechte droits derechos trademark sitemap accessibility imprint agb newsletter boletín lettre sign subscribe inbox account log comment comments terms impressum mentions aviso plan try reply helpful built made powered".split())
-#: Words up to which a line can be furniture by its wording.
-LONGEST = 24
+
+
+def _literals(parsed) -> set[str]:
+    """Texts of which every match of a parsed pattern holds one; of its parts the one whose shortest text is longest."""
+    options, run = [], ""
+    for op, arg in [*parsed, (None, None)]:
+        if op is sre.LITERAL:
+            run += chr(arg).lower()
+            continue
+        if run:
+            options.append({run})
+        run = ""
+        if op is sre.BRANCH:
+            options.append(set().union(*map(_literals, arg[1])))
+        elif op is sre.SUBPATTERN:
+            options.append(_literals(arg[3]))
+        elif op is sre.MAX_REPEAT and arg[0] > 0:
+            options.append(_literals(arg[2]))
+    return max(options, key=lambda o: min(map(len, o), default=0), default={""})
+
+
+#: Every wording that may stand anywhere in a line holds one of these, in lower case; made from the patterns.
+_TRIGGERS = sorted(set().union(*(_literals(sre_parser.parse(p)) for p in _WORDING if not p.startswith("^"))))
 
 
 def wording(text: str, words: list[str]) -> int:
-    """Where furniture's wording begins in a line, -1 for none; lines of many words are not looked at."""
-    if len(words) > LONGEST:
-        return -1
-    m = _ANCHORED.match(text)
-    if m:
+    """Where furniture's wording begins in a line, -1 for none."""
+    if _ANCHORED.match(text):
         return 0
-    if _TRIGGERS.isdisjoint(words) and "©" not in text:
+    low = text.lower()
+    if not any(t in low for t in _TRIGGERS):
         return -1
     m = _FREE.search(text)
     return m.start() if m else -1
+
+
 #: Words that name sections of sites. Fixed values.
 SECTIONS = frozenset(
     "home about pricing jobs careers tutorials api blog contact support login register signup changelog community docs documentation forum guides help faq status terms privacy start über anmelden anleitungen "

@@ -202,6 +202,20 @@ def test_lines_of_pages():
     assert got == [(4, "p", True, "Go"), (6, "h1", False, "T"), (8, "code", False, "k"), (13, "p", False, "Text & more")]
 
 
+def test_wording_is_searched_whole():
+    """The prefilter passes all that the patterns match, in lines of any length."""
+    texts = [
+        "We use cookies on this site", "Cookies: accept them", "Our partners store data", "We value your privacy", "With optional trackers", "Wir verwenden Cookies", "Wie diese Website Daten speichert", "Zur Datenschutzerklärung", "Ici ce site pose des cookies", "Notre politique de confidentialité", "Aquí usamos cookies", "Que este sitio usa cookies", "Nuestra política de privacidad",
+        "Text © A", "A Copyright B", "The (c) 2024 A", "With all rights reserved", "Hier alle Rechte vorbehalten", "Ici tous droits réservés", "Con todos los derechos", "A registered trademark of B", "Our Sitemap | B", "Our accessibility |", "Our imprint", "Das Datenschutz |", "Die AGB", "Our newsletter each week", "El boletín de la semana", "La lettre de la semaine", "Den Newsletter bestellen",
+        "Now sign up for it", "Now subscribe to our list", "News in your inbox", "To create a free account", "Please sign in to save", "Please log in to reply", "Click to view the comments", "So was this page helpful", "Dites, cette page vous a-t-elle été utile ?", "Just try it free",
+    ]
+    for text in texts:
+        for line in (text, text.upper(), "one " * 30 + text):
+            m = page_lines._FREE.search(line)
+            assert m and page_lines.wording(line, page_lines.WORD.findall(line.lower())) == m.start(), line
+    assert page_lines.wording("nothing of the kind", "nothing of the kind".split()) == -1
+
+
 def site_pages(n=40):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("bcdfglmnprstv") + rng.choice("aeiou") for _ in range(3))
