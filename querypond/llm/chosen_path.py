@@ -7,8 +7,10 @@ Paths. Sets are split recursively on sampled shared tokens. At the root of the p
 further node ``spread``, by hashes of the path and the token that all sets share (consistent weighted sampling), in proportion to a power of its information -log(df / N): rare
 tokens split well, frequent ones hardly do, and a token of one set only, which can't be shared, is never chosen. A path ends when a chance meeting of ``bucket`` records is all that is expected in its bucket,
 N times the product of its tokens' frequencies, or at ``max_depth``. Sets that reach one bucket are compared there by
-brute force: 128-bit sketches of one-bit minima first, then, once for each pair, the sets themselves. Runs with fresh
-hashes repeat until ``recall`` of the pairs right at the threshold are expected to meet; more similar ones meet more often.
+brute force: 128-bit sketches of one-bit minima first, then, once for each pair, the sets themselves. Paths get deeper with N, and
+deeper ones are shared less often: from the depths that a sample of the sets has at this N, tokens are added at the root (at least
+``width`` are taken), then runs with fresh hashes, until ``recall`` of the pairs right at the threshold are expected to meet and
+to pass the sketches (``roots_for``); more similar ones meet more often.
 
 Scale. Token frequencies are kept in a fixed number of hashed counters, so what is broadcast doesn't grow. Records with
 equal sets form a class that takes part once. Buckets and sets move as fixed-width rows; the comparison inside a bucket is
@@ -37,6 +39,8 @@ SKETCH_BITS = 128
 MIX1, MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 #: Rows up to which a side is broadcast; above, the join is shuffled.
 BROADCAST_ROWS = 200_000
+#: Sets whose paths are looked at to tell how deep paths are, and the most tokens at the root in one run.
+SAMPLE, WIDEST = 2000, 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,12 +57,24 @@ def token_set(columns: list[Column]) -> Column:
     return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.hash(w))))
 
 
-def runs_for(recall: float, threshold: float, width: int, spread: int) -> int:
-    """Runs after which a pair at the threshold has met with the wanted probability. With sets of one size a sampled token is
-    shared with a probability of about the threshold; a path of two tokens must be shared throughout."""
-    meets = threshold * (1 - (1 - threshold) ** spread)
-    miss = (1 - meets) ** width
-    return max(1, math.ceil(math.log(1 - recall) / math.log(miss)))
+def sketch_miss(threshold: float) -> float:
+    """Probability that the sketches of a pair at the threshold differ in more bits than sketch_bound allows."""
+    p, bound = (1 - threshold) / 2, sketch_bound(threshold)
+    return sum(math.comb(SKETCH_BITS, k) * p**k * (1 - p) ** (SKETCH_BITS - k) for k in range(bound + 1, SKETCH_BITS + 1))
+
+
+def roots_for(recall: float, threshold: float, depths: list[np.ndarray], least: int) -> int:
+    """Tokens at the root, of all runs together, after which a pair at the threshold has met and passed its sketches with the wanted
+    probability; depths: of each set of a sample, the lengths of its paths. With sets of one size a sampled token is shared with a
+    probability of about the threshold, and a path must be shared throughout."""
+    wanted = 1 - recall / (1 - sketch_miss(threshold))
+    if wanted <= 0:
+        raise ValueError("the sketches alone miss more than the recall allows")
+    meets = np.array([np.mean(np.log1p(-(threshold ** d.astype(float)))) for d in depths if len(d)])
+    roots = least
+    while len(meets) and np.mean(np.exp(meets * roots)) > wanted:
+        roots += 1
+    return roots
 
 
 class Paths:
@@ -76,17 +92,22 @@ class Paths:
         parts = []
         for first in range(0, len(lengths), chunk):
             last = min(len(lengths), first + chunk)
-            record, key = self._keys(tokens[bounds[first] : bounds[last]], lengths[first:last])
+            record, key, _ = self._keys(tokens[bounds[first] : bounds[last]], lengths[first:last])
             parts.append((record + first, key))
         return tuple(np.concatenate(x) for x in zip(*parts))
 
-    def _keys(self, tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def depths(self, tokens: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+        """The lengths of the paths of each set."""
+        record, _, depth = self._keys(tokens, lengths)
+        return [depth[record == i] for i in range(len(lengths))]
+
+    def _keys(self, tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = len(lengths)
         start = np.cumsum(lengths) - lengths
         slot = tokens.view(np.uint32).astype(np.int64) & (COUNTERS - 1)
         weight, share = self.weight[slot], self.share[slot]
         t64 = mix(tokens.view(np.uint32).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-        out_record, out_key = [], []
+        out_record, out_key, out_depth = [], [], []
         for run in range(self.runs):
             rec = np.arange(n)
             path = np.full(n, mix(np.array([self.seed * 1000 + run], dtype=np.uint64))[0])
@@ -116,14 +137,16 @@ class Paths:
                 stuck = np.setdiff1d(np.arange(len(rec)), node) if depth else np.zeros(0, dtype=np.int64)
                 out_record.append(rec[stuck])
                 out_key.append(path[stuck])
+                out_depth.append(np.full(len(stuck), depth))
                 rec, path, expected, used = rec[node], child[hit], expected[node] * share[token], np.c_[used[node], token]
                 done = (expected <= self.bucket) | (depth == self.max_depth - 1)
                 out_record.append(rec[done])
                 out_key.append(path[done])
+                out_depth.append(np.full(int(done.sum()), depth + 1))
                 rec, path, expected, used = rec[~done], path[~done], expected[~done], used[~done]
                 if not len(rec):
                     break
-        return np.concatenate(out_record), np.concatenate(out_key)
+        return np.concatenate(out_record), np.concatenate(out_key), np.concatenate(out_depth)
 
     @staticmethod
     def sketches(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -137,7 +160,7 @@ class Paths:
         return out
 
 
-def sketch_bound(threshold: float, deviations: float = 3.4) -> int:
+def sketch_bound(threshold: float, deviations: float = 4.0) -> int:
     """Differing bits above which a pair isn't compared further: the mean at the threshold plus some standard deviations."""
     p = (1 - threshold) / 2
     return min(SKETCH_BITS, math.ceil(SKETCH_BITS * p + deviations * math.sqrt(SKETCH_BITS * p * (1 - p))))
@@ -199,7 +222,15 @@ def similar_classes(
     hashed = cut(sets.select("id", F.xxhash64("tokens").alias("class"), "tokens"))
     frequency, total = token_frequencies(hashed)
     shared = spark.sparkContext.broadcast(frequency)
-    settings = dict(runs=runs_for(recall, threshold, width, spread), width=width, spread=spread, bucket=bucket, max_depth=max_depth, power=power)
+    settings = dict(spread=spread, bucket=bucket, max_depth=max_depth, power=power)
+    sample = [np.array(r["tokens"], dtype=np.int32) for r in hashed.where("size(tokens) > 0").orderBy(F.xxhash64("class"), "id").select("tokens").limit(SAMPLE).collect()]
+    roots = width
+    if sample:
+        depths = Paths(frequency, total, runs=1, width=width, **settings).depths(np.concatenate(sample), np.array([len(x) for x in sample]))
+        roots = roots_for(recall, threshold, depths, width)
+    # Few tokens are distinct in a small set: more than so many at the root are spread over runs.
+    runs = math.ceil(roots / WIDEST)
+    settings |= dict(runs=runs, width=math.ceil(roots / runs))
 
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Paths(shared.value, total, **settings)

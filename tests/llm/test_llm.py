@@ -174,6 +174,34 @@ def test_near_duplicates_against_brute_force(spark):
     assert chosen_path.linked_pairs(*chosen_path.near_duplicates(df.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("total", [40_000, 4_000_000, 100_000_000])
+def test_recall_holds_as_paths_deepen(total):
+    """Pairs right at the threshold meet in a bucket and pass the sketches at the frequencies of any number of records."""
+    rng = np.random.default_rng(7)
+    share = 0.3 / np.arange(1, 3001) ** 0.4
+    frequency = np.zeros(chosen_path.COUNTERS)
+    frequency[: len(share)] = np.maximum(2, share * total)
+    draw = lambda n: rng.choice(len(share), size=n, replace=False, p=share / share.sum()).astype(np.int32)
+    # 34 tokens each, 28 of them shared: 28 / 40 = 0.7
+    pairs = [(t[:34], np.r_[t[:28], t[34:]]) for t in (rng.permutation(draw(40)) for _ in range(3000))]
+    settings = dict(spread=1, bucket=64.0, max_depth=6, power=1.5)
+    sample = [a for a, _ in pairs[:1000]]
+    lengths = np.full(len(pairs), 34)
+    depths = chosen_path.Paths(frequency, total, runs=1, width=12, **settings).depths(np.concatenate(sample), lengths[:1000])
+    roots = chosen_path.roots_for(0.999, 0.7, depths, 12)
+    runs = -(-roots // chosen_path.WIDEST)
+    maker = chosen_path.Paths(frequency, total, runs=runs, width=-(-roots // runs), **settings)
+    keys, sketches = [], []
+    for side in (0, 1):
+        tokens = np.concatenate([p[side] for p in pairs])
+        keys.append(set(zip(*map(np.ndarray.tolist, maker.keys(tokens, lengths)))))
+        sketches.append(maker.sketches(tokens, lengths))
+    met = {i for i, _ in keys[0] & keys[1]}
+    differ = np.bitwise_count(sketches[0] ^ sketches[1]).sum(axis=0)
+    found = sum(i in met and differ[i] <= chosen_path.sketch_bound(0.7) for i in range(len(pairs)))
+    assert found >= 0.998 * len(pairs)
+
+
 def test_later_delivery_counts(spark):
     a = " ".join(f"x{i}" for i in range(20))
     rows = [(1, a, "", T0), (2, a, "", T0), (2, "now quite other " + " ".join(f"y{i}" for i in range(20)), "", datetime(2024, 2, 1))]
