@@ -17,8 +17,8 @@ equal sets form a class that takes part once. Buckets and sets move as fixed-wid
 an equi-join on the bucket's key, which AQE splits where a key is hot. Frequency counts use all records.
 
 Defined results: null columns count as empty text; rows with a null id are dropped; of rows with one id the one with the
-largest ``newest`` value counts (ties: the larger set, then any); sets below ``min_tokens`` are in no link and form no class
-with others; an empty table gives no rows; other columns are ignored.
+largest ``newest`` value counts (ties: the larger set, then any); sets below ``min_tokens`` are left out by
+``near_duplicates``; ``all_groups`` keeps them, with the links of an exact join; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from querypond.runtime import cut
@@ -260,6 +260,34 @@ def similar_classes(
     return hashed.select("id", "class").distinct(), links
 
 
+def short_links(sets: DataFrame, *, threshold: float, below: int) -> DataFrame:
+    """(class_a, class_b, jaccard) of all pairs of which one has fewer than ``below`` tokens, exactly. Sets that are similar share one of
+    the rarest tokens of each, and sets of frequent tokens only, which paths don't tell apart, are short here."""
+    longest = math.floor((below - 1) / threshold + 1e-9)
+    one = cut(sets.where(F.size("tokens").between(1, longest)).groupBy(F.xxhash64("tokens").alias("class")).agg(F.first("tokens").alias("tokens")))
+    each = one.select("class", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    counts = each.groupBy("token").agg(F.count("*").alias("df"))
+    rarest = Window.partitionBy("class").orderBy("df", "token")
+    kept = each.join(counts, "token").withColumn("place", F.row_number().over(rarest)).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("token", "class", "n")
+    a, b = kept.alias("a"), kept.alias("b")
+    least, most = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
+    near = (F.col("a.token") == F.col("b.token")) & (F.col("a.class") < F.col("b.class")) & (least < below) & (least >= threshold * most - 1e-9)
+    candidates = a.join(b, near).select(F.col("a.class").alias("class_a"), F.col("b.class").alias("class_b")).distinct()
+    left, right = (one.select(F.col("class").alias(f"class_{s}"), F.col("tokens").alias(f"tokens_{s}")) for s in "ab")
+    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    jaccard = common / (F.size("tokens_a") + F.size("tokens_b") - common)
+    return candidates.join(left, "class_a").join(right, "class_b").select("class_a", "class_b", jaccard.alias("jaccard")).where(F.col("jaccard") >= threshold)
+
+
+def all_groups(records: DataFrame, *, id_col: str = "result_id", columns: tuple[str, ...] = ("title", "snippet"), newest: str | None = "ingested_at", min_tokens: int = 16, threshold: float = 0.7, **join) -> tuple[DataFrame, DataFrame]:
+    """(members, links) of all records, short ones included: chosen paths from ``min_tokens`` tokens on, an exact join below. A record
+    without tokens is a class of its own."""
+    sets = cut(record_sets(records, id_col=id_col, columns=list(columns), newest=newest, min_tokens=0))
+    members, links = similar_classes(sets.where(F.size("tokens") >= min_tokens), threshold=threshold, **join)
+    short = sets.where(F.size("tokens") < min_tokens).select("id", F.when(F.size("tokens") > 0, F.xxhash64("tokens")).otherwise(F.xxhash64(F.lit("no tokens"), "id")).alias("class")).distinct()
+    return members.unionByName(short), links.unionByName(short_links(sets, threshold=threshold, below=min_tokens))
+
+
 def linked_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     """All linked pairs of records (result_a < result_b), members of one class included."""
     a, b = (members.select(F.col("class").alias(f"class_{s}"), F.col("id").alias(f"id_{s}")) for s in "ab")

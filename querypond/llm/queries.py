@@ -27,7 +27,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     """One row a result: its class of equal token sets and the number of results in other classes that it is linked to."""
-    return chosen_path.link_counts(*chosen_path.near_duplicates(table(spark, d, "search_results")))
+    return chosen_path.link_counts(*chosen_path.all_groups(table(spark, d, "search_results")))
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:

@@ -174,6 +174,25 @@ def test_near_duplicates_against_brute_force(spark):
     assert chosen_path.linked_pairs(*chosen_path.near_duplicates(df.limit(0))).count() == 0
 
 
+def test_groups_hold_all_records(spark, tmp_path):
+    from querypond.llm import queries
+
+    rng = random.Random(3)
+    rows = records(150)
+    t = []
+    for i in range(150):
+        t = [*t, rng.choice("the a of and".split())][rng.randrange(2) :] if i % 4 and len(t) < 18 else [rng.choice("the a of and to in on at by for it is as or we be".split()) for _ in range(rng.randrange(1, 9))] + [f"v{rng.randrange(12)}" for _ in range(rng.randrange(9))]
+        rows.append((5000 + i, " ".join(t[:3]), " ".join(t[3:]) or None, T0))
+    rows += [(9000, "Same short text", "", T0), (9001, "same", "short TEXT", T0), (9002, None, None, T0), (9003, "", "...", T0)]
+    spark.createDataFrame(rows, "result_id bigint, title string, snippet string, ingested_at timestamp").write.parquet(str(tmp_path / "search_results.parquet"))
+    got = {r.id: r for r in queries.p3_groups(spark, str(tmp_path)).collect()}
+    assert set(got) == {r[0] for r in rows}
+    want = Counter(x for p in brute_pairs([r for r in rows if r[0] not in (9002, 9003)], least=0) for x in p)
+    short = [i for i in got if i >= 5000]
+    assert {i: got[i].class_size - 1 + got[i].links for i in short} == {i: want[i] for i in short} and sum(want[i] for i in short) > 50
+    assert got[9000]["class"] == got[9001]["class"] and got[9000].class_size == 2 and got[9002]["class"] != got[9003]["class"]
+
+
 @pytest.mark.parametrize("total", [40_000, 4_000_000, 100_000_000])
 def test_recall_holds_as_paths_deepen(total):
     """Pairs right at the threshold meet in a bucket and pass the sketches at the frequencies of any number of records."""
