@@ -112,10 +112,10 @@ SQL["bm25_topk"] = BM25 + " SELECT query_id, doc_id, row_number() OVER (PARTITIO
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    """The first 25 documents of each item, with what their signals need."""
+    """The first 25 documents of each item, with what their signals need; these read the whole text."""
     docs = table(spark, d, "documents")
     top = ranking.top_per_query(ranking.normalised(ranking.bm25(_items(spark, d), docs)).withColumn("bm25", F.round("bm25", 6)), 25, "bm25").drop("raw", "rank")
-    meta = docs.select("doc_id", "url", F.coalesce("title", F.lit("")).alias("title"), F.substring("text", 1, 600).alias("snippet"), F.col("source").alias("provider"), F.lit(None).cast("string").alias("author"), F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published_at"), "text")
+    meta = docs.select("doc_id", "url", F.coalesce("title", F.lit("")).alias("title"), F.col("text").alias("snippet"), F.col("source").alias("provider"), F.lit(None).cast("string").alias("author"), F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published_at"), "text")
     return top.join(meta, "doc_id")
 
 

@@ -166,3 +166,20 @@ def test_circuit_invariants(events):
     for at, failed in sorted(events):
         s = state.circuit(s, {"at_ms": at, "failed": failed})
         assert s["failures"] >= 0 and (s["failures"] >= 3) == (s["wait_ms"] > 0) and s["wait_ms"] <= 300_000
+
+
+def test_signals_read_whole_texts(spark, tmp_path):
+    """What a document says after its first 600 characters counts in its scores as what it says before."""
+    from querypond import queries as core
+
+    code = "```python\ndef alpha(): return beta\n```\n"
+    filler = "plain words fill this line and say nothing. " * 20
+    docs = [(1, code + "alpha beta gamma\n" + filler), (2, filler + code + "alpha beta gamma\n")]
+    rows = [(i, t, "en", "readmes", len(t), "a.example", f"https://a.example/{i}", "A title", None, None) for i, t in docs]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, host string, url string, title string, published_at timestamp, fetched_at timestamp"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, "s", "k", "alpha beta gamma")], "item_id bigint, suite string, kind string, item_text string").write.parquet(str(tmp_path / "eval_items.parquet"))
+    final = {r.doc_id: r.final_score for r in core.final_scores(spark, str(tmp_path)).collect()}
+    assert final[1] == final[2]
+    again = {r.doc_id: (r.alignment, r.rerank_score) for r in core.reranked(spark, str(tmp_path)).collect()}
+    assert again[1] == again[2] and len(again) == 2
