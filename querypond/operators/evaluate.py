@@ -8,21 +8,31 @@ from pyspark.sql import functions as F
 #: Thresholds of the relaxed profile.
 THRESHOLDS = {"p5": 0.4, "p10": 0.3, "ndcg5": 0.35, "ndcg10": 0.25, "mrr": 0.5, "diversity": 2.0}
 
+#: Rows of a query that are counted together; a hot query is many parts.
+PART = 10_000
+
 
 def metrics(judged: DataFrame) -> DataFrame:
     """Of rows (query_id, pos from 1, rel, provider): one row a query with its metrics. Relevant is a rel of at least 1."""
+    rows = judged.withColumn("hit", (F.col("rel") >= 1).cast("int")).withColumn("part", F.floor((F.col("pos") - 1) / PART))
+    # Counts up to a row: those of the parts before its own, and those inside it.
     by = Window.partitionBy("query_id")
-    run = by.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    ideal = Window.partitionBy("query_id").orderBy(F.col("rel").desc(), "pos")
-    hit = (F.col("rel") >= 1).cast("int")
-    rows = judged.withColumn("hit", hit).withColumn("hits", F.sum("hit").over(run)).withColumn("misses", F.sum(1 - F.col("hit")).over(run)).withColumn("ideal", F.row_number().over(ideal)).withColumn("all_misses", F.sum(1 - F.col("hit")).over(by))
+    before = by.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("query_id", "part").agg(F.sum("hit").alias("h"), F.sum(1 - F.col("hit")).alias("m"))
+    parts = parts.select("query_id", "part", F.coalesce(F.sum("h").over(before), F.lit(0)).alias("hits_before"), F.coalesce(F.sum("m").over(before), F.lit(0)).alias("misses_before"), F.sum("m").over(by).alias("all_misses"))
+    run = Window.partitionBy("query_id", "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("hits", F.sum("hit").over(run)).withColumn("misses", F.sum(1 - F.col("hit")).over(run)).join(parts, ["query_id", "part"])
+    rows = rows.withColumn("hits", F.col("hits") + F.col("hits_before")).withColumn("misses", F.col("misses") + F.col("misses_before"))
+    # The ideal order is needed as far as the largest k only.
+    ideal = judged.withColumn("ideal", F.row_number().over(by.orderBy(F.col("rel").desc(), "pos"))).where("ideal <= 10")
     gain = lambda k, at: F.sum(F.when(F.col(at) <= k, F.col("rel") / F.log2(F.col(at) + 1)).otherwise(0.0))
     top = lambda k: F.sum(F.when(F.col("pos") <= k, F.col("hit")).otherwise(0))
     out = rows.groupBy("query_id").agg(
-        F.count("*").alias("n"), F.sum("hit").alias("found"), top(5).alias("h5"), top(10).alias("h10"), gain(5, "pos").alias("d5"), gain(10, "pos").alias("d10"), gain(5, "ideal").alias("i5"), gain(10, "ideal").alias("i10"),
+        F.count("*").alias("n"), F.sum("hit").alias("found"), top(5).alias("h5"), top(10).alias("h10"), gain(5, "pos").alias("d5"), gain(10, "pos").alias("d10"),
         F.min(F.when(F.col("hit") == 1, F.col("pos"))).alias("first_hit"), F.sum(F.when((F.col("hit") == 1) & (F.col("pos") <= 10), F.col("hits") / F.col("pos")).otherwise(0.0)).alias("ap"),
         F.sum(F.when(F.col("hit") == 1, 1 - F.when(F.col("all_misses") > 0, F.col("misses") / F.col("all_misses")).otherwise(0.0)).otherwise(0.0)).alias("bp"), F.countDistinct("provider").alias("diversity"),
     )
+    out = out.join(ideal.groupBy("query_id").agg(gain(5, "ideal").alias("i5"), gain(10, "ideal").alias("i10")), "query_id")
     total = F.greatest("found", F.lit(3))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     return out.select(

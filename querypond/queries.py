@@ -312,7 +312,7 @@ def _judged(spark: SparkSession, d: str) -> DataFrame:
     """Results of each query in order, judged against its first one: the same address or a like title, else shared words."""
     rows = results(spark, d).select("query_id", "result_id", "url", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("snippet", F.lit("")).alias("snippet"), "provider")
     by = Window.partitionBy("query_id").orderBy("result_id")
-    rows = rows.withColumn("pos", F.row_number().over(by)).withColumn("first_url", F.first("url").over(by)).withColumn("first_title", F.first("title").over(by)).where("pos <= 25")
+    rows = rows.withColumn("pos", F.row_number().over(by)).withColumn("first_url", F.first("url").over(by)).withColumn("first_title", F.first("title").over(by))
     rows = rows.withColumn("a", F.expr(signals.title_words(SPARK, "title"))).withColumn("b", F.expr(signals.title_words(SPARK, "first_title")))
     shared = F.size(F.filter("b", lambda w: F.contains(F.lower(F.concat("title", F.lit(" "), "snippet")), w))) / F.greatest(F.size("b"), F.lit(1))
     like = F.expr(signals.jaccard(SPARK, "a", "b"))

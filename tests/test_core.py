@@ -183,3 +183,29 @@ def test_signals_read_whole_texts(spark, tmp_path):
     assert final[1] == final[2]
     again = {r.doc_id: (r.alignment, r.rerank_score) for r in core.reranked(spark, str(tmp_path)).collect()}
     assert again[1] == again[2] and len(again) == 2
+
+
+def test_all_results_are_judged(spark, tmp_path, monkeypatch):
+    """The metrics of a query with more results than any cap, counted in parts, against plain loops."""
+    import random
+
+    from querypond import queries as core
+    from querypond.operators import evaluate
+
+    monkeypatch.setattr(evaluate, "PART", 7)
+    rng = random.Random(2)
+    rels = {q: [rng.choice([-1, 0, 1, 2, 3]) for _ in range(n)] for q, n in (("a", 60), ("b", 3), ("c", 26))}
+    df = spark.createDataFrame([(q, i, r, f"p{i % 29}") for q, rs in rels.items() for i, r in enumerate(rs, 1)], "query_id string, pos int, rel int, provider string")
+    for r in evaluate.metrics(df).collect():
+        rs = rels[r.query_id]
+        hit = [x >= 1 for x in rs]
+        misses = len(hit) - sum(hit)
+        bpref = sum(1 - (sum(not h for h in hit[:i]) / misses if misses else 0) for i in range(len(hit)) if hit[i]) / max(1, sum(hit))
+        assert abs(r.bpref - bpref) < 1e-9 and abs(r.r10 - sum(hit[:10]) / max(3, sum(hit))) < 1e-9 and r.diversity == min(29, len(rs))
+        ap = sum(sum(hit[: i + 1]) / (i + 1) for i in range(min(10, len(hit))) if hit[i]) / max(3, sum(hit))
+        assert abs(r.map - ap) < 1e-9
+    schema = "result_id bigint, provider_ref string, query_id string, url string, title string, snippet string, provider string, published_at string, author string, fetched_at timestamp, ingested_at timestamp"
+    rows = [(i, str(i), "q", f"https://a.example/{i}", f"Title {i}", "text", "p", None, None, None, None) for i in range(40)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "search_results.parquet"))
+    assert sorted(r.pos for r in core.judge_match(spark, str(tmp_path)).collect()) == list(range(1, 41))
+
