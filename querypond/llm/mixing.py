@@ -190,6 +190,6 @@ def _report(spark: SparkSession, plan: list[Quota], actual) -> DataFrame:
 
 
 def with_texts(rows: DataFrame, documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The mixture with its texts, in the order of shard and position within each partition."""
-    bodies = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).dropDuplicates(["doc_id"])
+    """The mixture with its texts, in the order of shard and position within each partition; of a repeated id the longest text."""
+    bodies = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.octet_length("text") > 0).groupBy("doc_id").agg(F.max_by("text", F.struct(F.octet_length("text"), "text")).alias("text"))
     return rows.join(bodies, "doc_id").repartition("shard").sortWithinPartitions("shard", "position")

@@ -66,7 +66,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+    documents = table(spark, d, "documents")
+    return mixing.with_texts(mixing.mixture(documents, table(spark, d, "mix_targets"))[0], documents)
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:

@@ -366,6 +366,17 @@ def test_mixture(spark):
     assert empty.count() == 0 and rep.count() == 4
 
 
+def test_mixture_holds_texts(spark, tmp_path):
+    from querypond.llm import queries
+
+    docs = [(i, f"text {i} " + "word " * (i % 40), "ab"[i % 2]) for i in range(300)]
+    spark.createDataFrame([*docs, (301, None, "a")], "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("a", 0.7, 3), ("b", 0.3, 1)], "source_name string, target_share double, max_repeats int").write.parquet(str(tmp_path / "mix_targets.parquet"))
+    got = queries.p8_mixture(spark, str(tmp_path)).collect()
+    text = {i: t for i, t, _ in docs}
+    assert len(got) > 200 and all(r.text == text[r.doc_id] for r in got) and len({(r.doc_id, r.repeat_no) for r in got}) == len(got)
+
+
 def test_splitting_tree():
     rng = np.random.default_rng(1)
     tree = mixing.split_blocks(np.array([50, 7, 0, 300]), 6, rng)
