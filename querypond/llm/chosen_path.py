@@ -3,22 +3,27 @@
 A record's set T holds the distinct tokens (maximal runs of a-z and 0-9, lower case) of its text columns. Two records are
 linked when both sets have at least ``min_tokens`` tokens and their Jaccard similarity is at least ``threshold``.
 
-Paths. Sets are split recursively on sampled shared tokens. At the root of the path tree ``width`` tokens are chosen, at each
-further node ``spread``, by hashes of the path and the token that all sets share (consistent weighted sampling), in proportion to a power of its information -log(df / N): rare
-tokens split well, frequent ones hardly do, and a token of one set only, which can't be shared, is never chosen. A path ends when a chance meeting of ``bucket`` records is all that is expected in its bucket,
-N times the product of its tokens' frequencies, or at ``max_depth``. Sets that reach one bucket are compared there by
-brute force: 128-bit sketches of one-bit minima first, then, once for each pair, the sets themselves. Paths get deeper with N, and
-deeper ones are shared less often: from the depths that a sample of the sets has at this N, tokens are added at the root (at least
-``width`` are taken), then runs with fresh hashes, until ``recall`` of the pairs right at the threshold are expected to meet and
-to pass the sketches (``roots_for``); more similar ones meet more often.
+Paths. Sets are split recursively on sampled shared tokens. At the root of the path tree some tokens are chosen, at each
+further node ``spread``, by hashes of the path and the token that all sets share (consistent weighted sampling), in proportion
+to a power of its information -log(df / N): rare tokens split well, frequent ones hardly do, and a token of one set only, which
+can't be shared, is never chosen. A path goes on until a chance meeting of ``bucket`` records is all that is expected in its
+bucket, N times the product of its tokens' frequencies, or until its set has no token left. Sets that reach one bucket are
+compared there by brute force: 128-bit sketches of one-bit minima first, then, once for each pair, the sets themselves.
+
+Recall. Paths get deeper with N, and deeper ones are shared less often. From the depths that a sample of the sets has at this N,
+tokens are added at the root (at least ``width``), then runs with fresh hashes, until ``recall`` of the pairs right at the
+threshold are expected to meet and to pass the sketches (``roots_for``); more similar ones meet more often. The sketches' share
+of the misses is half of what the recall allows (``sketch_bound``). ``exact_links`` gives all links, without sampling or
+sketches, by prefixes of the rarest tokens; ``all_groups`` uses it for the sets that are too small for many paths.
 
 Scale. Token frequencies are kept in a fixed number of hashed counters, so what is broadcast doesn't grow. Records with
 equal sets form a class that takes part once. Buckets and sets move as fixed-width rows; the comparison inside a bucket is
-an equi-join on the bucket's key, which AQE splits where a key is hot. Frequency counts use all records.
+an equi-join on the bucket's key, both sides one exchange, which AQE splits where a key is hot. Frequency counts use all records.
 
 Defined results: null columns count as empty text; rows with a null id are dropped; of rows with one id the one with the
-largest ``newest`` value counts (ties: the larger set, then any); sets below ``min_tokens`` are left out by
-``near_duplicates``; ``all_groups`` keeps them, with the links of an exact join; an empty table gives no rows; other columns are ignored.
+largest ``newest`` value counts (a null one comes last; ties: the larger set, then the larger hash of the set), so that an id
+has one row; sets below ``min_tokens`` are left out by ``near_duplicates``; ``all_groups`` keeps them, a record without tokens as
+a class of its own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,12 +34,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querypond.runtime import cut
 
-COUNTERS = 1 << 16
+COUNTERS = 1 << 18
 SKETCH_BITS = 128
 MIX1, MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 #: Rows up to which a side is broadcast; above, the join is shuffled.
@@ -57,19 +62,22 @@ def token_set(columns: list[Column]) -> Column:
     return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.hash(w))))
 
 
-def sketch_miss(threshold: float) -> float:
-    """Probability that the sketches of a pair at the threshold differ in more bits than sketch_bound allows."""
-    p, bound = (1 - threshold) / 2, sketch_bound(threshold)
+def sketch_miss(threshold: float, bound: int) -> float:
+    """Probability that the sketches of a pair at the threshold differ in more bits than the bound."""
+    p = (1 - threshold) / 2
     return sum(math.comb(SKETCH_BITS, k) * p**k * (1 - p) ** (SKETCH_BITS - k) for k in range(bound + 1, SKETCH_BITS + 1))
 
 
+def sketch_bound(threshold: float, recall: float) -> int:
+    """Differing bits above which a pair isn't compared further: half of the misses that the recall allows."""
+    return next(b for b in range(SKETCH_BITS + 1) if sketch_miss(threshold, b) <= (1 - recall) / 2)
+
+
 def roots_for(recall: float, threshold: float, depths: list[np.ndarray], least: int) -> int:
     """Tokens at the root, of all runs together, after which a pair at the threshold has met and passed its sketches with the wanted
     probability; depths: of each set of a sample, the lengths of its paths. With sets of one size a sampled token is shared with a
     probability of about the threshold, and a path must be shared throughout."""
-    wanted = 1 - recall / (1 - sketch_miss(threshold))
-    if wanted <= 0:
-        raise ValueError("the sketches alone miss more than the recall allows")
+    wanted = 1 - recall / (1 - sketch_miss(threshold, sketch_bound(threshold, recall)))
     meets = np.array([np.mean(np.log1p(-(threshold ** d.astype(float)))) for d in depths if len(d)])
     roots = least
     while len(meets) and np.mean(np.exp(meets * roots)) > wanted:
@@ -160,27 +168,17 @@ class Paths:
         return out
 
 
-def sketch_bound(threshold: float, deviations: float = 4.0) -> int:
-    """Differing bits above which a pair isn't compared further: the mean at the threshold plus some standard deviations."""
-    p = (1 - threshold) / 2
-    return min(SKETCH_BITS, math.ceil(SKETCH_BITS * p + deviations * math.sqrt(SKETCH_BITS * p * (1 - p))))
-
-
-def newest_rows(rows: DataFrame, newest: str | None) -> DataFrame:
-    """Of rows (id, newest, ...) the newest of each id. Only the ids that repeat are gathered; the rest stay where they are."""
-    if newest is None:
-        return rows
-    stale = rows.groupBy("id").agg(F.count("*").alias("n"), F.max("newest").alias("latest")).where("n > 1").select("id", "latest")
-    few = stale.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    joined = rows.join(F.broadcast(stale) if few else stale, "id", "left")
-    return joined.where(F.col("latest").isNull() | F.col("newest").eqNullSafe(F.col("latest"))).drop("latest")
-
-
 def record_sets(records: DataFrame, *, id_col: str, columns: list[str], newest: str | None, min_tokens: int) -> DataFrame:
-    """(id, tokens) of the records with enough tokens, repeated ids once but for exact repeats of a row."""
+    """(id, tokens), one row an id, of the records with enough tokens. Only the ids that repeat are gathered; the rest stay where they are."""
     rows = records.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(newest) if newest else F.lit(0)).alias("newest"), *[F.col(c).alias(f"text_{i}") for i, c in enumerate(columns)])
-    rows = newest_rows(rows, newest)
-    return rows.select("id", token_set([F.col(f"text_{i}") for i in range(len(columns))]).alias("tokens")).where(F.size("tokens") >= min_tokens)
+    tokens = token_set([F.col(f"text_{i}") for i in range(len(columns))]).alias("tokens")
+    repeated = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    if repeated.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        repeated = F.broadcast(repeated)
+    once = rows.join(repeated, "id", "left_anti").select("id", tokens)
+    several = rows.join(repeated, "id", "left_semi").select("id", "newest", tokens)
+    latest = F.struct(F.col("newest").isNotNull(), "newest", F.size("tokens"), F.xxhash64("tokens"))
+    return once.unionByName(several.groupBy("id").agg(F.max_by("tokens", latest).alias("tokens"))).where(F.size("tokens") >= min_tokens)
 
 
 def token_frequencies(sets: DataFrame) -> tuple[np.ndarray, int]:
@@ -205,8 +203,23 @@ def token_frequencies(sets: DataFrame) -> tuple[np.ndarray, int]:
     return out, total
 
 
-def similar_classes(
-    sets: DataFrame,
+def classes_of(sets: DataFrame) -> DataFrame:
+    """(id, class, tokens). The sets are read by several branches: they are made once, and none recomputes texts when an executor is lost."""
+    return cut(sets.select("id", F.xxhash64("tokens").alias("class"), "tokens"))
+
+
+def verified(candidates: DataFrame, one: DataFrame, threshold: float) -> DataFrame:
+    """(class_a, class_b, jaccard) of the candidate pairs whose sets, in one (class, tokens), are similar."""
+    left, right = (one.select(F.col("class").alias(f"class_{s}"), F.col("tokens").alias(f"tokens_{s}")) for s in "ab")
+    # One exchange by the first class serves the pairs' distinct and their first join.
+    pairs = candidates.repartition("class_a").distinct()
+    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    jaccard = common / (F.size("tokens_a") + F.size("tokens_b") - common)
+    return pairs.join(left, "class_a").join(right, "class_b").select("class_a", "class_b", jaccard.alias("jaccard")).where(F.col("jaccard") >= threshold)
+
+
+def path_links(
+    hashed: DataFrame,
     *,
     threshold: float = 0.7,
     recall: float = 0.999,
@@ -214,12 +227,10 @@ def similar_classes(
     spread: int = 1,
     bucket: float = 64.0,
     power: float = 1.5,
-    max_depth: int = 6,
-) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members (id, class) with class = a hash of the set; links (class_a, class_b, jaccard), a < b."""
-    spark = sets.sparkSession
-    # The sets are read by several branches: they are made once, and none of them recomputes texts when an executor is lost.
-    hashed = cut(sets.select("id", F.xxhash64("tokens").alias("class"), "tokens"))
+    max_depth: int = 24,
+) -> DataFrame:
+    """Links (class_a, class_b, jaccard), a < b, between the classes of (id, class, tokens), by chosen paths."""
+    spark = hashed.sparkSession
     frequency, total = token_frequencies(hashed)
     shared = spark.sparkContext.broadcast(frequency)
     settings = dict(spread=spread, bucket=bucket, max_depth=max_depth, power=power)
@@ -247,45 +258,45 @@ def similar_classes(
 
     # One row a class. Its exchange serves the paths and, on both sides, the comparison of the sets.
     one = hashed.groupBy("class").agg(F.first("tokens").alias("tokens"))
-    buckets = one.mapInArrow(paths, "key bigint, class bigint, low bigint, high bigint")
+    buckets = one.where("size(tokens) > 0").mapInArrow(paths, "key bigint, class bigint, low bigint, high bigint")
     # Both sides of the self-join keep their columns' names, so that they are one exchange, which AQE may split where a key is hot.
     a, b = buckets.alias("a"), buckets.alias("b")
     differing = F.bit_count(F.col("a.low").bitwiseXOR(F.col("b.low"))) + F.bit_count(F.col("a.high").bitwiseXOR(F.col("b.high")))
-    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.class") < F.col("b.class")) & (differing <= sketch_bound(threshold))
-    candidates = a.join(b, near).select(F.col("a.class").alias("class_a"), F.col("b.class").alias("class_b")).distinct()
-    left, right = (one.select(F.col("class").alias(f"class_{s}"), F.col("tokens").alias(f"tokens_{s}")) for s in "ab")
-    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    jaccard = common / (F.size("tokens_a") + F.size("tokens_b") - common)
-    links = candidates.join(left, "class_a").join(right, "class_b").select("class_a", "class_b", jaccard.alias("jaccard")).where(F.col("jaccard") >= threshold)
-    return hashed.select("id", "class").distinct(), links
-
-
-def short_links(sets: DataFrame, *, threshold: float, below: int) -> DataFrame:
-    """(class_a, class_b, jaccard) of all pairs of which one has fewer than ``below`` tokens, exactly. Sets that are similar share one of
-    the rarest tokens of each, and sets of frequent tokens only, which paths don't tell apart, are short here."""
-    longest = math.floor((below - 1) / threshold + 1e-9)
-    one = cut(sets.where(F.size("tokens").between(1, longest)).groupBy(F.xxhash64("tokens").alias("class")).agg(F.first("tokens").alias("tokens")))
+    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.class") < F.col("b.class")) & (differing <= sketch_bound(threshold, recall))
+    candidates = a.join(b, near).select(F.col("a.class").alias("class_a"), F.col("b.class").alias("class_b"))
+    return verified(candidates, one, threshold)
+
+
+def exact_links(hashed: DataFrame, *, threshold: float = 0.7, below: int | None = None) -> DataFrame:
+    """Links (class_a, class_b, jaccard), a < b, between the classes of (id, class, tokens), all of them; with below, those of which one
+    set has fewer tokens than that. Similar sets share at least two tokens, so two of the rarest of each: a pair of tokens is a key."""
+    sized = hashed.where(F.size("tokens") > 1)
+    if below is not None:
+        sized = sized.where(F.size("tokens") <= math.floor((below - 1) / threshold + 1e-9))
+    one = sized.groupBy("class").agg(F.first("tokens").alias("tokens"))
     each = one.select("class", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     counts = each.groupBy("token").agg(F.count("*").alias("df"))
-    rarest = Window.partitionBy("class").orderBy("df", "token")
-    kept = each.join(counts, "token").withColumn("place", F.row_number().over(rarest)).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("token", "class", "n")
-    a, b = kept.alias("a"), kept.alias("b")
+    # Of n tokens, all but the t * n - 2 most frequent ones: of similar sets these hold two shared ones at least.
+    kept = F.slice(F.array_sort(F.collect_list(F.struct("df", "token"))), 1, F.first("n") - F.ceil(F.first("n") * threshold - 1e-9).cast("int") + 2)
+    rare = each.join(counts, "token").groupBy("class").agg(F.first("n").alias("n"), F.transform(kept, lambda x: x.token).alias("rare"))
+    pairs = F.flatten(F.transform("rare", lambda x, i: F.transform(F.slice("rare", i + 2, F.size("rare")), lambda y: F.xxhash64(F.least(x, y), F.greatest(x, y)))))
+    keyed = rare.select("class", "n", F.explode(pairs).alias("key"))
+    a, b = keyed.alias("a"), keyed.alias("b")
     least, most = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
-    near = (F.col("a.token") == F.col("b.token")) & (F.col("a.class") < F.col("b.class")) & (least < below) & (least >= threshold * most - 1e-9)
-    candidates = a.join(b, near).select(F.col("a.class").alias("class_a"), F.col("b.class").alias("class_b")).distinct()
-    left, right = (one.select(F.col("class").alias(f"class_{s}"), F.col("tokens").alias(f"tokens_{s}")) for s in "ab")
-    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    jaccard = common / (F.size("tokens_a") + F.size("tokens_b") - common)
-    return candidates.join(left, "class_a").join(right, "class_b").select("class_a", "class_b", jaccard.alias("jaccard")).where(F.col("jaccard") >= threshold)
+    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.class") < F.col("b.class")) & (least >= threshold * most - 1e-9)
+    if below is not None:
+        near = near & (least < below)
+    return verified(a.join(b, near).select(F.col("a.class").alias("class_a"), F.col("b.class").alias("class_b")), one, threshold)
 
 
-def all_groups(records: DataFrame, *, id_col: str = "result_id", columns: tuple[str, ...] = ("title", "snippet"), newest: str | None = "ingested_at", min_tokens: int = 16, threshold: float = 0.7, **join) -> tuple[DataFrame, DataFrame]:
-    """(members, links) of all records, short ones included: chosen paths from ``min_tokens`` tokens on, an exact join below. A record
-    without tokens is a class of its own."""
-    sets = cut(record_sets(records, id_col=id_col, columns=list(columns), newest=newest, min_tokens=0))
-    members, links = similar_classes(sets.where(F.size("tokens") >= min_tokens), threshold=threshold, **join)
-    short = sets.where(F.size("tokens") < min_tokens).select("id", F.when(F.size("tokens") > 0, F.xxhash64("tokens")).otherwise(F.xxhash64(F.lit("no tokens"), "id")).alias("class")).distinct()
-    return members.unionByName(short), links.unionByName(short_links(sets, threshold=threshold, below=min_tokens))
+def all_groups(records: DataFrame, *, id_col: str = "result_id", columns: tuple[str, ...] = ("title", "snippet"), newest: str | None = "ingested_at", exact_below: int = 16, threshold: float = 0.7, **join) -> tuple[DataFrame, DataFrame]:
+    """(members, links) of all records, short ones included: chosen paths, and an exact join where a set has fewer than ``exact_below``
+    tokens. A record without tokens is a class of its own."""
+    sets = record_sets(records, id_col=id_col, columns=list(columns), newest=newest, min_tokens=0)
+    own = F.when(F.size("tokens") > 0, F.xxhash64("tokens")).otherwise(F.xxhash64(F.lit("no tokens"), "id"))
+    hashed = cut(sets.select("id", own.alias("class"), "tokens"))
+    long = path_links(hashed.where(F.size("tokens") >= exact_below), threshold=threshold, **join)
+    return hashed.select("id", "class"), long.unionByName(exact_links(hashed, threshold=threshold, below=exact_below))
 
 
 def linked_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -300,14 +311,16 @@ def linked_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(records: DataFrame, *, id_col: str = "result_id", columns: tuple[str, ...] = ("title", "snippet"), newest: str | None = "ingested_at", min_tokens: int = 16, **join) -> tuple[DataFrame, DataFrame]:
-    """(members, links) of the records, see similar_classes."""
-    return similar_classes(record_sets(records, id_col=id_col, columns=list(columns), newest=newest, min_tokens=min_tokens), **join)
+    """(members, links): members (id, class) with class = a hash of the set; links (class_a, class_b, jaccard), a < b."""
+    hashed = classes_of(record_sets(records, id_col=id_col, columns=list(columns), newest=newest, min_tokens=min_tokens))
+    return hashed.select("id", "class"), path_links(hashed, **join)
 
 
 def link_counts(members: DataFrame, links: DataFrame) -> DataFrame:
-    """One row a record: (id, class, class_size, links), links = records in other classes that it is linked to."""
-    size = members.groupBy("class").agg(F.count("*").alias("class_size"))
+    """One row a record: (id, class, class_size, links), class = the lowest id with an equal set, links = records in other classes that
+    it is linked to."""
+    size = members.groupBy("class").agg(F.count("*").alias("class_size"), F.min("id").alias("lowest"))
     ends = reduce(DataFrame.unionByName, [links.select(F.col(f"class_{s}").alias("class"), F.col(f"class_{o}").alias("other")) for s, o in ("ab", "ba")])
-    degree = ends.join(size.withColumnRenamed("class", "other"), "other").groupBy("class").agg(F.sum("class_size").alias("links"))
-    per_class = size.join(degree, "class", "left").select("class", "class_size", F.coalesce("links", F.lit(0)).alias("links"))
-    return members.join(per_class, "class").select("id", "class", "class_size", "links")
+    degree = ends.join(size.select(F.col("class").alias("other"), "class_size"), "other").groupBy("class").agg(F.sum("class_size").alias("links"))
+    per_class = size.join(degree, "class", "left").select("class", "class_size", "lowest", F.coalesce("links", F.lit(0)).alias("links"))
+    return members.join(per_class, "class").select("id", F.col("lowest").alias("class"), "class_size", "links")

@@ -110,6 +110,12 @@ SQL = {
 s AS (SELECT result_id AS id, list_distinct({TOKENS.format(x="coalesce(title, '') || ' ' || coalesce(snippet, '')")}) AS w FROM r), k AS (SELECT id, w, len(w) AS n FROM s WHERE len(w) >= 16), tok AS (SELECT id, n, unnest(w) AS t FROM k), df AS (SELECT t, count(*) AS c FROM tok GROUP BY t),
 p AS (SELECT id, t FROM tok JOIN df USING (t) QUALIFY row_number() OVER (PARTITION BY id ORDER BY c, t) <= n - ceil(0.7 * n - 1e-9) + 1), c AS (SELECT DISTINCT a.id AS i, b.id AS j FROM p a JOIN p b ON a.t = b.t AND a.id < b.id),
 m AS (SELECT i, j, len(list_intersect(a.w, b.w)) AS o, a.n AS x, b.n AS y FROM c JOIN k a ON a.id = i JOIN k b ON b.id = j) SELECT i AS result_a, j AS result_b FROM m WHERE o >= 0.7 * (x + y - o) - 1e-9""",
+    "p3_groups": f"""WITH r AS (SELECT result_id, title, snippet FROM search_results QUALIFY row_number() OVER (PARTITION BY result_id ORDER BY ingested_at DESC) = 1),
+s AS (SELECT result_id AS id, list_sort(list_distinct({TOKENS.format(x="coalesce(title, '') || ' ' || coalesce(snippet, '')")})) AS w FROM r), k AS (SELECT id, w, CASE WHEN len(w) > 0 THEN array_to_string(w, ' ') ELSE '- ' || id END AS class FROM s),
+c AS (SELECT class, any_value(w) AS w, len(any_value(w)) AS n, count(*) AS class_size, min(id) AS lowest FROM k GROUP BY class), tok AS (SELECT class, n, unnest(w) AS t FROM c), df AS (SELECT t, count(*) AS d FROM tok GROUP BY t),
+p AS (SELECT class, n, t FROM tok JOIN df USING (t) QUALIFY row_number() OVER (PARTITION BY class ORDER BY d, t) <= n - ceil(0.7 * n - 1e-9) + 1), x AS (SELECT DISTINCT a.class AS i, b.class AS j FROM p a JOIN p b ON a.t = b.t AND a.class <> b.class AND a.n >= 0.7 * b.n - 1e-9 AND b.n >= 0.7 * a.n - 1e-9),
+m AS (SELECT i, j, len(list_intersect(a.w, b.w)) AS o, a.n AS u, b.n AS v, b.class_size AS others FROM x JOIN c a ON a.class = i JOIN c b ON b.class = j), g AS (SELECT i AS class, sum(others)::BIGINT AS links FROM m WHERE o >= 0.7 * (u + v - o) - 1e-9 GROUP BY i)
+SELECT id, lowest AS class, class_size, coalesce(links, 0) AS links FROM k JOIN c USING (class) LEFT JOIN g USING (class)""",
     "p6_found": _CUT + " SELECT src, id AS record_id FROM flags WHERE cut",
     "p6_shares": _CUT + " SELECT src, source, count(*) AS texts, count_if(cut)::BIGINT AS cut_texts, round(count_if(cut) / count(*), 6) AS share FROM flags GROUP BY src, source",
     "p1_found": """WITH one AS (SELECT entry_id, embedding FROM semantic_cache WHERE len(embedding) = 64 QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY hit_count DESC) = 1),

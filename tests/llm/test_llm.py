@@ -203,7 +203,7 @@ def test_recall_holds_as_paths_deepen(total):
     draw = lambda n: rng.choice(len(share), size=n, replace=False, p=share / share.sum()).astype(np.int32)
     # 34 tokens each, 28 of them shared: 28 / 40 = 0.7
     pairs = [(t[:34], np.r_[t[:28], t[34:]]) for t in (rng.permutation(draw(40)) for _ in range(3000))]
-    settings = dict(spread=1, bucket=64.0, max_depth=6, power=1.5)
+    settings = dict(spread=1, bucket=64.0, max_depth=24, power=1.5)
     sample = [a for a, _ in pairs[:1000]]
     lengths = np.full(len(pairs), 34)
     depths = chosen_path.Paths(frequency, total, runs=1, width=12, **settings).depths(np.concatenate(sample), lengths[:1000])
@@ -217,7 +217,7 @@ def test_recall_holds_as_paths_deepen(total):
         sketches.append(maker.sketches(tokens, lengths))
     met = {i for i, _ in keys[0] & keys[1]}
     differ = np.bitwise_count(sketches[0] ^ sketches[1]).sum(axis=0)
-    found = sum(i in met and differ[i] <= chosen_path.sketch_bound(0.7) for i in range(len(pairs)))
+    found = sum(i in met and differ[i] <= chosen_path.sketch_bound(0.7, 0.999) for i in range(len(pairs)))
     assert found >= 0.998 * len(pairs)
 
 
@@ -228,6 +228,29 @@ def test_later_delivery_counts(spark):
     assert chosen_path.linked_pairs(*chosen_path.near_duplicates(df)).count() == 0
 
 
+def test_ties_leave_one_row_an_id(spark):
+    words = lambda p, n: " ".join(f"{p}{i}" for i in range(n))
+    rows = [(1, words("x", 20), "", T0), (1, words("x", 21), "", T0), (2, words("x", 21), "", T0), (3, words("x", 21), "", None), (3, words("z", 30), "", None)]
+    df = spark.createDataFrame(rows, "result_id bigint, title string, snippet string, ingested_at timestamp")
+    for order in ("title", "snippet"):
+        m, links = chosen_path.near_duplicates(df.orderBy(F.col(order).desc()))
+        assert sorted(r.id for r in m.collect()) == [1, 2, 3]
+        assert [tuple(r) for r in chosen_path.linked_pairs(m, links).collect()] == [(1, 2)]
+
+
+@pytest.mark.parametrize("below", [None, 10])
+def test_exact_links(spark, below):
+    """All links, whatever the size of the sets; with a bound, those of the smaller sets."""
+    rng = random.Random(9)
+    sets = [sorted(rng.sample(range(11), rng.randrange(1, 9))) for _ in range(300)] + [sorted(rng.sample(range(30), rng.randrange(9, 25))) for _ in range(250)]
+    sets = [list(x) for x in dict.fromkeys(map(tuple, sets))]
+    df = spark.createDataFrame([(i, i, x) for i, x in enumerate(sets)], "id bigint, class bigint, tokens array<int>")
+    got = {(r.class_a, r.class_b) for r in chosen_path.exact_links(df, threshold=0.7, below=below).collect()}
+    like = lambda x, y: len({*x} & {*y}) >= 0.7 * len({*x} | {*y})
+    want = {(i, j) for i, x in enumerate(sets) for j in range(i + 1, len(sets)) if like(x, sets[j]) and (below is None or min(len(x), len(sets[j])) < below)}
+    assert got == want and len(want) > 30
+
+
 # 5 -------------------------------------------------------------------------------------------------------------------
 def test_minimum_cut_is_minimal():
     rng = random.Random(5)
