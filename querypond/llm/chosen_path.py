@@ -8,7 +8,7 @@ further node ``spread``, by hashes of the path and the token that all sets share
 to a power of its information -log(df / N): rare tokens split well, frequent ones hardly do, and a token of one set only, which
 can't be shared, is never chosen. A path goes on until a chance meeting of ``bucket`` records is all that is expected in its
 bucket, N times the product of its tokens' frequencies, or until its set has no token left. Sets that reach one bucket are
-compared there by brute force: 128-bit sketches of one-bit minima first, then, once for each pair, the sets themselves.
+compared there by brute force: 152-bit sketches of one-bit minima first, then, once for each pair, the sets themselves.
 
 Recall. Paths get deeper with N, and deeper ones are shared less often. From the depths that a sample of the sets has at this N,
 tokens are added at the root (at least ``width``), then runs with fresh hashes, until ``recall`` of the pairs right at the
@@ -40,7 +40,9 @@ from pyspark.sql import functions as F
 from querypond.runtime import cut
 
 COUNTERS = 1 << 18
-SKETCH_BITS = 128
+#: Bits of a sketch: two words, and the low bits of a bucket's key (of whose hash 40 bits are left, enough for 10^11 records).
+KEY_BITS = 24
+SKETCH_BITS = 128 + KEY_BITS
 MIX1, MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 #: Rows up to which a side is broadcast; above, the join is shuffled.
 BROADCAST_ROWS = 200_000
@@ -161,7 +163,7 @@ class Paths:
         """SKETCH_BITS one-bit minwise values of each (non-empty) set, 64 a column."""
         start = np.cumsum(lengths) - lengths
         t64 = tokens.view(np.uint32).astype(np.uint64)
-        out = np.zeros((SKETCH_BITS // 64, len(lengths)), dtype=np.uint64)
+        out = np.zeros((-(-SKETCH_BITS // 64), len(lengths)), dtype=np.uint64)
         for bit in range(SKETCH_BITS):
             least = np.minimum.reduceat(mix(t64 + np.uint64((bit + 1) * 0x9E3779B97F4A7C15 % (1 << 64))), start)
             out[bit // 64] |= ((least >> np.uint64(7)) & np.uint64(1)) << np.uint64(bit % 64)
@@ -234,7 +236,9 @@ def path_links(
     frequency, total = token_frequencies(hashed)
     shared = spark.sparkContext.broadcast(frequency)
     settings = dict(spread=spread, bucket=bucket, max_depth=max_depth, power=power)
-    sample = [np.array(r["tokens"], dtype=np.int32) for r in hashed.where("size(tokens) > 0").orderBy(F.xxhash64("class"), "id").select("tokens").limit(SAMPLE).collect()]
+    # About SAMPLE sets, by a hash of the id: as many are expected whatever their number, and no task sends more than its share.
+    taken = F.pmod(F.xxhash64("id", F.lit("depths")), F.lit(1 << 40)) < F.lit(int((1 << 40) * min(1.0, SAMPLE / max(1, total))))
+    sample = [np.array(r["tokens"], dtype=np.int32) for r in hashed.where(taken & (F.size("tokens") > 0)).select("tokens").collect()]
     roots = width
     if sample:
         depths = Paths(frequency, total, runs=1, width=width, **settings).depths(np.concatenate(sample), np.array([len(x) for x in sample]))
@@ -251,8 +255,10 @@ def path_links(
             column = b.column("tokens")
             lengths = np.asarray(column.value_lengths(), dtype=np.int64)
             tokens = np.asarray(column.flatten(), dtype=np.int32)
-            low, high = maker.sketches(tokens, lengths).view(np.int64)
+            low, high, rest = maker.sketches(tokens, lengths)
             record, key = maker.keys(tokens, lengths)
+            key = key >> np.uint64(KEY_BITS) << np.uint64(KEY_BITS) | rest[record]
+            low, high = low.view(np.int64), high.view(np.int64)
             own = np.asarray(b.column("class"))
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own[record]), pa.array(low[record]), pa.array(high[record])], names=["key", "class", "low", "high"])
 
@@ -261,8 +267,8 @@ def path_links(
     buckets = one.where("size(tokens) > 0").mapInArrow(paths, "key bigint, class bigint, low bigint, high bigint")
     # Both sides of the self-join keep their columns' names, so that they are one exchange, which AQE may split where a key is hot.
     a, b = buckets.alias("a"), buckets.alias("b")
-    differing = F.bit_count(F.col("a.low").bitwiseXOR(F.col("b.low"))) + F.bit_count(F.col("a.high").bitwiseXOR(F.col("b.high")))
-    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.class") < F.col("b.class")) & (differing <= sketch_bound(threshold, recall))
+    differing = reduce(Column.__add__, [F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in ("low", "high", "key")])
+    near = (F.shiftright("a.key", KEY_BITS) == F.shiftright("b.key", KEY_BITS)) & (F.col("a.class") < F.col("b.class")) & (differing <= sketch_bound(threshold, recall))
     candidates = a.join(b, near).select(F.col("a.class").alias("class_a"), F.col("b.class").alias("class_b"))
     return verified(candidates, one, threshold)
 
