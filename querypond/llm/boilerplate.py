@@ -1,8 +1,8 @@
 """Main bodies of pages: minimum-cut labelling of lines as content or furniture.
 
 Every line with visible text is a node. A classifier gives its cost as content and as furniture (terminal capacities); edges
-between neighbouring lines of one block, between a heading and what follows it, and between lines of one container (DOM
-proximity) cost their weight where the labels differ. The minimum cut, found by maximum flow, is the cheapest labelling.
+between neighbouring lines of one block, between a heading and what follows it, and between neighbours in one container or at one
+depth of the DOM cost their weight where the labels differ. The minimum cut, found by maximum flow, is the cheapest labelling.
 
 Classifier. Logistic regression over wording, links, role, place, container and repetition: on how many pages, and of how many
 sites, a line recurs once the site's name and numbers are masked, counted over all pages. It is trained here on a bounded
@@ -12,7 +12,7 @@ don't. Everything else covers all lines.
 Flow. Most nodes are settled beforehand: one whose own preference exceeds the sum of its edges has the same label in every
 minimum cut. What is left is solved exactly by augmenting paths.
 
-Scale. Lines move as hashes and features; repetition is counted by (line, site) and then by line, so a site with a third of all
+Scale. Pages are taken apart once (``page_table``). Lines move as hashes and features; repetition is counted by (line, site) and then by line, so a site with a third of all
 pages is counted in parts; a page's lines meet again in one row. Repeated lines are joined by hash, the frequent side small.
 
 Defined results: null and empty texts have no lines; rows with a null id are dropped, of rows with one id the latest counts;
@@ -21,86 +21,34 @@ pages of one line are labelled by the classifier alone; an empty table gives no
 
 from __future__ import annotations
 
-import re
 from collections import deque
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querypond.llm.page_lines import RELATED, Line, html_lines, is_navigation, markdown_lines, masked, site_name, wording
+from querypond.llm.page_table import BIT
 from querypond.runtime import cut
 
 #: Repetition from which a short line of several sites is furniture for certain: on 0.2 % of all pages.
 FREQUENT = float(np.log1p(500 * 0.002))
-#: Parameters and settings: they recur as furniture does, but belong to the text.
-ASSIGNMENT = re.compile(r"\w\s*(?::=|=|→|->)\s*\S")
 #: Weights of the smoothness edges, in nats.
 NEXT, SAME_LIST, AFTER_HEADING, CONTAINER = 0.35, 1.6, 1.4, 0.25
 
 
-#: Bits of a line, in the order of their columns among the features.
-BITS = ("short", "sentence", "wording", "mention", "navigation", "inside", "outside", "h1", "h", "li", "code", "side", "below", "before", "last", "bars", "number", "setting", "related")
-BIT = {name: 1 << i for i, name in enumerate(BITS)}
 #: Columns of the features of a line.
 COLUMNS = ("one", "words", "short", "sentence", "wording", "mention", "navigation", "linked", "inside", "outside", "h1", "h", "li", "code", "side", "below", "before", "place", "last", "bars", "number", "setting", "pages", "sites", "most")
 
 
-def line_features(lines: list[Line]) -> list[tuple[int, int, float, float]]:
-    """(bits, words, share of linked words, place) of each line, as its page alone tells them."""
-    n, out = len(lines), []
-    first_h1 = next((i for i, line in enumerate(lines) if line.role == "h1"), -1)
-    below = False  # under a heading of related items
-    for i, line in enumerate(lines):
-        text, words = line.text, len(line.words)
-        related = bool(RELATED.match(text))
-        if line.role in ("h1", "h"):
-            below = related and words <= 8
-        elif line.role != "li":
-            below = False
-        bits = BIT.get(line.role, 0)
-        if words <= 3:
-            bits |= BIT["short"]
-        if words >= 10 and text.rstrip("\"”»’)]")[-1:] in ".!?:;":
-            bits |= BIT["sentence"]
-        if wording(text, line.words) >= 0:
-            bits |= BIT["wording"] if words <= 16 else BIT["mention"]
-        if is_navigation(line):
-            bits |= BIT["navigation"]
-        if line.inside:
-            bits |= BIT["inside"]
-        if line.outside:
-            bits |= BIT["outside"]
-        if line.side:
-            bits |= BIT["side"]
-        if below:
-            bits |= BIT["below"]
-        if i < first_h1:
-            bits |= BIT["before"]
-        if i >= n - 3:
-            bits |= BIT["last"]
-        if "|" in text or "·" in text:
-            bits |= BIT["bars"]
-        if words == 2 and line.words[0].isdigit():
-            bits |= BIT["number"]
-        if ("=" in text or "→" in text or "->" in text) and ASSIGNMENT.search(text):
-            bits |= BIT["setting"]
-        if related:
-            bits |= BIT["related"]
-        out.append((bits, min(words, 40), line.linked / max(1, words), i / max(1, n - 1)))
-    return out
-
-
 def feature_matrix(bits: np.ndarray, **values: np.ndarray) -> np.ndarray:
     """One row a line, columns as in COLUMNS."""
     values = {"one": np.ones(len(bits)), **values, "words": values["words"] / 40}
     return np.stack([values[c] if c in values else (bits & BIT[c] > 0).astype(np.float64) for c in COLUMNS], axis=1).astype(np.float64)
 
 
-def edges_of(bits: list[int], blocks: list[int]) -> list[tuple[int, int, float]]:
+def edges_of(bits: list[int], blocks: list[int], depths: list[int]) -> list[tuple[int, int, float]]:
     """Smoothness edges between lines of a page."""
     code, li, h, side, inside, related = (BIT[x] for x in ("code", "li", "h", "side", "inside", "related"))
     links = BIT["inside"] | BIT["outside"]
@@ -114,7 +62,7 @@ def edges_of(bits: list[int], blocks: list[int]) -> list[tuple[int, int, float]]
             out.append((i - 1, i, AFTER_HEADING))
         elif same:
             out.append((i - 1, i, NEXT))
-        elif a & b & side:
+        elif a & b & side or depths[i - 1] == depths[i] > 0:
             out.append((i - 1, i, CONTAINER))
     return out
 
@@ -143,7 +91,8 @@ def minimum_cut(furniture: list[float], content: list[float], edges: list[tuple[
         around[i] = {}
     rest = [i for i in range(n) if label[i] is None]
     if rest:
-        for i, side in zip(rest, _max_flow([gain[i] for i in rest], [{rest.index(j): w for j, w in around[i].items()} for i in rest])):
+        number = {i: k for k, i in enumerate(rest)}
+        for i, side in zip(rest, _max_flow([gain[i] for i in rest], [{number[j]: w for j, w in around[i].items()} for i in rest])):
             label[i] = side
     return [bool(x) for x in label]
 
@@ -197,53 +146,22 @@ def certain(features: np.ndarray) -> np.ndarray:
     return out
 
 
-def page_rows(pages: DataFrame, *, src: str, id_col: str, text: str, host: str, at: str, html: bool) -> DataFrame:
-    """The common form (src, id, host, text, html), of rows with one id the latest. Only repeated ids move."""
-    rows = pages.where(F.col(id_col).isNotNull() & (F.length(text) > 0)).select(F.lit(src).alias("src"), F.col(id_col).cast("bigint").alias("id"), F.coalesce(host, F.lit("")).alias("host"), F.col(text).alias("text"), F.lit(html).alias("html"), F.col(at).cast("timestamp").alias("at"))
-    return rows.groupBy("src", "id").agg(F.max_by(F.struct("host", "text", "html"), F.struct("at", "text")).alias("p")).select("src", "id", "p.host", "p.text", "p.html")
-
-
-def label_lines(pages: DataFrame, *, sample_lines: int = 20_000, seed: int = 3) -> DataFrame:
-    """(src, id, line_no, furniture) of every line with visible text."""
-    schema = "src string, id bigint, host string, line_no int, mask bigint, first boolean, block int, bits int, words int, linked float, place float"
-
-    def lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            number, mask, first, block, sizes = [], [], [], [], []
-            features: list[tuple] = []
-            for host, text, html in zip(*(batch.column(c).to_pylist() for c in ("host", "text", "html"))):
-                lines = html_lines(text) if html else markdown_lines(text)
-                seen, site = set(), site_name(host)
-                for line in lines:
-                    m = int.from_bytes(blake2b(masked(line.text, site).encode(), digest_size=8).digest(), "little", signed=True)
-                    number.append(line.number)
-                    mask.append(m)
-                    first.append(m not in seen)
-                    block.append(line.block)
-                    seen.add(m)
-                features.extend(line_features(lines))
-                sizes.append(len(lines))
-            if number:
-                take = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-                bits, words, linked, place = zip(*features)
-                own = [batch.column(c).take(take) for c in ("src", "id", "host")]
-                made = [pa.array(number, pa.int32()), pa.array(mask, pa.int64()), pa.array(first, pa.bool_()), pa.array(block, pa.int32()), pa.array(bits, pa.int32()), pa.array(words, pa.int32()), pa.array(linked, pa.float32()), pa.array(place, pa.float32())]
-                yield pa.RecordBatch.from_arrays(own + made, names=["src", "id", "host", "line_no", "mask", "first", "block", "bits", "words", "linked", "place"])
-
-    lines = cut(pages.mapInArrow(lines_of, schema))
-    total = lines.select("src", "id").distinct().count()
-    repeated = lines.where("first").groupBy("mask", "host").agg(F.count("*").alias("n")).groupBy("mask").agg(F.sum("n").alias("pages"), F.count("*").alias("sites"), F.max("n").alias("most"))
+def label_lines(lines: DataFrame, *, sample_lines: int = 20_000, seed: int = 3) -> DataFrame:
+    """(html, id, line_no, furniture) of every line with visible text, from page_table.parsed."""
+    lines = lines.where("line_no > 0")
+    total = lines.groupBy("html", "id").agg(F.lit(1)).count()
+    repeated = lines.where("first").groupBy("mask", "site").agg(F.count("*").alias("n")).groupBy("mask").agg(F.sum("n").alias("pages"), F.count("*").alias("sites"), F.max("n").alias("most"))
     counted = lines.join(repeated.where("pages > 1"), "mask", "left")
     # Repetition in proportion to all pages, so that it means the same in a collection of any size.
     share = lambda c: F.log1p(F.lit(500.0) * (F.coalesce(F.col(c), F.lit(1)) - 1) / F.lit(float(max(1, total))))
     sites = F.log(F.least(F.coalesce("sites", F.lit(1)), F.lit(16)).cast("double"))
-    full = counted.select("src", "id", F.struct("line_no", "block", "bits", "words", "linked", "place", share("pages").cast("float").alias("pages"), sites.cast("float").alias("sites"), share("most").cast("float").alias("most")).alias("line"))
-    full = cut(full.groupBy("src", "id").agg(F.array_sort(F.collect_list("line")).alias("lines")))
+    full = counted.select("html", "id", F.struct("line_no", "block", "depth", "bits", "words", "linked", "place", share("pages").cast("float").alias("pages"), sites.cast("float").alias("sites"), share("most").cast("float").alias("most")).alias("line"))
+    full = cut(full.groupBy("html", "id").agg(F.array_sort(F.collect_list("line")).alias("lines")))
 
     # A bounded sample for the classifier: whole pages in the order of a hash until the lines suffice.
-    taken = full.orderBy(F.xxhash64("src", "id", F.lit(seed))).limit(max(50, sample_lines // 40)).select(F.explode("lines").alias("line")).select("line.*").limit(sample_lines).collect()
+    taken = full.orderBy(F.xxhash64("html", "id", F.lit(seed))).limit(max(50, sample_lines // 40)).select(F.explode("lines").alias("line")).select("line.*").limit(sample_lines).collect()
     if not taken:
-        return lines.select("src", "id", "line_no", F.lit(False).alias("furniture"))
+        return lines.select("html", "id", "line_no", F.lit(False).alias("furniture"))
     measured = ("words", "linked", "place", "pages", "sites", "most")
     x = feature_matrix(np.array([r["bits"] for r in taken]), **{c: np.array([r[c] for r in taken], dtype=np.float64) for c in measured})
     y = certain(x)
@@ -260,21 +178,21 @@ def label_lines(pages: DataFrame, *, sample_lines: int = 20_000, seed: int = 3)
             f = feature_matrix(bits, **{c: np.asarray(flat.field(c), dtype=np.float64) for c in measured})
             z = np.clip(f @ w, -12, 12) if w is not None else np.where(certain(f) == 1, 4.0, -4.0)
             content, furniture = np.logaddexp(0, z).tolist(), np.logaddexp(0, -z).tolist()
-            marks, blocks = bits.tolist(), flat.field("block").to_pylist()
+            marks, blocks, depths = bits.tolist(), flat.field("block").to_pylist(), flat.field("depth").to_pylist()
             out, at = [], 0
             for n in sizes:
                 end = at + int(n)
-                out.extend(minimum_cut(furniture[at:end], content[at:end], edges_of(marks[at:end], blocks[at:end])))
+                out.extend(minimum_cut(furniture[at:end], content[at:end], edges_of(marks[at:end], blocks[at:end], depths[at:end])))
                 at = end
             take = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-            yield pa.RecordBatch.from_arrays([batch.column("src").take(take), batch.column("id").take(take), flat.field("line_no"), pa.array(out, pa.bool_())], names=["src", "id", "line_no", "furniture"])
+            yield pa.RecordBatch.from_arrays([batch.column("html").take(take), batch.column("id").take(take), flat.field("line_no"), pa.array(out, pa.bool_())], names=["html", "id", "line_no", "furniture"])
 
-    return full.mapInArrow(label, "src string, id bigint, line_no int, furniture boolean")
+    return full.mapInArrow(label, "html boolean, id bigint, line_no int, furniture boolean")
 
 
 def main_bodies(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """(src, id, body): the texts without their furniture lines."""
-    drop = labels.where("furniture").groupBy("src", "id").agg(F.collect_set(F.col("line_no") - 1).alias("drop"))
-    joined = pages.join(drop, ["src", "id"], "left")
+    """(html, id, body): the texts of pages in the common form without their furniture lines."""
+    drop = labels.where("furniture").groupBy("html", "id").agg(F.collect_set(F.col("line_no") - 1).alias("drop"))
+    joined = pages.where(F.length("text") > 0).join(drop, ["html", "id"], "left")
     kept = F.filter(F.split("text", "\n"), lambda _, i: F.coalesce(~F.array_contains("drop", i), F.lit(True)))
-    return joined.select("src", "id", F.array_join(kept, "\n").alias("body"))
+    return joined.select("html", "id", F.array_join(kept, "\n").alias("body"))

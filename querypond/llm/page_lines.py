@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import html as html_entities
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
+from itertools import accumulate
 from re import _constants as sre
 from re import _parser as sre_parser
 
@@ -52,17 +54,6 @@ def _literals(parsed) -> set[str]:
 _TRIGGERS = sorted(set().union(*(_literals(sre_parser.parse(p)) for p in _WORDING if not p.startswith("^"))))
 
 
-def wording(text: str, words: list[str]) -> int:
-    """Where furniture's wording begins in a line, -1 for none."""
-    if _ANCHORED.match(text):
-        return 0
-    low = text.lower()
-    if not any(t in low for t in _TRIGGERS):
-        return -1
-    m = _FREE.search(text)
-    return m.start() if m else -1
-
-
 #: Words that name sections of sites. Fixed values.
 SECTIONS = frozenset(
     "home about pricing jobs careers tutorials api blog contact support login register signup changelog community docs documentation forum guides help faq status terms privacy start über anmelden anleitungen "
@@ -87,6 +78,26 @@ class Line:
     side: bool = False  # in a navigation, aside, footer or menu container
     depth: int = 0
     words: list[str] = field(default_factory=list)
+    wording: int = -1  # where furniture's wording begins, -1 for none
+
+
+def find_wording(lines: list[Line]) -> None:
+    """Sets where furniture's wording begins in each line. Every line is searched whole; the triggers are looked up a page at a time."""
+    low = [line.text.lower() for line in lines]
+    ends = list(accumulate(len(x) + 1 for x in low))
+    page, free = "\n".join(low), set()
+    for trigger in _TRIGGERS:
+        at = page.find(trigger)
+        while at >= 0:
+            i = bisect_right(ends, at)
+            free.add(i)
+            at = page.find(trigger, ends[i])
+    for i, line in enumerate(lines):
+        line.wording = -1
+        if _ANCHORED.match(line.text):
+            line.wording = 0
+        elif i in free and (m := _FREE.search(line.text)):
+            line.wording = m.start()
 
 
 _HREF = re.compile(r"href\s*=\s*[\"']?([^\"'\s>]*)")
@@ -98,7 +109,8 @@ _HEADING = re.compile(r"\s*(#{1,6})\s+(.*)")
 _ITEM = re.compile(r"\s*(?:[-*+]|\d+[.)])\s+(.*)")
 _ANY_TAG = re.compile(r"<[^<>]*>")
 _CRUMB = re.compile(r"\s[»›>/]\s")
-_DIGITS = re.compile(r"\d+")
+_DIGITS = re.compile(r"\d")
+_NUMBERED = re.compile(r"\b[^\W\d]*\d\w*")
 
 
 def _links(line: Line, pairs: list[tuple[str, str]]) -> None:
@@ -237,8 +249,10 @@ def site_name(host: str | None) -> str:
 
 
 def masked(text: str, site: str) -> str:
-    """A line without what differs from page to page: the site's name, numbers, case, spacing."""
-    out = _DIGITS.sub("0", text.lower())
+    """A line without what differs from page to page: the site's name, tokens with digits, case, spacing."""
+    out = text.lower()
+    if _DIGITS.search(out):
+        out = _NUMBERED.sub("0", out)
     if len(site) > 3 and site in out:
         out = out.replace(site, "∅")
     return " ".join(out.split())
@@ -257,10 +271,9 @@ def is_navigation(line: Line) -> bool:
 
 
 def is_furniture(line: Line) -> bool:
-    """Furniture by its wording and links alone; long sentences that only mention such things are not."""
+    """Furniture by its wording (find_wording) and links alone; long sentences that only mention such things are not."""
     if line.role in ("code", "h1"):
         return False
     if is_navigation(line):
         return True
-    at = wording(line.text, line.words)
-    return at == 0 or at > 0 and len(line.words) <= 16
+    return line.wording == 0 or line.wording > 0 and len(line.words) <= 16

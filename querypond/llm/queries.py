@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querypond.llm import boilerplate, chosen_path, knn, leakage, mixing, residue, segmenting, truncation
+from querypond.llm import boilerplate, chosen_path, knn, leakage, mixing, page_table, residue, segmenting, truncation
 from querypond.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,20 +31,24 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    extracted = boilerplate.page_rows(table(spark, d, "extractions"), src="extractions", id_col="extraction_id", text="markdown", host="host", at="extracted_at", html=False)
-    readable = boilerplate.page_rows(table(spark, d, "readable_pages"), src="readable_pages", id_col="page_id", text="content_html", host="host", at="fetched_at", html=True)
+    extracted = page_table.common_form(table(spark, d, "extractions"), id_col="extraction_id", title="title", text="markdown", host="host", at="extracted_at", html=False)
+    readable = page_table.common_form(table(spark, d, "readable_pages"), id_col="page_id", title="title", text="content_html", host="host", at="fetched_at", html=True)
     return extracted.unionByName(readable)
 
 
+def _src() -> Column:
+    return F.when(F.col("html"), "readable_pages").otherwise("extractions").alias("src")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    lines = boilerplate.label_lines(_pages(spark, d)).where("furniture")
-    residual = p2_found(spark, d).select(F.lit("extractions").alias("src"), F.col("extraction_id").alias("id"))
-    return lines.join(residual, ["src", "id"], "left_anti").select("src", F.col("id").alias("record_id"), "line_no")
+    lines = page_table.parsed(_pages(spark, d))
+    residual = residue.residue_pages(lines.where("NOT html")).select(F.lit(False).alias("html"), "id")
+    return boilerplate.label_lines(lines).where("furniture").join(residual, ["html", "id"], "left_anti").select(_src(), F.col("id").alias("record_id"), "line_no")
 
 
 def p5_bodies(spark: SparkSession, d: str) -> DataFrame:
     pages = _pages(spark, d)
-    return boilerplate.main_bodies(pages, boilerplate.label_lines(pages))
+    return boilerplate.main_bodies(pages, boilerplate.label_lines(page_table.parsed(pages))).select(_src(), "id", "body")
 
 
 def _possibly_cut(spark: SparkSession, d: str) -> DataFrame:

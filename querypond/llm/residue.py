@@ -1,25 +1,27 @@
 """Template residue and error pages: partitioned SimHash tables and label propagation.
 
-Per page. Code is set aside for the search of unfilled placeholders, in title and text. What is left of the text without
-furniture and headings is its body; its lines are content or residue (filler, an error, blocking or refusal message, a notice
-that scripts are needed). A page without content lines but with residue is trusted residue, one with code or references to other
-sites trusted content; any other page with words is open, whatever its length.
-
-Near-duplicates. Bodies are normalised (case, digits, the site's name) and equal ones form a class. Classes get SimHashes over
-shingles of five words, enough independent ones for the bands that two bodies right at the similarity need to share a band with a
-probability of 0.999 (``tables_for``). Each band is a table that is partitioned by (band, value). Candidates are
-verified by the Hamming distance of their first 64 bits, within a bound that pairs at the similarity keep (``hamming_for``),
-then by the Jaccard similarity of their shingles (0.8 or more). A component with trusted residue and no trusted content passes its label
-to its open pages.
-
-Scale. Only components with trusted residue matter, so links are followed from the residue outwards, a checkpoint a round, until
-nothing new is reached; a round looks at the classes whose numbers of shingles allow the similarity to what the last one reached.
-The tables of what was reached are broadcast only after they were counted; else the join on (band, value) streams its matches
-and is split by AQE where a value is hot. Bands get wider with the number of classes, so that chance meetings stay few. The links
-join classes into connected components (smallest label, with pointer jumping).
-
-Defined results: null titles and texts are empty; pages with neither rule hits nor links stay out; rows with a null id are
-dropped; of rows with one id the latest counts; an empty table gives no rows; other columns are ignored.
+Per page. Code is set aside for the search of unfilled placeholders, in title and text: such a page is a case. Of the rest, the lines
+without furniture, headings, frames of stack traces and references are its body. Lines of the body are trusted residue where they are
+filler by vocabulary, hold one of a few wordings (``trusted``), or stand, all of them short, below an error heading. A page with code or
+references to other sites is trusted content.
+
+Spreading. Lines are normalised (case, tokens with digits, the site's name) and equal ones form a class, over all pages. A class
+with more trusted lines than lines on trusted content is residue. Its near-duplicates are found with SimHashes over shingles of
+five words, with as many independent ones as two lines right at the similarity need to share a band with a probability of 0.999
+(``tables_for``). Each band is a table that is partitioned by (band, value). Candidates are verified by the Hamming distance of
+their first 64 bits, within a bound that pairs at the similarity keep (``hamming_for``), then by the Jaccard similarity of their
+shingles (0.8 or more). Links join classes into connected components, which take one label by the same count. A page is residue if all
+of its body is, but for ``SPARE_WORDS`` words, or four fifths of its words where none of it stands on trusted content; pages and lines of
+any length take part.
+
+Scale. Only components with residue matter, so links are followed from the residue outwards, a checkpoint a round, until nothing new is
+reached; filler, which its vocabulary tells everywhere, isn't followed. What was reached is broadcast only after it was counted; else the join
+on (band, value) streams its matches and is split by AQE where a value is hot. Texts stay where they were read: only hashes of lines are
+grouped, in parts, so a message on a third of all pages is one class. Bands get wider with the number of residue classes, so that chance
+meetings stay few.
+
+Defined results: null titles and texts are empty; pages without body are no cases, unless they stand below an error heading; rows with a
+null id are dropped; of rows with one id the latest counts; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,123 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querypond.llm.chosen_path import mix
-from querypond.llm.page_lines import Line, html_lines, is_furniture, markdown_lines, masked, site_name
+from querypond.llm.page_table import common_form, has, parsed
 from querypond.runtime import cut
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.999
+#: Words of a residue page that nothing need be known about: a link back, the name of a product.
+SPARE_WORDS = 4
 #: Rows of tables up to which they are broadcast; above, the join is shuffled.
 BROADCAST_ROWS = 200_000
 
-#: Names that Python gives to special methods; other words between double underscores are placeholders.
-SPECIAL_METHODS = frozenset("init call new del repr str bytes format lt le eq ne gt ge hash bool getattr setattr delattr dir get set len iter next contains getitem setitem delitem enter exit aenter aexit await aiter anext add sub mul matmul name main file doc dict class slots all version author module qualname annotations post pre".split())
-PLACEHOLDER = re.compile(
-    r"(?=[{<$#%@_\[])(?:\{\{\{?[^{}\n]{0,80}\}\}\}?|\{%[^%\n]{0,80}%?\}|<%[^%\n]{0,80}%>|\$\{[^{}\n]{1,80}\}|#\{[^{}\n]{1,80}\}|\[\[[A-Za-z_][^\[\]\n|]{0,60}\]\]|%%[A-Za-z_][\w ]{0,60}%%|%\([A-Za-z_]\w{0,40}\)[sdif]|@@[A-Za-z_]\w{0,60}@@"
-    r"|\$[A-Z][A-Z0-9_]{2,60}\$|(?<![\w{])\{(?:[a-z]+[A-Z]\w*|[a-z]+_\w+|\d+|[A-Z][A-Z0-9_]+|name|title|content|body|url|date|author|text|value|user|email)\}(?![\w}])|<(?:INSERT|YOUR|ENTER|ADD)[A-Z _-]{0,60}>|\[(?:INSERT|ENTER|ADD|YOUR|Insert|Enter|Your|Add)\b[^\[\]\n]{0,60}\](?!\()|__[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)*__)"
-)
-LOREM = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split())
-
-#: Messages in place of content, from the beginning of a line, in English, German, French and Spanish.
-RESIDUE = re.compile(
-    r"^\W*(?:(?:oops|whoops|ooops|sorry|uh-oh|hoppla|désolé|lo sentimos)\b[\W_]*)?(?:"
-    + "|".join(
-        [
-            # errors
-            r"(?:http )?(?:error|fehler|erreur)\W*(?:code\W*)?\d{3}\b.{0,80}$", r"\d{3}\W{0,4}$", r"\d{3}\W+(?:bad gateway|not found|forbidden|unauthori[sz]ed|gone|internal|service|gateway|too many|page|nothing|error|seite|página)\b.{0,80}$", r"(?:bad gateway|not found|forbidden|gateway time-?out|request time-?out|service unavailable)\W*$",
-            r"(?:the |this |that |your |requested )*(?:page|article|document|content|resource|link|file|address|item|post|url)\b.{0,40}\b(?:not (?:be )?found|could(?: not|n't) be found|does(?: not|n't) exist|no longer (?:exists|available)|(?:been )?(?:taken down|removed|deleted)|unavailable|not available|broken|expired|moved)\b.{0,80}$", r"(?:that|this) link seems broken.{0,80}$", r"nothing (?:lives|is|was found)\b.{0,60}$",
-            r"(?:internal )?server error\b.{0,60}$", r"(?:the )?service (?:is )?(?:temporarily )?(?:unavailable|down)\b.{0,100}$", r"(?:the )?(?:connection|request|session|upstream)\b.{0,60}\b(?:timed out|timeout|expired|reset|refused)\b.{0,80}$", r"your session (?:has )?expired\b.{0,60}$", r"error (?:establishing|connecting|loading|while|occurred)\b.{0,80}$", r"an? (?:\w+ )?error (?:has )?occurred\b.{0,80}$", r"something went wrong\b.{0,80}$",
-            r"(?:uncaught|unhandled|fatal)\b.{0,20}\b(?:exception|error)\b.*$", r"traceback \(most recent.*$", r"(?:warning|notice): undefined .*$", r"too many requests\b.{0,80}$", r"(?:rate|request) limit (?:exceeded|reached).{0,80}$",
-            r"(?:we(?:'re| are)|site is|down for|scheduled|planned|under)\W.{0,30}\b(?:maintenance|construction)\b.{0,80}$", r"(?:we'll|we will) be (?:right )?back\b.{0,60}$",
-            r"(?:interner serverfehler|seite (?:wurde )?nicht gefunden|zugriff verweigert|wartungsarbeiten|dienst (?:vorübergehend )?nicht (?:verfügbar|erreichbar)|diese seite (?:existiert|gibt es) nicht|inhalt nicht verfügbar|ihre sitzung ist abgelaufen|zu viele anfragen)\b.{0,100}$",
-            r"(?:erreur interne|page (?:introuvable|non trouvée)|accès (?:refusé|interdit)|site en maintenance|maintenance en cours|service (?:temporairement )?indisponible|contenu (?:non |in)disponible|votre session a expiré|trop de requêtes|cette page n'existe)\b.{0,100}$",
-            r"(?:error interno|página no (?:encontrada|existe|disponible)|no se (?:ha )?(?:encontr|pudo)\w*|acceso (?:denegado|prohibido)|sitio en mantenimiento|en mantenimiento|estamos (?:en|realizando) (?:tareas de )?mantenimiento|servicio (?:temporalmente )?no disponible|contenido no disponible|su sesión ha (?:caducado|expirado)|demasiadas (?:solicitudes|peticiones)|la página (?:solicitada|que))\b.{0,100}$",
-            # blocking and refusal
-            r"access (?:is |was |has been )?(?:denied|forbidden|blocked|restricted)\b.{0,120}$", r"you (?:do not|don't) have (?:permission|access)\b.{0,80}$", r"(?:you have been|your (?:ip|request|access)(?: address)? (?:has been|was|is)) (?:blocked|banned|denied)\b.{0,80}$", r"(?:please )?(?:verify|confirm|prove|checking)\b.{0,30}\b(?:human|robot|browser|connection)\b.{0,80}$", r"(?:unusual|suspicious) (?:traffic|activity)\b.{0,100}$", r"(?:complete|solve) the captcha\b.{0,60}$", r"(?:this|the) (?:content|video|page|article) is not available in your (?:region|country)\b.{0,60}$", r"(?:are you a robot|attention required|just a moment|one more step)\W*.{0,40}$", r"i(?:'m| am) sorry,? but i (?:can't|cannot)\b.{0,120}$", r"as an ai\b.{0,120}$",
-            # scripts
-            r"(?:you (?:need|have|must)\b|please|to (?:use|view|see|run|continue)\b|this (?:site|page|app|application|website)|your browser|we|loading)\b.{0,80}\b(?:javascript|scripts?)\b.{0,80}$", r"(?:javascript|scripts?) (?:is|are|must be|has to be|seems?(?: to be)?)\b.{0,20}\b(?:required|needed|disabled|switched off|turned off|blocked|enabled|not (?:enabled|supported))\b.{0,80}$", r"(?:enable|activate|turn on|allow) (?:javascript|scripts?)\b.{0,80}$", r"(?:loading|laden|chargement|cargando)\W{0,4}.{0,60}\b(?:scripts?|javascript)\b.{0,60}$",
-            r"(?:bitte |um |diese (?:seite|anwendung|website) )?.{0,40}\b(?:aktivieren sie|aktiviere|benötigt|erfordert|braucht)\b.{0,20}\b(?:javascript|skripte?)\b.{0,60}$", r"(?:diese|die|unsere) (?:seite|anwendung|website|app)\b.{0,60}\b(?:javascript|skripten?|scripts)\b.{0,60}$", r"(?:bitte )?javascript (?:aktivieren|einschalten|ist (?:deaktiviert|erforderlich))\b.{0,60}$", r"(?:cette (?:application|page)|ce site|veuillez|merci d'|vous devez)\b.{0,60}\b(?:javascript|scripts)\b.{0,60}$", r"(?:activa|active|habilite|habilita|esta (?:aplicación|página)|este sitio|debe|necesita)\b.{0,60}\b(?:javascript|scripts)\b.{0,60}$",
-            # filler
-            r"(?:your|add|insert|enter|put)\b.{0,30}\b(?:text|content|copy|title|description)\b.{0,10}\b(?:goes )?here\b.{0,40}$", r"(?:placeholder|dummy|sample|filler|example) (?:copy|text|content|paragraph|page)\b.{0,80}$", r".{0,40}\bclick (?:here )?to edit\b.{0,60}$", r"(?:this is (?:a )?(?:sample|example|placeholder|test|your first) (?:page|post|text|paragraph))\b.{0,80}$", r"(?:todo|tbd|tba|fixme)\b\W{0,3}.{0,60}$", r"(?:coming soon|content coming soon|under construction|to be (?:written|announced|added|completed))\W*.{0,40}$", r"(?:hello,? world|untitled(?: draft| document| page| post)?|new (?:post|page|document)|sample page)\W*$",
-            r"(?:hier (?:steht|kommt|folgt)|beispieltext|blindtext|platzhalter(?:text)?|mustertext)\b.{0,80}$", r"(?:texte (?:à venir|d'exemple|de remplacement|factice)|contenu à venir|votre texte ici)\b.{0,60}$", r"(?:texto de (?:ejemplo|relleno|muestra|prueba)|tu texto aquí|contenido próximamente|próximamente)\b.{0,60}$",
-        ]
-    )
-    + ")",
-    re.I,
-)
-ERROR_TITLE = re.compile(r"^\W*(?:error|oops|whoops|\d{3}|(?:error )?\d{3}\W+.{0,40})\W*$", re.I)
-
-
-def without_code(text: str) -> str:
-    out, fence = [], None
-    for raw in text.split("\n"):
-        mark = re.match(r"\s*(```+|~~~+)", raw)
-        if fence:
-            if mark and mark[1].startswith(fence):
-                fence = None
-        elif mark:
-            fence = mark[1][:3]
-        else:
-            out.append(raw)
-    return re.sub(r"(`+)[^`]+?\1", " ", "\n".join(out))
-
-
-def has_placeholder(text: str) -> bool:
-    for m in PLACEHOLDER.finditer(without_code(text)):
-        word = m[0]
-        if word.startswith("__") and word.strip("_").lower() in SPECIAL_METHODS:
-            continue
-        return True
-    return False
-
-
-def is_residue(line: Line) -> bool:
-    words = line.words
-    if len(words) > 40 and not LOREM.issuperset(words[:3]):
-        return False
-    if len(words) >= 3 and sum(w in LOREM for w in words) >= 0.6 * len(words):
-        return True
-    return len(words) <= 40 and all(RESIDUE.match(s) for s in _sentences(line.text))
-
-
-def _sentences(text: str) -> list[str]:
-    """A line whole if a message matches it, else its sentences but for short follow-ups to a message."""
-    if RESIDUE.match(text):
-        return [text]
-    parts = [p for p in re.split(r"(?<=[.!?…])\s+", text) if p]
-    return parts[:1] if parts and RESIDUE.match(parts[0]) and sum(len(p.split()) for p in parts[1:]) <= 14 else parts
-
-
-def page_state(title: str, lines: list[Line], text: str, site: str) -> tuple[str, str]:
-    """(state, body): placeholder, residue, content, open or none, and the normalised body."""
-    if has_placeholder(title) or has_placeholder(text):
-        return "placeholder", ""
-    # Residue only stands in place of content.
-    plain, heads, residue, words, rich = [], [], 0, 0, False
-    for line in lines:
-        if is_furniture(line):
-            continue
-        if line.role in ("h1", "h"):
-            heads.append(line)
-            continue
-        plain.append(line)
-        if line.role != "code" and is_residue(line):
-            residue += 1
-        elif not _stray(line):
-            words += len(line.words)
-            rich = rich or line.role == "code" or line.outside > 0
-    normal = " ".join(masked(line.text, site) for line in plain)
-    if residue and words < 5:
-        return "residue", normal
-    if not plain and (ERROR_TITLE.match(title) or heads and all(RESIDUE.match(h.text) for h in heads)):
-        return ("residue" if title or heads else "none"), normal
-    if rich:
-        return "content", normal
-    return ("open" if words else "none"), normal
-
-
-def _stray(line: Line) -> bool:
-    """A line that belongs to neither: bare numbers, references of errors, single words."""
-    return len(line.words) <= 6 and line.words[0] in ("ref", "reference", "request", "ray", "incident", "code", "id")
-
 
 def shingles(text: str, size: int = SHINGLE) -> list[str]:
     words = re.findall(r"\w+|∅", text)
@@ -188,30 +82,13 @@ def simhashes(bodies: list[str], words: int) -> np.ndarray:
     return np.concatenate(out, axis=1)
 
 
-def page_states(pages: DataFrame, *, id_col: str = "extraction_id", title: str = "title", text: str = "markdown", host: str = "host", newest: str | None = "extracted_at", html: bool = False) -> DataFrame:
-    """(id, state, body, size) of the pages; the body and its number of shingles where links may matter."""
-    rows = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(title, F.lit("")).alias("title"), F.coalesce(text, F.lit("")).alias("text"), F.coalesce(host, F.lit("")).alias("host"), (F.col(newest).cast("timestamp") if newest else F.lit(None).cast("timestamp")).alias("at"))
-
-    def states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for i, t, x, h, at in zip(pdf["id"], pdf["title"], pdf["text"], pdf["host"], pdf["at"]):
-                lines = html_lines(x) if html else markdown_lines(x)
-                state, body = page_state(t, lines, x, site_name(h))
-                body = body if state in ("residue", "open", "content") else ""
-                out.append((i, at, state, body, len(shingles(body))))
-            yield pd.DataFrame(out, columns=["id", "at", "state", "body", "size"])
-
-    made = rows.mapInPandas(states, "id bigint, at timestamp, state string, body string, size int")
-    return made.groupBy("id").agg(F.max_by(F.struct("state", "body", "size"), F.struct("at", "state")).alias("s")).select("id", "s.state", "s.body", "s.size")
-
-
 def near_links(classes: DataFrame, others: DataFrame | None = None, *, hamming: int | None = None, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """(a, b) of classes (class, body) whose bodies are near-duplicates, a < b; with others, from classes to others."""
+    """(a, b) of classes (class, body) whose bodies are near-duplicates, a < b; with others, from classes to others (in which a class may
+    have several rows)."""
     hamming = hamming_for(similarity) if hamming is None else hamming
     second = classes if others is None else others
-    # Some chance meetings for each class of the first side, whatever the number of classes.
-    width = min(24, max(8, math.ceil(math.log2(max(2, second.count()))) - 3))
+    # Some chance meetings for each row of the second side, whatever the number of classes of the first.
+    width = min(24, max(8, math.ceil(math.log2(max(2, classes.count()))) - 3))
     bands = tables_for(similarity, width, recall)
 
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -231,7 +108,9 @@ def near_links(classes: DataFrame, others: DataFrame | None = None, *, hamming:
     order = F.col("a") < F.col("b") if others is None else F.col("a") != F.col("b")
     near = order & (F.bit_count(F.col("print_a").bitwiseXOR(F.col("print_b"))) <= hamming)
     candidates = tables(second, "b").join(left, ["band", "value"]).where(near).select("a", "b").distinct()
-    a, b = (df.select(F.col("class").alias(s), F.col("body").alias(f"body_{s}")) for s, df in (("a", classes), ("b", second)))
+    candidates = candidates if others is None else cut(candidates)
+    found = second if others is None else second.join(candidates.select(F.col("b").alias("class")), "class", "left_semi").groupBy("class").agg(F.first("body").alias("body"))
+    a, b = (df.select(F.col("class").alias(s), F.col("body").alias(f"body_{s}")) for s, df in (("a", classes), ("b", found)))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -245,54 +124,66 @@ def near_links(classes: DataFrame, others: DataFrame | None = None, *, hamming:
     return candidates.join(a, "a").join(b, "b").mapInPandas(verify, "a bigint, b bigint")
 
 
-def components(links: DataFrame, rounds: int = 30) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, component) by smallest labels with pointer jumping; ends when no label changes."""
     edges = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     if not edges.limit(1).count():
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("component")))
-    for _ in range(rounds):
+    while True:
         around = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("best"))
         step = labels.join(around, "node").select("node", "component", F.least("component", "best").alias("new"))
         jump = step.select(F.col("node").alias("new"), F.col("new").alias("root"))
         after = cut(step.join(jump, "new", "left").select("node", F.col("component").alias("old"), F.least("new", F.coalesce("root", "new")).alias("component")))
-        changed = after.where("old <> component").limit(1).count()
         labels = after.select("node", "component")
-        if not changed:
-            break
-    return labels
+        if not after.where("old <> component").limit(1).count():
+            return labels
 
 
-def residue_links(classes: DataFrame) -> DataFrame | None:
-    """All links (a, b) of the components that hold residue, from classes (class, body, size, residue); None without residue."""
-    reached, links = cut(classes.where("residue").select("class")), None
-    newest = reached
+def residue_links(texts: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """All links (a, b) of the components that hold residue; None if there are none. texts (class, body): lines, repeated ones too;
+    classes (class): where to begin."""
+    reached, links = classes, None
+    newest = texts.join(classes, "class", "left_semi").groupBy("class").agg(F.first("body").alias("body"))
     while True:
-        rows = classes.join(newest, "class", "left_semi")
-        least, most = rows.agg(F.min("size"), F.max("size")).first()
-        if least is None:
+        newest = cut(newest)
+        if not newest.limit(1).count():
             return links
-        # A similarity needs numbers of shingles in that ratio.
-        around = classes.where(F.col("size").between(math.floor(least * SIMILARITY), math.ceil(most / SIMILARITY)))
-        found = cut(near_links(rows, around))
+        found = cut(near_links(newest, texts))
         links = found if links is None else links.unionByName(found)
-        newest = cut(found.select(F.col("b").alias("class")).distinct().join(reached, "class", "left_anti"))
-        reached = reached.unionByName(newest)
-
-
-def find_residue(pages: DataFrame, **columns) -> DataFrame:
-    """(id, reason) of the pages that are residue; reason: placeholder, residue (by rule) or near-duplicate."""
-    states = cut(page_states(pages, **columns).withColumn("class", F.xxhash64("body")))
-    sure = states.where(F.col("state").isin("placeholder", "residue")).select("id", F.col("state").alias("reason"))
-    bodies = states.where("size > 0")
-    classes = cut(bodies.groupBy("class").agg(F.first("body").alias("body"), F.first("size").alias("size"), F.max(F.col("state") == "residue").alias("residue"), F.max(F.col("state") == "content").alias("content")))
-    links = residue_links(classes)
-    if links is None:
-        return sure
-    member = components(links)
-    # A class without links is a component of its own.
-    labelled = classes.select("class", "residue", "content").join(member.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    passing = labelled.groupBy("component").agg(F.max("residue").alias("r"), F.max("content").alias("c")).where("r AND NOT c").select("component")
-    passed = labelled.join(passing, "component").select("class")
-    more = states.where("state = 'open' AND size > 0").join(passed, "class", "left_semi").select("id", F.lit("near-duplicate").alias("reason"))
-    return sure.unionByName(more)
+        fresh = found.select(F.col("b").alias("class")).distinct().join(reached, "class", "left_anti")
+        reached = reached.unionByName(fresh)
+        newest = texts.join(fresh, "class", "left_semi").groupBy("class").agg(F.first("body").alias("body"))
+
+
+def residue_pages(lines: DataFrame) -> DataFrame:
+    """(id, reason) of the pages that are residue, from their lines (page_table.parsed); reason: placeholder, residue (all trusted) or
+    near-duplicate (some of it by equal or similar lines)."""
+    pages = lines.where("line_no = 0").select("id", has("placeholder").alias("placeholder"), has("rich").alias("rich"), has("bare").alias("bare"))
+    at_once = pages.where("placeholder OR bare").select("id", F.when(F.col("placeholder"), "placeholder").otherwise("residue").alias("reason"))
+    body = lines.where((F.col("line_no") > 0) & has("body")).select("id", F.col("mask").alias("class"), "words", has("trusted").alias("trusted"), has("filler").alias("filler"), "text")
+    rich = pages.where("rich").select("id", F.lit(True).alias("rich"))
+    # Lines on trusted content count against a class.
+    on_rich = F.col("rich").isNotNull()
+    counted = body.join(rich, "id", "left").groupBy("class").agg(F.count_if(F.col("trusted") & ~on_rich).alias("r"), F.count_if(on_rich).alias("c"), F.max("filler").alias("filler"))
+    known = cut(counted.where("r > 0"))
+    texts = body.where("text IS NOT NULL").select("class", F.col("text").alias("body"))
+    links = residue_links(texts, known.where("r > c AND NOT filler").select("class"))
+    labels = known.select("class", (F.col("r") > F.col("c")).alias("residue"), F.col("c"))
+    if links is not None and links.limit(1).count():
+        member = components(links)
+        votes = member.join(counted, F.col("node") == F.col("class")).groupBy("component").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
+        voted = member.join(votes, "component").select(F.col("node").alias("class"), (F.col("r") > F.col("c")).alias("residue"), "c")
+        labels = labels.join(voted.select("class"), "class", "left_anti").unionByName(voted)
+    # Only pages of which a line is residue are looked at further.
+    told = body.select("id", "class", "words", "trusted").join(cut(labels), "class", "left").withColumn("residue", F.col("trusted") | F.coalesce("residue", F.lit(False)))
+    total, other = F.sum("words"), F.sum(F.when(F.col("residue"), 0).otherwise(F.col("words")))
+    per = told.groupBy("id").agg(F.count_if("residue").alias("n"), total.alias("total"), other.alias("other"), F.count_if(F.col("c") > 0).alias("near_content"), F.min("trusted").alias("sure"))
+    per = per.where(f"n > 0 AND (other <= {SPARE_WORDS} OR near_content = 0 AND other <= {1 - SIMILARITY:.2f} * total)")
+    more = per.join(rich, "id", "left_anti").join(at_once, "id", "left_anti").select("id", F.when(F.col("sure"), "residue").otherwise("near-duplicate").alias("reason"))
+    return at_once.unionByName(more)
+
+
+def find_residue(pages: DataFrame, *, id_col: str = "extraction_id", title: str = "title", text: str = "markdown", host: str = "host", newest: str | None = "extracted_at") -> DataFrame:
+    """(id, reason) of the pages that are residue."""
+    return residue_pages(parsed(common_form(pages, id_col=id_col, title=title, text=text, host=host, at=newest, html=False)))

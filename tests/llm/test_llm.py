@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from querypond.llm import boilerplate, chosen_path, knn, leakage, mixing, page_lines, residue, segmenting, truncation
+from querypond.llm import boilerplate, chosen_path, knn, leakage, mixing, page_lines, page_table, residue, segmenting, truncation
 
 T0 = datetime(2024, 1, 1)
 
@@ -282,8 +282,9 @@ def test_wording_is_searched_whole():
     for text in texts:
         for line in (text, text.upper(), "one " * 30 + text):
             m = page_lines._FREE.search(line)
-            assert m and page_lines.wording(line, page_lines.WORD.findall(line.lower())) == m.start(), line
-    assert page_lines.wording("nothing of the kind", "nothing of the kind".split()) == -1
+            page = [page_lines.Line(i, x) for i, x in enumerate(("nothing of the kind", line, "İ other"))]
+            page_lines.find_wording(page)
+            assert m and [x.wording for x in page] == [-1, m.start(), -1], line
 
 
 def site_pages(n=40):
@@ -304,12 +305,12 @@ def site_pages(n=40):
 def test_bodies(spark):
     pages, truth = site_pages()
     df = spark.createDataFrame([(i, h, t, T0, 1) for i, h, t in pages] + [(99, "h.example", None, T0, 1), (98, None, "", T0, 1), (None, "h", "x", T0, 1), (0, *pages[0][1:], T0, 1)], "extraction_id bigint, host string, markdown string, extracted_at timestamp, id int")
-    rows = boilerplate.page_rows(df, src="e", id_col="extraction_id", text="markdown", host="host", at="extracted_at", html=False)
-    labels = boilerplate.label_lines(rows)
+    rows = page_table.common_form(df, id_col="extraction_id", title=None, text="markdown", host="host", at="extracted_at", html=False)
+    labels = boilerplate.label_lines(page_table.parsed(rows))
     assert {(r.id, r.line_no) for r in labels.where("furniture").collect()} == truth
     body = {r.id: r.body for r in boilerplate.main_bodies(rows, labels).collect()}[0]
     assert body.startswith("\n# ") and "cookies" not in body and "Home" not in body
-    assert boilerplate.label_lines(rows.limit(0)).count() == 0
+    assert boilerplate.label_lines(page_table.parsed(rows.limit(0))).count() == 0
 
 
 # 6 -------------------------------------------------------------------------------------------------------------------
