@@ -50,8 +50,16 @@ def _literals(parsed) -> set[str]:
     return max(options, key=lambda o: min(map(len, o), default=0), default={""})
 
 
-#: Every wording that may stand anywhere in a line holds one of these, in lower case; made from the patterns.
-_TRIGGERS = sorted(set().union(*(_literals(sre_parser.parse(p)) for p in _WORDING if not p.startswith("^"))))
+def _by_trigger(patterns: list[str]) -> dict[str, re.Pattern]:
+    """Of texts, in lower case, that every match of some patterns holds one of: the patterns it may belong to. Made from the patterns."""
+    found: dict[str, list[str]] = {}
+    for p in patterns:
+        for trigger in _literals(sre_parser.parse(p)):
+            found.setdefault(trigger, []).append(p)
+    return {t: re.compile("|".join(found[t]), re.I) for t in sorted(found)}
+
+
+_TRIGGERS = _by_trigger([p for p in _WORDING if not p.startswith("^")])
 
 
 #: Words that name sections of sites. Fixed values.
@@ -85,19 +93,16 @@ def find_wording(lines: list[Line]) -> None:
     """Sets where furniture's wording begins in each line. Every line is searched whole; the triggers are looked up a page at a time."""
     low = [line.text.lower() for line in lines]
     ends = list(accumulate(len(x) + 1 for x in low))
-    page, free = "\n".join(low), set()
-    for trigger in _TRIGGERS:
+    page, found = "\n".join(low), {}
+    for trigger, patterns in _TRIGGERS.items():
         at = page.find(trigger)
         while at >= 0:
             i = bisect_right(ends, at)
-            free.add(i)
+            if m := patterns.search(lines[i].text):
+                found[i] = min(m.start(), found.get(i, m.start()))
             at = page.find(trigger, ends[i])
     for i, line in enumerate(lines):
-        line.wording = -1
-        if _ANCHORED.match(line.text):
-            line.wording = 0
-        elif i in free and (m := _FREE.search(line.text)):
-            line.wording = m.start()
+        line.wording = 0 if _ANCHORED.match(line.text) else found.get(i, -1)
 
 
 _HREF = re.compile(r"href\s*=\s*[\"']?([^\"'\s>]*)")
@@ -109,7 +114,7 @@ _HEADING = re.compile(r"\s*(#{1,6})\s+(.*)")
 _ITEM = re.compile(r"\s*(?:[-*+]|\d+[.)])\s+(.*)")
 _ANY_TAG = re.compile(r"<[^<>]*>")
 _CRUMB = re.compile(r"\s[»›>/]\s")
-_DIGITS = re.compile(r"\d")
+_DIGIT = re.compile(r"\d")
 _NUMBERED = re.compile(r"\b[^\W\d]*\d\w*")
 
 
@@ -251,11 +256,11 @@ def site_name(host: str | None) -> str:
 def masked(text: str, site: str) -> str:
     """A line without what differs from page to page: the site's name, tokens with digits, case, spacing."""
     out = text.lower()
-    if _DIGITS.search(out):
-        out = _NUMBERED.sub("0", out)
-    if len(site) > 3 and site in out:
-        out = out.replace(site, "∅")
-    return " ".join(out.split())
+    words = out.split()
+    if _DIGIT.search(out):
+        words = [_NUMBERED.sub("0", w) if _DIGIT.search(w) else w for w in words]
+    out = " ".join(words)
+    return out.replace(site, "∅") if len(site) > 3 else out
 
 
 def is_navigation(line: Line) -> bool:

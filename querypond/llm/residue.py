@@ -15,7 +15,8 @@ of its body is, but for ``SPARE_WORDS`` words, or four fifths of its words where
 any length take part.
 
 Scale. Only components with residue matter, so links are followed from the residue outwards, a checkpoint a round, until nothing new is
-reached; filler, which its vocabulary tells everywhere, isn't followed. What was reached is broadcast only after it was counted; else the join
+reached; filler, which its vocabulary tells everywhere, isn't followed, and lines take part only if their words allow the similarity
+(``worded_like``). What was reached is broadcast only after it was counted; else the join
 on (band, value) streams its matches and is split by AQE where a value is hot. Texts stay where they were read: only hashes of lines are
 grouped, in parts, so a message on a third of all pages is one class. Bands get wider with the number of residue classes, so that chance
 meetings stay few.
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -45,6 +47,8 @@ SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.999
 SPARE_WORDS = 4
 #: Rows of tables up to which they are broadcast; above, the join is shuffled.
 BROADCAST_ROWS = 200_000
+#: Slots of the hashed vocabulary of what was reached.
+SLOTS = 1 << 20
 
 
 def shingles(text: str, size: int = SHINGLE) -> list[str]:
@@ -124,6 +128,35 @@ def near_links(classes: DataFrame, others: DataFrame | None = None, *, hamming:
     return candidates.join(a, "a").join(b, "b").mapInPandas(verify, "a bigint, b bigint")
 
 
+def _slots(body: str) -> list[int]:
+    return [zlib.crc32(w.encode()) & (SLOTS - 1) for w in re.findall(r"\w+|∅", body)]
+
+
+def worded_like(texts: DataFrame, classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Rows (class, body) that may be similar to one of the classes (class, body): shingles that two texts share cover at least that
+    share of the words of each, so as many of a text's words are in the vocabulary of the classes. The vocabulary is a bit a slot,
+    whatever the number of classes; words that share a slot only let more texts pass."""
+
+    def used(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"slot": sorted({x for b in pdf["body"] for x in _slots(b)})}, dtype="int32")
+
+    known = np.zeros(SLOTS, dtype=bool)
+    known[[r["slot"] for r in classes.select("body").mapInPandas(used, "slot int").distinct().collect()]] = True
+    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(known).tobytes())
+
+    def like(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = shared.value
+        for pdf in batches:
+            keep = []
+            for b in pdf["body"]:
+                slots = _slots(b)
+                keep.append(sum(bits[x >> 3] >> (7 - (x & 7)) & 1 for x in slots) >= similarity * len(slots))
+            yield pdf[np.array(keep, dtype=bool)]
+
+    return texts.mapInPandas(like, "class bigint, body string")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) by smallest labels with pointer jumping; ends when no label changes."""
     edges = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -149,7 +182,7 @@ def residue_links(texts: DataFrame, classes: DataFrame) -> DataFrame | None:
         newest = cut(newest)
         if not newest.limit(1).count():
             return links
-        found = cut(near_links(newest, texts))
+        found = cut(near_links(newest, cut(worded_like(texts, newest))))
         links = found if links is None else links.unionByName(found)
         fresh = found.select(F.col("b").alias("class")).distinct().join(reached, "class", "left_anti")
         reached = reached.unionByName(fresh)

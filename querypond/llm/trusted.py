@@ -50,6 +50,8 @@ def without_code(text: str) -> str:
 
 
 def has_placeholder(text: str) -> bool:
+    if not PLACEHOLDER.search(text):  # hardly any page needs the look at its code
+        return False
     for m in PLACEHOLDER.finditer(without_code(text)):
         word = m[0]
         if word.startswith("__") and word.strip("_").lower() in SPECIAL_METHODS:
