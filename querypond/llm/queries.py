@@ -96,18 +96,22 @@ TOKENS = r"list_filter(regexp_split_to_array(lower(coalesce({x}, '')), '[^a-z0-9
 _CUT = r"""WITH texts AS (SELECT 'search_results' AS src, result_id AS id, provider AS source, ingested_at AS seen, snippet AS body FROM search_results UNION ALL SELECT 'gnews_articles', article_id, source_id, fetched_at, content_text FROM gnews_articles),
 s1 AS (SELECT src, id, source, seen, rtrim(regexp_replace(body, '[\s\x{00A0}]+', ' ', 'g')) AS body FROM texts WHERE length(trim(body)) > 0),
 s2 AS (SELECT * REPLACE (regexp_replace(body, '&[a-zA-Z]{2,8};|&#[0-9]{1,6};', '"', 'g') AS body) FROM s1),
-s3 AS (SELECT * REPLACE (rtrim(regexp_replace(body, '( ?(\.{2,}|…|\[(\.{3}|…)\]|\((\.{3}|…)\)|\[\+?[0-9]+ chars\]))+$', '')) AS body), regexp_matches(body, '(\x{FFFD}|\pL[-\x{2010}]|<[^<>]*|&#?[a-zA-Z0-9]{0,8}|[\(\[][^()\[\]]{0,60})$') AS broken FROM s2),
+s3 AS (SELECT * REPLACE (rtrim(regexp_replace(body, '( ?(\.{2,}|…|\[(\.{3}|…)\]|\((\.{3}|…)\)|\[\+?[0-9]+ chars\]))+$', '')) AS body), regexp_matches(body, '(\x{FFFD}|\pL[-\x{2010}]|<[^<>]*|&#?[a-zA-Z0-9]*|[\(\[][^()\[\]]*)$') AS broken FROM s2),
 s4 AS (SELECT * REPLACE (regexp_replace(regexp_replace(body, '`[^`]*`', ' ⓒ ', 'g'), 'https?://[^\s]+', ' ⓛ ', 'g') AS body) FROM s3),
 s5 AS (SELECT *, regexp_replace(body, '(?s)^.*[.!?]["”»’)]*[ ]', '') AS tail FROM s4),
 s6 AS (SELECT *, len(regexp_extract_all(tail, '[|·/,–&:(]')) AS marks, len(regexp_extract_all(tail, '[\pL\pN]+')) AS words FROM s5),
 s7 AS (SELECT * REPLACE (CASE WHEN marks >= 3 AND words <= 2 * (marks + 1) THEN left(body, length(body) - length(tail)) || regexp_replace(tail, '[\pL\pN][\pL\pN.]*', 'ⓚ', 'g') ELSE body END AS body) FROM s6),
-shapes AS (SELECT src, id, source, seen, broken, '^^' || regexp_replace(regexp_replace(regexp_replace(regexp_replace(body, '[0-9][0-9.,]*[0-9]|[0-9]', '0', 'g'), '\p{Lu}[\pL\pM]*(?:[''’-]\pL+)*', 'A', 'g'), '\p{Ll}[\pL\pM]*(?:[''’-]\pL+)*', 'a', 'g'), '\s+', '', 'g') AS shape FROM s7),
+s8 AS (SELECT src, id, source, seen, broken, '^ ^ ' || trim(regexp_replace(regexp_replace(regexp_replace(body, '[0-9][0-9.,]*[0-9]|[0-9]', '0', 'g'), '[\pL\pM]+(?:[''’-]\pL+)*|[^\s]', ' \0 ', 'g'), '[ ]+', ' ', 'g')) AS tokens FROM s7),
+shapes AS (SELECT src, id, source, seen, broken, string_split(lower(tokens), ' ') AS w, regexp_replace(regexp_replace(regexp_replace(regexp_replace(tokens, '\p{Lu}[\pL\pM]*(?:[''’-]\pL+)*', 'A', 'g'), '\p{Ll}[\pL\pM]*(?:[''’-]\pL+)*', 'a', 'g'), '[\p{Lo}\p{Lm}\p{Lt}][\pL\pM]*', 'o', 'g'), '\s+', '', 'g') AS shape FROM s8),
 every AS (SELECT t, count(*) AS n FROM (SELECT unnest(list_transform(range(1, length(shape) - 1), lambda i: substring(shape, i, 3))) AS t FROM shapes) GROUP BY t),
 ends AS (SELECT right(shape, 3) AS t, count(*) AS f FROM shapes GROUP BY 1),
 c AS (SELECT t, n, coalesce(f, 0) AS f FROM every LEFT JOIN ends USING (t)),
 w AS (SELECT *, sum(f) OVER () / sum(n) OVER () AS chance, sum(n) OVER (PARTITION BY right(t, 2)) AS n2, sum(f) OVER (PARTITION BY right(t, 2)) AS f2, sum(n) OVER (PARTITION BY right(t, 1)) AS n1, sum(f) OVER (PARTITION BY right(t, 1)) AS f1 FROM c),
 v AS (SELECT t, CASE WHEN n >= 30 THEN f < 2 * chance * n WHEN n2 >= 30 THEN f2 < 2 * chance * n2 ELSE f1 < 2 * chance * n1 END AS never FROM w WHERE f > 0),
-flags AS (SELECT src, id, arg_max(source, seen) AS source, arg_max(broken OR coalesce(never, true), seen) AS cut FROM shapes LEFT JOIN v ON right(shape, 3) = v.t GROUP BY src, id)"""
+wn AS (SELECT t, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))) AS t FROM shapes) GROUP BY t),
+wf AS (SELECT array_to_string(w[-3:], ' ') AS t, count(*) AS f FROM shapes GROUP BY 1), tot AS (SELECT sum(n) AS total, sum(f) / sum(n) AS chance FROM c),
+wv AS (SELECT t FROM wn JOIN wf USING (t), tot WHERE n >= greatest(30, ceil(2e-5 * total)) AND f < 2 * chance * n),
+flags AS (SELECT src, id, arg_max(source, seen) AS source, arg_max(broken OR wv.t IS NOT NULL OR coalesce(never, true), seen) AS cut FROM shapes LEFT JOIN v ON right(shape, 3) = v.t LEFT JOIN wv ON array_to_string(w[-3:], ' ') = wv.t GROUP BY src, id)"""
 
 SQL = {
     "p3_found": f"""WITH r AS (SELECT result_id, title, snippet FROM search_results QUALIFY row_number() OVER (PARTITION BY result_id ORDER BY ingested_at DESC) = 1),
