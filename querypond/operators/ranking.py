@@ -13,6 +13,8 @@ from querypond.functions.columns import once
 from querypond.functions.dialect import SPARK
 
 K1, B = 1.5, 0.75
+#: Rows up to which a side is broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def tokens(text) -> F.Column:
@@ -28,17 +30,34 @@ def term_frequencies(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
 def bm25(queries: DataFrame, docs: DataFrame, *, query_id: str = "query_id", query: str = "query", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(query_id, doc_id, raw): scores of documents that hold a query term, statistics over all documents.
 
-    Query terms are joined with postings by term, so only matching postings move; repeated query terms count.
+    Only words that some query has leave the scan. They are partitioned by document, which serves the term counts, the document
+    frequencies and the sums, so a score is complete where it is made and a top-k cuts it before anything else moves. Repeated query
+    terms count. The queries' words are broadcast if they are few, else joined by term.
     """
-    stats = docs.select(F.size(tokens(F.col(text))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avg")).first()
+    stats = docs.select(F.regexp_count(F.lower(text), F.lit("[a-z0-9]+")).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avg")).first()
     n, average = stats["n"], stats["avg"] or 1.0
-    postings = term_frequencies(docs, doc_id, text)
     wanted = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    df = postings.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    hint = F.broadcast if few else (lambda df: df)
+    words = docs.select(F.col(doc_id).alias("doc"), tokens(F.col(text)).alias("w")).select("doc", F.size("w").alias("dl"), F.explode("w").alias("term"))
+    postings = words.join(hint(wanted.select("term").distinct()), "term", "left_semi").repartition("doc").groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     weighted = wanted.join(df, "term").select("query_id", "term", (idf * F.col("times")).alias("weight"))
     part = F.col("weight") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / average))
-    return postings.join(weighted, "term").groupBy("query_id", F.col("doc").alias("doc_id")).agg(F.sum(part).alias("raw"))
+    return postings.join(hint(weighted), "term").groupBy("query_id", F.col("doc").alias("doc_id")).agg(F.sum(part).alias("raw"))
+
+
+#: Scores that are kept of each wanted one before they are rounded: those that rounding makes equal are ranked by document.
+MARGIN = 4
+
+
+def bm25_top(queries: DataFrame, docs: DataFrame, k: int, **columns: str) -> DataFrame:
+    """(query_id, doc_id, rank, bm25): the k best of each query, scores over the query's best, rounded to six digits. The best is among
+    the first, so only these move."""
+    raw = bm25(queries, docs, **columns).withColumn("_key", F.round("raw", 6))
+    first = top_per_query(raw, MARGIN * k, "_key").drop("rank", "_key")
+    return top_per_query(normalised(first).withColumn("bm25", F.round("bm25", 6)), k, "bm25").select("query_id", "doc_id", "rank", "bm25")
 
 
 def top_per_query(scores: DataFrame, k: int, score: str, tie: str = "doc_id", query: str = "query_id") -> DataFrame:

@@ -21,34 +21,51 @@ from querypond.streaming import state
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _normalised_feeds(spark: SparkSession, d: str) -> DataFrame:
-    """(feed, record_id, stamp, utc, zone_from, notation, seen) of the four feeds' records."""
+def _normalised_feeds(spark: SparkSession, d: str, *, estimate: bool) -> DataFrame:
+    """(feed, record_id, stamp, utc, zone_from, notation, seen) of the four feeds' records. With estimate, publishers without a declared
+    zone get the one that fits their stamps."""
     publishers = table(spark, d, "publishers").select("source_id", "tz_name", "date_order").dropDuplicates(["source_id"])
     articles = table(spark, d, "gnews_articles").select("source_id", "article_id", F.col("pub_date").alias("stamp"), "fetched_at")
-    guessed = timestamps.estimate_zones(articles.join(F.broadcast(publishers), "source_id", "left_anti"), source="source_id", stamp="stamp", ingested="fetched_at").select(F.col("source").alias("source_id"), F.col("zone").alias("guess"))
     none, utc = F.lit(None).cast("string"), F.lit("UTC")
     form = lambda name, df, key, stamp, declared=utc, order=none, guess=none: df.select(F.lit(name).alias("feed"), F.col(key).cast("string").alias("record_id"), F.col(stamp).cast("string").alias("stamp"), F.col("fetched_at").alias("seen"), declared.alias("declared"), order.alias("date_order"), guess.alias("guess"))
+    listed = articles.join(publishers, "source_id", "left")
+    if estimate:
+        guessed = timestamps.estimate_zones(articles.join(publishers, "source_id", "left_anti"), source="source_id", stamp="stamp", ingested="fetched_at")
+        listed = listed.join(guessed.select(F.col("source").alias("source_id"), F.col("zone").alias("guess")), "source_id", "left")
     feeds = [
         form("hn_hits", table(spark, d, "hn_hits"), "object_id", "created_at"),
         form("gdelt_articles", table(spark, d, "gdelt_articles"), "article_id", "seendate"),
         form("se_items", table(spark, d, "se_items"), "question_id", "creation_date"),
-        form("gnews_articles", articles.join(F.broadcast(publishers), "source_id", "left").join(guessed, "source_id", "left"), "article_id", "stamp", F.col("tz_name"), F.col("date_order"), F.col("guess")),
+        form("gnews_articles", listed, "article_id", "stamp", F.col("tz_name"), F.col("date_order"), F.col("guess") if estimate else none),
     ]
     return timestamps.normalise(reduce(DataFrame.unionByName, feeds), stamp="stamp", declared_zone=F.col("declared"), date_order=F.col("date_order"), estimated_zone=F.col("guess"))
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
+def _first_instants(rows: DataFrame) -> DataFrame:
     """One row a record whose stamp means one instant; of repeated rows the first that does counts."""
-    sure = _normalised_feeds(spark, d).where("record_id IS NOT NULL AND utc IS NOT NULL AND zone_from <> 'estimated'")
-    return sure.groupBy("feed", "record_id").agg(F.min_by(F.unix_seconds("utc"), F.struct("seen", "stamp")).alias("utc_second"))
+    sure = rows.where("record_id IS NOT NULL AND utc IS NOT NULL")
+    first = F.min_by(F.struct(F.unix_seconds("utc").alias("utc_second"), "zone_from"), F.struct("seen", "stamp"))
+    return sure.groupBy("feed", "record_id").agg(first.alias("x")).select("feed", "record_id", "x.utc_second", "x.zone_from")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Instants that the stamps mean for certain: stamps without a zone of publishers that declare none are no cases."""
+    return _first_instants(_normalised_feeds(spark, d, estimate=False)).drop("zone_from")
+
+
+def p4_instants(spark: SparkSession, d: str) -> DataFrame:
+    """All instants, those with an estimated zone, too, with what the zone comes from."""
+    return _first_instants(_normalised_feeds(spark, d, estimate=True))
 
 
 def p4_zones(spark: SparkSession, d: str) -> DataFrame:
-    """The zone that fits each publisher's local stamps, beside the declared one."""
+    """The zone that fits each publisher's local stamps, beside the declared one, and whether both have one history of offsets."""
     publishers = table(spark, d, "publishers").select(F.col("source_id").alias("source"), "tz_name", "date_order").dropDuplicates(["source"])
-    articles = table(spark, d, "gnews_articles").withColumnRenamed("source_id", "source").join(F.broadcast(publishers), "source", "left")
+    articles = table(spark, d, "gnews_articles").withColumnRenamed("source_id", "source").join(publishers, "source", "left")
     found = timestamps.estimate_zones(articles, source="source", stamp="pub_date", ingested="fetched_at", date_order=F.col("date_order"))
-    return found.join(F.broadcast(publishers.select("source", "tz_name")), "source", "left").select("source", "tz_name", "zone", "stamps", "violations", "low_lag_s")
+    names = timestamps.zone_histories(timestamps.zone_names(spark))
+    declared = publishers.join(names.withColumnRenamed("zone", "tz_name"), "tz_name", "left").select("source", "tz_name", "candidate")
+    return found.join(declared, "source", "left").select("source", "tz_name", "zone", (F.col("zone") == F.col("candidate")).alias("agrees"), "stamps", "violations", "low_lag_s")
 
 
 # Each query's SQL for the comparison engine stands below it.
@@ -98,8 +115,7 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    scores = ranking.normalised(ranking.bm25(_items(spark, d), table(spark, d, "documents")))
-    return ranking.top_per_query(scores.withColumn("bm25", F.round("bm25", 6)), 10, "bm25").select("query_id", "doc_id", "rank", "bm25")
+    return ranking.bm25_top(_items(spark, d), table(spark, d, "documents"), 10)
 
 
 BM25 = f"""WITH tok AS (SELECT doc_id, {WORDS('text')} AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS av FROM tok),
@@ -114,15 +130,16 @@ SQL["bm25_topk"] = BM25 + " SELECT query_id, doc_id, row_number() OVER (PARTITIO
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
     """The first 25 documents of each item, with what their signals need; these read the whole text."""
     docs = table(spark, d, "documents")
-    top = ranking.top_per_query(ranking.normalised(ranking.bm25(_items(spark, d), docs)).withColumn("bm25", F.round("bm25", 6)), 25, "bm25").drop("raw", "rank")
+    top = ranking.bm25_top(_items(spark, d), docs, 25).drop("rank")
     meta = docs.select("doc_id", "url", F.coalesce("title", F.lit("")).alias("title"), F.col("text").alias("snippet"), F.col("source").alias("provider"), F.lit(None).cast("string").alias("author"), F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published_at"), "text")
     return top.join(meta, "doc_id")
 
 
 def final_scores(spark: SparkSession, d: str) -> DataFrame:
     """BM25 candidates with all signals, fused, the first ten of each query."""
-    stuffing = ranking.stuffing(table(spark, d, "documents"), "doc_id", "text")
-    scores = ranking.scored(_candidates(spark, d), text="text", stuffing_of=stuffing).withColumn("final_score", F.round("final_score", 6))
+    candidates = _candidates(spark, d)
+    stuffing = ranking.stuffing(candidates.select("doc_id", "text").dropDuplicates(["doc_id"]), "doc_id", "text")
+    scores = ranking.scored(candidates, text="text", stuffing_of=stuffing).withColumn("final_score", F.round("final_score", 6))
     return ranking.top_per_query(scores, 10, "final_score").select("query_id", "doc_id", "rank", "bm25", F.round("trust", 4).alias("trust"), "freshness", F.round("spam", 4).alias("spam"), "has_examples", "final_score")
 
 
@@ -130,7 +147,7 @@ STUFFED = f"""SELECT doc_id, CASE WHEN dl < 20 THEN 0.0 ELSE least(top * 1.0 / d
 SQL["final_scores"] = (
     BM25
     + f""", st2 AS ({STUFFED}), c AS (SELECT * FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id) <= 25),
-m AS (SELECT c.*, url, coalesce(title, '') AS title, substring(text, 1, 600) AS snippet, source AS provider, NULL::VARCHAR AS author, strftime(published_at, '%Y-%m-%dT%H:%M:%SZ') AS published_at, text, coalesce(stuffing, 0.0) AS stuffing, {signals.host(DUCK)} AS host
+m AS (SELECT c.*, url, coalesce(title, '') AS title, text AS snippet, source AS provider, NULL::VARCHAR AS author, strftime(published_at, '%Y-%m-%dT%H:%M:%SZ') AS published_at, text, coalesce(stuffing, 0.0) AS stuffing, {signals.host(DUCK)} AS host
   FROM c JOIN documents USING (doc_id) LEFT JOIN st2 USING (doc_id)),
 r AS (SELECT *, ({signals.trust()})::DOUBLE AS raw_trust FROM m),
 s AS (SELECT query_id, doc_id, bm25, ({signals.adjusted_trust(DUCK)})::DOUBLE AS trust, ({signals.freshness(DUCK)})::DOUBLE AS freshness, ({signals.popularity(DUCK)})::DOUBLE AS popularity, ({signals.code_quality(DUCK)})::DOUBLE AS code_quality, ({signals.has_examples(DUCK, 'text')})::DOUBLE AS has_examples,
@@ -148,9 +165,9 @@ def reranked(spark: SparkSession, d: str) -> DataFrame:
 
 def rrf(spark: SparkSession, d: str) -> DataFrame:
     """Two lists of each item fused: by BM25, and the same documents by their date."""
-    c = _candidates(spark, d)
-    lists = [(c, F.col("bm25").desc()), (c, F.col("published_at").desc_nulls_last())]
-    ranked = reduce(DataFrame.unionByName, [df.select("query_id", "doc_id", F.row_number().over(Window.partitionBy("query_id").orderBy(by, "doc_id")).alias("rank"), F.lit(i).alias("list_id")) for i, (df, by) in enumerate(lists)])
+    place = lambda by: F.row_number().over(Window.partitionBy("query_id").orderBy(by, "doc_id"))
+    c = _candidates(spark, d).select("query_id", "doc_id", F.array(place(F.col("bm25").desc()), place(F.col("published_at").desc_nulls_last())).alias("ranks"))
+    ranked = c.select("query_id", "doc_id", F.posexplode("ranks").alias("list_id", "rank"))
     return ranking.reciprocal_rank_fusion(ranked).withColumn("rrf", F.round("rrf", 6))
 
 
@@ -321,7 +338,7 @@ def _judged(spark: SparkSession, d: str) -> DataFrame:
 
 
 _JUDGED = f"""WITH o AS (SELECT query_id, result_id, url, coalesce(title, '') AS title, coalesce(snippet, '') AS snippet, provider, row_number() OVER w AS pos, first(url) OVER w AS first_url, first(coalesce(title, '')) OVER w AS first_title FROM {RESULTS} WINDOW w AS (PARTITION BY query_id ORDER BY result_id)),
-t AS (SELECT *, {signals.title_words(DUCK, 'title')} AS a, {signals.title_words(DUCK, 'first_title')} AS b FROM o WHERE pos <= 25),
+t AS (SELECT *, {signals.title_words(DUCK, 'title')} AS a, {signals.title_words(DUCK, 'first_title')} AS b FROM o),
 s AS (SELECT *, {signals.jaccard(DUCK, 'a', 'b')} AS j, len(list_filter(b, lambda w: contains(lower(title || ' ' || snippet), w))) * 1.0 / greatest(len(b), 1) AS sh FROM t),
 judged AS (SELECT query_id, pos, CASE WHEN url = first_url OR j >= 0.4 THEN 3 WHEN sh >= 0.66 THEN 3 WHEN sh >= 0.5 THEN 2 WHEN sh >= 0.33 THEN 1 WHEN sh >= 0.15 THEN 0 ELSE -1 END AS rel, provider FROM s)"""
 
@@ -527,7 +544,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 NAMES = (
-    "p4_found p4_zones exact_dedup token_stats term_freq doc_freq bm25_topk final_scores reranked rrf url_dedup url_parts provider_cap spam_penalty query_plan query_boosts domain_hints text_flags detected_language cosine_topk cache_probe search_results research_sources judge_match retrieval_metrics "
+    "p4_found p4_instants p4_zones exact_dedup token_stats term_freq doc_freq bm25_topk final_scores reranked rrf url_dedup url_parts provider_cap spam_penalty query_plan query_boosts domain_hints text_flags detected_language cosine_topk cache_probe search_results research_sources judge_match retrieval_metrics "
     "metrics_summary threshold_violations budget_truncate context_strings answer_confidence citation_list page_links articles code_blocks crawl greedy_dedup provider_results source_registry rate_windows value_histogram usage_analytics watch_alerts credibility_fold memory_fold circuit_fold best_sources order_revenue"
 ).split()
 
