@@ -21,10 +21,16 @@ def tokens(text) -> F.Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
+def spread(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(doc, dl, term): one row a word; the length is taken before the words are spread. The outer generator is not preceded by a
+    filter that would tokenize the text once more."""
+    words = docs.select(F.col(id_col).alias("doc"), tokens(F.col(text)).alias("w"))
+    return words.select("doc", F.size("w").alias("dl"), F.explode_outer("w").alias("term")).where("term IS NOT NULL")
+
+
 def term_frequencies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, term, tf, dl): one row a document and term; the length is taken before the terms are spread."""
-    spread = docs.select(F.col(id_col).alias("doc"), tokens(F.col(text)).alias("w")).select("doc", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    return spread.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    """(doc, term, tf, dl): one row a document and term."""
+    return spread(docs, id_col, text).groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, *, query_id: str = "query_id", query: str = "query", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -39,9 +45,9 @@ def bm25(queries: DataFrame, docs: DataFrame, *, query_id: str = "query_id", que
     wanted = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     hint = F.broadcast if few else (lambda df: df)
-    words = docs.select(F.col(doc_id).alias("doc"), tokens(F.col(text)).alias("w")).select("doc", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    postings = words.join(hint(wanted.select("term").distinct()), "term", "left_semi").repartition("doc").groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    postings = spread(docs, doc_id, text).join(hint(wanted.select("term").distinct()), "term", "left_semi").repartition("doc").groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    # The lengths, which a document with a term always has, are read here only so that both branches are one exchange.
+    df = postings.groupBy("term").agg(F.count("*").alias("df"), F.min("dl").alias("least")).where("least > 0").select("term", "df")
     idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     weighted = wanted.join(df, "term").select("query_id", "term", (idf * F.col("times")).alias("weight"))
     part = F.col("weight") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / average))
@@ -117,9 +123,10 @@ def topic_alignment(query, title, snippet, provider) -> F.Column:
     def of(x: F.Column) -> F.Column:
         pair = lambda c: F.instr(c, " ") > 0
         # a word is covered as it is, without its plural s, or with one
-        forms = F.concat(x.there, F.transform(x.there, lambda w: F.concat(w, F.lit("s"))), F.transform(F.filter(x.there, lambda w: F.endswith(w, F.lit("s"))), lambda w: F.regexp_replace(w, "s$", "")))
+        stands = lambda w: F.contains(x.words, F.concat(F.lit(" "), w, F.lit(" "))) & ~w.isin(*K.CONCEPT_STOPWORDS)
+        singular = lambda w: F.endswith(w, F.lit("s")) & (F.length(w) > 3) & stands(F.substring(w, F.lit(1), F.length(w) - 1))
         met = F.size(F.filter(x.asked, lambda c: pair(c) & F.contains(x.doc, c)))
-        covered = F.size(F.array_intersect(F.filter(x.asked, lambda c: ~pair(c)), forms)) + met
+        covered = F.size(F.filter(x.asked, lambda c: ~pair(c) & (stands(c) | stands(F.concat(c, F.lit("s"))) | singular(c)))) + met
         off = F.lit(False)
         for source, terms in K.OFF_TOPIC_SOURCES.items():
             off = off | ((x.provider == source) & reduce(lambda a, b: a | b, [F.contains(x.low, F.lit(t)) for t in terms]))
@@ -131,7 +138,7 @@ def topic_alignment(query, title, snippet, provider) -> F.Column:
         overlap = F.when(m.pairs > 0, m.met / m.pairs).otherwise(m.coverage)
         return F.when(m.n == 0, 0.5).otherwise(F.least(m.coverage * 0.5 + overlap * 0.2 + (1 - m.penalty) * 0.3, F.lit(1.0)))
 
-    there = lambda g: F.struct(g.query.alias("query"), g.low.alias("low"), g.asked.alias("asked"), g.original.alias("original"), g.provider.alias("provider"), F.lower(g.original).alias("doc"), concepts(F.lower(g.original)).alias("there"))
+    there = lambda g: F.struct(g.query.alias("query"), g.low.alias("low"), g.asked.alias("asked"), g.original.alias("original"), g.provider.alias("provider"), F.lower(g.original).alias("doc"), F.concat(F.lit(" "), F.regexp_replace(F.lower(g.original), "[^a-z0-9]+", " "), F.lit(" ")).alias("words"))
     return once(once(once(given, there), of), score)
 
 
