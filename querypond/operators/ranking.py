@@ -11,6 +11,7 @@ from querypond import constants as K
 from querypond.functions import signals
 from querypond.functions.columns import once
 from querypond.functions.dialect import SPARK
+from querypond.runtime import parallelism
 
 K1, B = 1.5, 0.75
 #: Rows up to which a side is broadcast.
@@ -90,8 +91,8 @@ def stuffing(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return top.select(F.col("doc").alias("id"), F.when(F.col("dl") < 20, 0.0).otherwise(F.least(F.col("top") / F.col("dl") / 0.15, F.lit(1.0))).alias("stuffing"))
 
 
-def scored(candidates: DataFrame, *, text: str, stuffing_of: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
-    """Candidates (query_id, doc_id, bm25, url, title, snippet, provider, author, published_at) with signals and final score."""
+def with_signals(candidates: DataFrame, *, text: str, stuffing_of: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
+    """Rows (doc_id, url, title, snippet, provider, author, published_at) with all signals that need no query."""
     if stuffing_of is not None:
         candidates = candidates.join(stuffing_of.withColumnRenamed("id", id_col), id_col, "left")
     base = candidates.withColumn("host", F.expr(signals.host(SPARK)))
@@ -100,7 +101,12 @@ def scored(candidates: DataFrame, *, text: str, stuffing_of: DataFrame | None =
         "trust": signals.adjusted_trust(SPARK), "freshness": signals.freshness(SPARK), "popularity": signals.popularity(SPARK), "code_quality": signals.code_quality(SPARK), "has_examples": signals.has_examples(SPARK, text),
         "authority": signals.authority(SPARK, "raw_trust"), "source_quality": signals.source_quality(SPARK), "spam": signals.spam(SPARK, text, "stuffing", "raw_trust"), "ai_relevance": "0.5", "semantic": "0.5",
     }
-    return base.withColumns({k: F.expr(v).cast("double") for k, v in rules.items()}).withColumn("final_score", F.expr(signals.final_score()))
+    return base.withColumns({k: F.expr(v).cast("double") for k, v in rules.items()})
+
+
+def scored(candidates: DataFrame, *, text: str, stuffing_of: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
+    """Candidates (query_id, doc_id, bm25, url, title, snippet, provider, author, published_at) with signals and final score."""
+    return with_signals(candidates, text=text, stuffing_of=stuffing_of, id_col=id_col).withColumn("final_score", F.expr(signals.final_score()))
 
 
 def concepts(text) -> F.Column:
@@ -145,5 +151,5 @@ def topic_alignment(query, title, snippet, provider) -> F.Column:
 def rerank(ranked: DataFrame) -> DataFrame:
     """Rows (query_id, query, doc_id, title, snippet, provider, final_score) with alignment and the composite, 0 to 100."""
     top = F.greatest(F.max("final_score").over(Window.partitionBy("query_id")), F.lit(1.0))
-    aligned = ranked.withColumn("alignment", topic_alignment(F.col("query"), F.col("title"), F.col("snippet"), F.col("provider")))
+    aligned = ranked.repartition(parallelism(ranked.sparkSession), "query_id", "doc_id" if "doc_id" in ranked.columns else "url").withColumn("alignment", topic_alignment(F.col("query"), F.col("title"), F.col("snippet"), F.col("provider")))
     return aligned.withColumn("rerank_score", F.floor(100 * (0.4 * F.col("final_score") / top + 0.6 * F.col("alignment")) + 0.5))

@@ -14,7 +14,7 @@ from querypond.functions import signals
 from querypond.functions.dialect import DUCK, SPARK
 from querypond.operators import budget, dedup, evaluate, extract, ranking, research, timestamps, vectors
 from querypond.plans import planner, search
-from querypond.runtime import table
+from querypond.runtime import parallelism, table
 from querypond.sources import registry
 from querypond.streaming import state
 
@@ -127,19 +127,25 @@ bm AS (SELECT query_id, doc_id, round(raw / max(raw) OVER (PARTITION BY query_id
 SQL["bm25_topk"] = BM25 + " SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id) AS rank, bm25 FROM bm QUALIFY rank <= 10"
 
 
-def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    """The first 25 documents of each item, with what their signals need; these read the whole text."""
+def _candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The first 25 documents of each item (query_id, doc_id, bm25), and these documents, each once, with what their signals need; these
+    read the whole text, so the documents are spread over all tasks first."""
     docs = table(spark, d, "documents")
     top = ranking.bm25_top(_items(spark, d), docs, 25).drop("rank")
     meta = docs.select("doc_id", "url", F.coalesce("title", F.lit("")).alias("title"), F.col("text").alias("snippet"), F.col("source").alias("provider"), F.lit(None).cast("string").alias("author"), F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published_at"), "text")
-    return top.join(meta, "doc_id")
+    return top, meta.join(top.select("doc_id").distinct(), "doc_id", "left_semi").repartition(parallelism(spark), "doc_id")
+
+
+def _scored(spark: SparkSession, d: str, *, stuffed: bool, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The candidates with signals and final score; signals are made once a document."""
+    top, docs = _candidates(spark, d)
+    stuffing = ranking.stuffing(docs, "doc_id", "text") if stuffed else None
+    return top.join(ranking.with_signals(docs, text="text", stuffing_of=stuffing).drop("text", *({"snippet", "title"} - set(keep))), "doc_id").withColumn("final_score", F.expr(signals.final_score()))
 
 
 def final_scores(spark: SparkSession, d: str) -> DataFrame:
     """BM25 candidates with all signals, fused, the first ten of each query."""
-    candidates = _candidates(spark, d)
-    stuffing = ranking.stuffing(candidates.select("doc_id", "text").dropDuplicates(["doc_id"]), "doc_id", "text")
-    scores = ranking.scored(candidates, text="text", stuffing_of=stuffing).withColumn("final_score", F.round("final_score", 6))
+    scores = _scored(spark, d, stuffed=True).withColumn("final_score", F.round("final_score", 6))
     return ranking.top_per_query(scores, 10, "final_score").select("query_id", "doc_id", "rank", "bm25", F.round("trust", 4).alias("trust"), "freshness", F.round("spam", 4).alias("spam"), "has_examples", "final_score")
 
 
@@ -158,7 +164,7 @@ SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY final
 
 
 def reranked(spark: SparkSession, d: str) -> DataFrame:
-    scores = ranking.scored(_candidates(spark, d), text="text").join(_items(spark, d), "query_id")
+    scores = _scored(spark, d, stuffed=False, keep=("title", "snippet")).join(_items(spark, d), "query_id")
     out = ranking.rerank(scores)
     return ranking.top_per_query(out, 10, "rerank_score").select("query_id", "doc_id", "rank", F.round("alignment", 6).alias("alignment"), "rerank_score")
 
@@ -166,7 +172,8 @@ def reranked(spark: SparkSession, d: str) -> DataFrame:
 def rrf(spark: SparkSession, d: str) -> DataFrame:
     """Two lists of each item fused: by BM25, and the same documents by their date."""
     place = lambda by: F.row_number().over(Window.partitionBy("query_id").orderBy(by, "doc_id"))
-    c = _candidates(spark, d).select("query_id", "doc_id", F.array(place(F.col("bm25").desc()), place(F.col("published_at").desc_nulls_last())).alias("ranks"))
+    top, docs = _candidates(spark, d)
+    c = top.join(docs.select("doc_id", "published_at"), "doc_id").select("query_id", "doc_id", F.array(place(F.col("bm25").desc()), place(F.col("published_at").desc_nulls_last())).alias("ranks"))
     ranked = c.select("query_id", "doc_id", F.posexplode("ranks").alias("list_id", "rank"))
     return ranking.reciprocal_rank_fusion(ranked).withColumn("rrf", F.round("rrf", 6))
 
