@@ -117,3 +117,55 @@ CODE_LANGUAGES = {
     "dockerfile": [r"(?m)^FROM\s+\w+", r"(?m)^RUN\s+", r"(?m)^CMD\s+", r"(?m)^COPY\s+", r"(?m)^WORKDIR\s+", r"(?m)^EXPOSE\s+\d+"],
 }
 SKIPPED_EXTENSIONS = ".pdf .zip .png .jpg .jpeg .gif .svg .mp4 .mp3 .woff .woff2 .ttf .ico".split()
+
+# Repositories of well-known projects, by the name that a query uses.
+KNOWN_REPOSITORIES = {
+    "swe-agent": "princeton-nlp/SWE-agent",
+    "swebench": "princeton-nlp/SWE-bench",
+    "openhands": "All-Hands-AI/OpenHands",
+    "opendevin": "All-Hands-AI/OpenHands",
+    "autogpt": "Significant-Gravitas/AutoGPT",
+    "langgraph": "langchain-ai/langgraph",
+    "langchain": "langchain-ai/langchain",
+    "crewai": "crewAIInc/crewAI",
+    "autogen": "microsoft/autogen",
+    "semantic kernel": "microsoft/semantic-kernel",
+    "metagpt": "geekan/MetaGPT",
+    "voyager": "MineDojo/Voyager",
+    "memgpt": "cpacker/MemGPT",
+    "letta": "letta-ai/letta",
+    "codeact": "xingyaoww/code-act",
+    "devika": "stitionai/devika",
+    "chatdev": "OpenBMB/ChatDev",
+    "toolllm": "OpenBMB/ToolLLM",
+    "react": "reactjs/react.dev",
+    "agentbench": "THUDM/AgentBench",
+    "pytorch": "pytorch/pytorch",
+    "tensorflow": "tensorflow/tensorflow",
+    "fastapi": "fastapi/fastapi",
+    "next.js": "vercel/next.js",
+    "prisma": "prisma/prisma",
+    "bun": "oven-sh/bun",
+    "vite": "vitejs/vite",
+    "deno": "denoland/deno",
+    "tailwind": "tailwindlabs/tailwindcss",
+}
+# Terms and queries that stand for a domain of entities.
+ENTITY_TERMS = {
+    "ai_coding_agent": [
+        "OpenHands", "SWE-agent", "SWE-bench", "AutoGPT", "LangGraph", "CrewAI", "MetaGPT", "AgentBench", "Reflexion", "ReAct", "Voyager", "MemGPT", "CodeAct", "OpenDevin", "Devin", "Devika", "AgentCoder", "ChatDev", "CodeGen", "ToolLLM", "Toolformer",
+        "autonomous coding agent", "software engineering agent", "LLM agent framework", "self-correcting agent",
+    ],
+    "cybersecurity_competition": ["CTF", "DEF CON", "DEFCON CTF", "Cyber Challenge", "National Cyber League", "PicoCTF", "HackTheBox", "TryHackMe", "CyberPatriot", "SECCDC"],
+    "llm_research_paper": ["LLM survey", "language model benchmark", "SOTA LLM"],
+}
+ENTITY_QUERIES = {
+    "ai_coding_agent": [
+        "SWE-agent autonomous coding agent architecture", "OpenHands AI software engineering agent", "ReAct reflexion self-correcting agent", "MemGPT memory-augmented LLM agent", "LangGraph agent planning execution", "AutoGPT autonomous task completion agent",
+        "CrewAI multi-agent collaboration framework", "Devin Cognition autonomous software engineering agent", "best open source autonomous coding agents github", "LLM agent memory planning execution survey paper",
+    ],
+    "cybersecurity_competition": ["CTF cybersecurity competition winners 2026", "DEF CON CTF winning techniques tools", "cybersecurity competition writeup techniques"],
+    "llm_research_paper": ["state of the art LLM survey 2026", "best open source LLM models comparison"],
+}
+# Least boosts of sources for a class of news.
+NEWS_BOOSTS = {"cybersecurity": {"googlenews": 1.4, "twitter": 1.3}}

@@ -153,6 +153,22 @@ def boost(d: Spark, query: str, provider: str) -> str:
     return f"CASE WHEN {hits} THEN 1.5 ELSE 1.0 END"
 
 
+def boost_with_news(d: Spark, query: str, provider: str, news: str) -> str:
+    """The boost by words, raised for the sources of the query's class of news."""
+    rules = [(f"{news} = '{c}' AND {provider} = '{p}'", f"greatest({boost(d, query, provider)}, {v})") for c, sources in K.NEWS_BOOSTS.items() for p, v in sources.items()]
+    return first(rules, boost(d, query, provider))
+
+
+def credibility_multiplier(score: str) -> str:
+    """0.8 to 1.2 by a credibility of 0 to 100; 1 where there is none."""
+    return f"CASE WHEN {score} IS NULL THEN 1.0 ELSE 0.8 + {score} / 100.0 * 0.4 END"
+
+
+def topics(d: Spark, text: str) -> str:
+    """Words of four letters or more that are no stop words."""
+    return d.keep(d.words(text), "length(w) >= 4 AND NOT " + within("w", K.TOPIC_STOPWORDS))
+
+
 def title_words(d: Spark, text: str) -> str:
     clean = d.replace(d.replace(f"lower({text})", "[^a-z0-9 \\t]", ""), "[ \\t]+", " ")
     return d.distinct(d.keep(d.split(f"trim({clean})", " "), "length(w) > 2"))

@@ -173,6 +173,11 @@ def html_links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r"<a\s[^>]*href=[\"'](https?://[^\"']+)[\"']"), F.lit(1))
 
 
+def sitemap_pages(sitemaps: DataFrame, *, xml: str = "body", most: int = 30) -> DataFrame:
+    """(url): distinct addresses of sitemaps, at most three for each page that a crawl may take."""
+    return sitemaps.select(F.explode(sitemap_locations(F.col(xml))).alias("url")).distinct().orderBy("url").limit(most)
+
+
 def sitemap_locations(xml: Column) -> Column:
     return F.regexp_extract_all(xml, F.lit(r"<loc>\s*([^<\s]+)\s*</loc>"), F.lit(1))
 
@@ -182,6 +187,30 @@ def published_time(html: Column) -> Column:
     return F.coalesce(meta, F.nullif(F.regexp_extract(html, r"(?i)<time[^>]+datetime=[\"']([^\"']+)", 1), F.lit("")))
 
 
+def wrapped(text: Column, mime: Column) -> Column:
+    """Plain text as it is, JSON (by its type or its first bracket) in a fence."""
+    return F.when(F.contains(mime, F.lit("json")) | F.ltrim(text).rlike(r"^[\[{]"), F.concat(F.lit("```json\n"), text, F.lit("\n```"))).otherwise(text)
+
+
+HTML_TYPES = ("text/html", "application/xhtml+xml", "", "application/octet-stream")
+
+
+def documents(resources: DataFrame, *, id_col: str, body: str, content_type: str, pdf_text=None) -> DataFrame:
+    """(id, kind, markdown, text_length, content_hash, published_at) of fetched resources by their type: HTML as its article, PDF by a plugged-in
+    function (null without one), all other text as it is."""
+    mime = F.lower(F.trim(F.split_part(F.coalesce(content_type, F.lit("")), F.lit(";"), F.lit(1))))
+    rows = resources.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(body).cast("string").alias("body"), mime.alias("mime"))
+    pages = articles(rows.where(F.col("mime").isin(*HTML_TYPES)), id_col="id", html="body")
+    dated = rows.where(F.col("mime").isin(*HTML_TYPES)).select("id", published_time(F.col("body")).alias("published_at"))
+    html = pages.join(dated, "id").select("id", F.lit("html").alias("kind"), "markdown", "text_length", "content_hash", "published_at")
+    none = F.lit(None).cast("string")
+    as_text = pdf_text(F.col("body")) if pdf_text else none
+    pdf = rows.where("mime = 'application/pdf'").select("id", F.lit("pdf").alias("kind"), as_text.alias("markdown"))
+    other = rows.where(~F.col("mime").isin(*HTML_TYPES, "application/pdf")).select("id", F.lit("text").alias("kind"), wrapped(F.col("body"), F.col("mime")).alias("markdown"))
+    rest = pdf.unionByName(other).select("id", "kind", "markdown", F.length("markdown").alias("text_length"), F.sha2("markdown", 256).alias("content_hash"), none.alias("published_at"))
+    return html.unionByName(rest)
+
+
 def is_private_address(ip: Column) -> Column:
     """Private, loopback, link-local and other addresses that no fetch may reach (IPv4; IPv6 by prefix)."""
     a, b = F.split_part(ip, F.lit("."), F.lit(1)).try_cast("int"), F.split_part(ip, F.lit("."), F.lit(2)).try_cast("int")
@@ -189,9 +218,10 @@ def is_private_address(ip: Column) -> Column:
     return F.when(F.contains(ip, F.lit(":")), F.lower(ip).rlike("^(::1?$|f[cd]|fe[89ab]|ff|::ffff:(10|127|192[.]168|169[.]254)[.])")).otherwise(F.coalesce(v4, F.lit(True)))
 
 
-def crawl(seeds: DataFrame, links: DataFrame, *, depth: int = 3, same_host: bool = True, exclude: tuple[str, ...] = ()) -> DataFrame:
+def crawl(seeds: DataFrame, links: DataFrame, *, depth: int = 3, same_host: bool = True, exclude: tuple[str, ...] = (), max_pages: int | None = None) -> DataFrame:
     """(url, depth) reached from seeds (url) over links (source, target), breadth first, each address once.
 
+    With max_pages levels are followed until so many addresses are reached; of the last level the first by address are kept.
     A level is a join of the frontier with the links and an anti-join with what was visited; both stay distributed, and the
     lineage is cut at each level.
     """
@@ -213,4 +243,6 @@ def crawl(seeds: DataFrame, links: DataFrame, *, depth: int = 3, same_host: bool
         if not frontier.limit(1).count():
             break
         visited = visited.unionByName(frontier)
-    return visited
+        if max_pages is not None and visited.limit(max_pages).count() == max_pages:
+            break
+    return visited if max_pages is None else visited.orderBy("depth", "url").limit(max_pages)

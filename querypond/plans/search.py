@@ -42,7 +42,7 @@ def candidates(queries: DataFrame, corpus: DataFrame, *, per_source: int = 3, mo
     chosen = select_sources(queries)
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit("")))
     scores = ranking.bm25(queries, corpus.select(F.col("result_id").alias("doc_id"), text.alias("text")))
-    matched = scores.withColumnRenamed("doc_id", "result_id").join(corpus, "result_id").join(chosen.select("query_id", "provider", "query", "intent", "position"), ["query_id", "provider"])
+    matched = scores.withColumnRenamed("doc_id", "result_id").join(corpus, "result_id").join(chosen.select("query_id", "provider", "query", "intent", "news_class", "position"), ["query_id", "provider"])
     order = [F.col("raw").desc(), F.col("result_id")]
     capped = matched.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "provider").orderBy(*order))).where(F.col("_n") <= per_source)
     by = [F.col("position"), F.col("_n")]
@@ -69,7 +69,7 @@ def batch_bm25(batch: DataFrame) -> DataFrame:
 def search(queries: DataFrame, corpus: DataFrame, *, limit: int = 10) -> DataFrame:
     """(query_id, rank, result_id, url, title, snippet, provider, final_score, rerank_score, ai_targeted) of queries (query_id, query)."""
     found = batch_bm25(candidates(queries, corpus))
-    found = found.withColumn("title", F.coalesce("title", F.lit(""))).withColumn("boost", F.expr(signals.boost(SPARK, "query", "provider")).cast("double"))
+    found = found.withColumn("title", F.coalesce("title", F.lit(""))).withColumn("boost", F.expr(signals.boost_with_news(SPARK, "query", "provider", "news_class")).cast("double"))
     scored = ranking.scored(found, text="coalesce(snippet, title)", id_col="result_id").withColumn("final_score", F.expr(signals.final_score("boost")))
     out = ranking.top_per_query(ranking.rerank(scored), limit, "rerank_score", "input_pos")
     short = F.when(F.length("snippet") > 600, F.concat(F.substring("snippet", 1, 600), F.lit("..."))).otherwise(F.col("snippet"))

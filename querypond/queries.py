@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from querypond import constants as K
+from querypond import more_queries
 from querypond.functions import signals
 from querypond.functions.dialect import DUCK, SPARK
 from querypond.operators import budget, dedup, evaluate, extract, ranking, research, timestamps, vectors
@@ -557,8 +558,8 @@ NAMES = (
 
 
 def queries() -> dict[str, Query]:
-    return {**{n: globals()[n] for n in NAMES}, **{f"signal_{n}": _signal(n) for n in SIGNALS}}
+    return {**{n: globals()[n] for n in NAMES}, **{f"signal_{n}": _signal(n) for n in SIGNALS}, **more_queries.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return {**SQL, **more_queries.oracle_sql()}

@@ -30,6 +30,26 @@ def memory(state: dict | None, event: dict) -> dict:
     return {"used": used, "mean": round(mean + (float(event["score"]) - mean) / used, 2)}
 
 
+def tagged_memory(state: dict | None, event: dict) -> dict:
+    """The running mean, and the tags of all events in the order in which they were first seen."""
+    tags = list(state["tags"]) if state else []
+    tags += [t for t in dict.fromkeys(event["tags"] if event["tags"] is not None else []) if t not in tags]
+    return {**memory(state, event), "tags": tags}
+
+
+#: How long a result is kept and a subscription lives, in milliseconds.
+RESULT_TTL_MS, WATCH_TTL_MS = 300_000, 30 * 86_400_000
+
+
+def result_cache(state: dict | None, event: dict) -> dict:
+    """Requests of one key: a result answers those that come within its life; reading doesn't prolong it."""
+    made, hits, misses = (state["made_ms"], state["hits"], state["misses"]) if state else (None, 0, 0)
+    now = int(event["at_ms"])
+    if made is not None and now - made < RESULT_TTL_MS:
+        return {"made_ms": made, "hits": hits + 1, "misses": misses}
+    return {"made_ms": now, "hits": hits, "misses": misses + 1}
+
+
 def circuit(state: dict | None, event: dict) -> dict:
     """Closed, open, half-open: three failures open it for 30 s, doubled for each further one up to 300 s."""
     failures, opened, wait, blocked = (state["failures"], state["opened_ms"], state["wait_ms"], state["blocked"]) if state else (0, 0, 0, 0)
@@ -82,6 +102,31 @@ def stream_fold(events: DataFrame, *, key: str, order: list[str], step: Step, st
     return events.groupBy(key).applyInPandasWithState(update, schema, state_schema, "update", GroupStateTimeout.NoTimeout)
 
 
+def watch_stream(results: DataFrame, *, key: str = "subscription", ttl_ms: int = WATCH_TTL_MS) -> DataFrame:
+    """Alerts of a stream of scored results (subscription, threshold, url, score, published): those that are newer than the last check of their
+    subscription and reach its threshold. Each micro-batch is a check and moves the mark, whether or not it gives an alert; a subscription
+    that gets no results for its time to live is forgotten."""
+    schema = T.StructType([results.schema[key], *[results.schema[c] for c in ("url", "score", "published")]])
+
+    def check(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else 0
+        for pdf in batches:
+            ms = (pdf["published"] - pd.Timestamp(0)) // pd.Timedelta(milliseconds=1)
+            yield pdf[pdf["published"].notna() & (ms > last) & (pdf["score"] >= pdf["threshold"])][[f.name for f in schema.fields]]
+        state.update((state.getCurrentProcessingTimeMs(),))
+        state.setTimeoutDuration(ttl_ms)
+
+    return results.groupBy(key).applyInPandasWithState(check, schema, "last_checked_ms bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def fresh_requests(requests: DataFrame, *, keys: list[str], at: str = "ts", ttl: str = "5 minutes") -> DataFrame:
+    """Of a stream of requests those that no earlier one within the time to live answers."""
+    return requests.withWatermark(at, ttl).dropDuplicatesWithinWatermark(keys)
+
+
 def rate_windows(events: DataFrame, *, key: str = "user_id", at: str = "ts", length: str = "1 minute", limit: int = 120, watermark: str | None = None) -> DataFrame:
     """(key, window_start, n, limited): tumbling windows; on a stream late rows are dropped beyond the watermark."""
     source = events.withWatermark(at, watermark) if watermark else events

@@ -5,15 +5,12 @@ from compare import compare, views
 
 from querypond import queries as core
 
-SLOW = {"p4_zones"}
-
-
 @pytest.fixture(scope="module")
 def db(sf):
     return views(sf)
 
 
-@pytest.mark.parametrize("name", [n for n in core.queries() if n not in SLOW])
+@pytest.mark.parametrize("name", list(core.queries()))
 def test_query(spark, db, sf, name):
     text, _, ok = compare(spark, db, sf, name, core.queries()[name], core.oracle_sql().get(name))
     assert ok, text
