@@ -76,7 +76,15 @@ def test_watch_stream(spark, tmp_path):
     rows = [("s", 70.0, "new", 80.0, datetime(2024, 1, 1)), ("s", 70.0, "low", 10.0, datetime(2024, 1, 1)), ("s", 70.0, "undated", 90.0, None)]
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    run = lambda: state.watch_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+
+    def run():
+        # time limits would keep the query going: one batch is all there is
+        q = state.watch_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(once=True).start()
+        try:
+            assert q.awaitTermination(60)
+        finally:
+            q.stop()
+
     run()
     spark.createDataFrame([("s", 70.0, "old", 99.0, datetime(2024, 1, 2)), ("s", 70.0, "later", 99.0, datetime(2100, 1, 1))], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     run()
