@@ -223,6 +223,7 @@ def verified(candidates: DataFrame, one: DataFrame, threshold: float) -> DataFra
 def path_links(
     hashed: DataFrame,
     *,
+    counted: tuple[np.ndarray, int] | None = None,
     threshold: float = 0.7,
     recall: float = 0.999,
     width: int = 12,
@@ -231,9 +232,10 @@ def path_links(
     power: float = 1.5,
     max_depth: int = 24,
 ) -> DataFrame:
-    """Links (class_a, class_b, jaccard), a < b, between the classes of (id, class, tokens), by chosen paths."""
+    """Links (class_a, class_b, jaccard), a < b, between the classes of (id, class, tokens), by chosen paths; counted: token_frequencies,
+    where they are known."""
     spark = hashed.sparkSession
-    frequency, total = token_frequencies(hashed)
+    frequency, total = counted or token_frequencies(hashed)
     shared = spark.sparkContext.broadcast(frequency)
     settings = dict(spread=spread, bucket=bucket, max_depth=max_depth, power=power)
     # About SAMPLE sets, by a hash of the id: as many are expected whatever their number, and no task sends more than its share.
@@ -273,20 +275,34 @@ def path_links(
     return verified(candidates, one, threshold)
 
 
-def exact_links(hashed: DataFrame, *, threshold: float = 0.7, below: int | None = None) -> DataFrame:
+def exact_links(hashed: DataFrame, *, threshold: float = 0.7, below: int | None = None, counted: tuple[np.ndarray, int] | None = None) -> DataFrame:
     """Links (class_a, class_b, jaccard), a < b, between the classes of (id, class, tokens), all of them; with below, those of which one
-    set has fewer tokens than that. Similar sets share at least two tokens, so two of the rarest of each: a pair of tokens is a key."""
+    set has fewer tokens than that. Similar sets share at least two tokens, so two of the rarest of each: a pair of tokens is a key.
+    Rare is what the hashed counters say; any order that all sets share finds all links."""
+    frequency, _ = counted or token_frequencies(hashed)
+    shared = hashed.sparkSession.sparkContext.broadcast(frequency)
     sized = hashed.where(F.size("tokens") > 1)
     if below is not None:
         sized = sized.where(F.size("tokens") <= math.floor((below - 1) / threshold + 1e-9))
     one = sized.groupBy("class").agg(F.first("tokens").alias("tokens"))
-    each = one.select("class", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    counts = each.groupBy("token").agg(F.count("*").alias("df"))
-    # Of n tokens, all but the t * n - 2 most frequent ones: of similar sets these hold two shared ones at least.
-    kept = F.slice(F.array_sort(F.collect_list(F.struct("df", "token"))), 1, F.first("n") - F.ceil(F.first("n") * threshold - 1e-9).cast("int") + 2)
-    rare = each.join(counts, "token").groupBy("class").agg(F.first("n").alias("n"), F.transform(kept, lambda x: x.token).alias("rare"))
-    pairs = F.flatten(F.transform("rare", lambda x, i: F.transform(F.slice("rare", i + 2, F.size("rare")), lambda y: F.xxhash64(F.least(x, y), F.greatest(x, y)))))
-    keyed = rare.select("class", "n", F.explode(pairs).alias("key"))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        for b in batches:
+            own, sizes, found = [], [], []
+            for c, tokens in zip(b.column("class").to_pylist(), b.column("tokens").to_pylist()):
+                n = len(tokens)
+                t = np.array(tokens, dtype=np.int32).view(np.uint32).astype(np.int64)
+                # Of n tokens, all but the t * n - 2 most frequent ones: of similar sets these hold two shared ones at least.
+                rare = np.sort(t[np.lexsort((t, often[t & (COUNTERS - 1)]))[: n - math.ceil(n * threshold - 1e-9) + 2]])
+                i, j = np.triu_indices(len(rare), 1)
+                found.append(rare[i] << 32 | rare[j])
+                own.append(np.full(len(i), c))
+                sizes.append(np.full(len(i), n))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).astype(np.int64)), pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(np.concatenate(found).astype(np.int64))], names=["class", "n", "key"])
+
+    keyed = one.mapInArrow(keys, "class bigint, n int, key bigint")
     a, b = keyed.alias("a"), keyed.alias("b")
     least, most = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
     near = (F.col("a.key") == F.col("b.key")) & (F.col("a.class") < F.col("b.class")) & (least >= threshold * most - 1e-9)
@@ -301,8 +317,9 @@ def all_groups(records: DataFrame, *, id_col: str = "result_id", columns: tuple[
     sets = record_sets(records, id_col=id_col, columns=list(columns), newest=newest, min_tokens=0)
     own = F.when(F.size("tokens") > 0, F.xxhash64("tokens")).otherwise(F.xxhash64(F.lit("no tokens"), "id"))
     hashed = cut(sets.select("id", own.alias("class"), "tokens"))
-    long = path_links(hashed.where(F.size("tokens") >= exact_below), threshold=threshold, **join)
-    return hashed.select("id", "class"), long.unionByName(exact_links(hashed, threshold=threshold, below=exact_below))
+    counted = token_frequencies(hashed)
+    long = path_links(hashed.where(F.size("tokens") >= exact_below), threshold=threshold, counted=counted, **join)
+    return hashed.select("id", "class"), long.unionByName(exact_links(hashed, threshold=threshold, below=exact_below, counted=counted))
 
 
 def linked_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
