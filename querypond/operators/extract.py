@@ -6,6 +6,7 @@ Main-content rule: the first article, main or body element, without script, styl
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -121,24 +122,62 @@ def code_language(code: str) -> str:
     return name if best >= 2 else "text"
 
 
+_OPENS = re.compile(r"(`{3,}|~{3,})([\w+#.-]*)")
+_INDENT = re.compile(r" {4}|\t")
+
+
+def _scan(lines: list[str]) -> tuple[list[tuple[str, list[str]]], list[list[str]]]:
+    """Fenced blocks (language, lines) and runs of indented lines that follow a blank line or the start, in one pass over the lines. A fence
+    without its end is text."""
+    ends: dict[str, list[int]] = {}
+    for i, line in enumerate(lines):
+        bare = line.rstrip(" \t")
+        if bare[:3] in ("```", "~~~") and len(set(bare)) == 1:
+            ends.setdefault(bare, []).append(i)
+    fenced, runs, run, blank, i = [], [], None, True, 0
+    while i < len(lines):
+        line = lines[i]
+        opening = _OPENS.match(line)
+        if opening:
+            closers = ends.get(opening[1], [])
+            at = bisect_right(closers, i)
+            if at < len(closers):
+                fenced.append((opening[2].lower(), lines[i + 1 : closers[at]]))
+                i, run, blank = closers[at] + 1, None, True
+                continue
+        indent = _INDENT.match(line)
+        if indent and (blank or run is not None):
+            if run is None:
+                run = []
+                runs.append(run)
+            run.append(line[indent.end() :])
+        else:
+            run = None
+        blank = not line.strip(" \t")
+        i += 1
+    return fenced, runs
+
+
+def _kind(n: int, longest: int, blocks: int, words: int) -> str:
+    """Long blocks are production code; short ones are examples on pages of several short blocks and on long pages without a long block."""
+    if n >= 80:
+        return "production"
+    page_of_examples = longest < 30 and blocks >= 2 if words < 2000 else longest < 80
+    return "example" if n < 15 and page_of_examples else "unknown"
+
+
 def code_blocks(markdown: str) -> list[dict]:
-    """Fenced blocks, then indented ones that no block contains yet: language, code, lines and kind."""
-    found: list[tuple[str, str]] = []
-    for m in re.finditer(r"^(`{3,}|~{3,})([\w+#.-]*)[^\n]*\n(.*?)^\1[ \t]*$", markdown, re.M | re.S):
-        found.append((m[2].lower(), m[3]))
-    outside = re.sub(r"^(`{3,}|~{3,}).*?^\1[ \t]*$", "", markdown, flags=re.M | re.S)
-    for m in re.finditer(r"(?:\A|\n[ \t]*\n)((?:(?: {4}|\t)[^\n]*(?:\n|\Z))+)", outside):
-        code = "\n".join(re.sub(r"^(?: {4}|\t)", "", line) for line in m[1].split("\n")).strip()
-        if code and not any(code[:50] in c for _, c in found):
+    """Fenced blocks, then indented ones whose beginning no block holds yet: language, code, lines and kind."""
+    fenced, runs = _scan(markdown.split("\n"))
+    found = [(language, "".join(x + "\n" for x in body)) for language, body in fenced]
+    for run in runs:
+        code = "\n".join(run).strip()
+        if code and all(code[:50] not in known for _, known in found):
             found.append(("", code))
+    sizes = [code.count("\n") + 1 for _, code in found]
     words = len(markdown.split())
-    lines = [c.count("\n") + 1 for _, c in found]
-    out = []
-    for (language, code), n in zip(found, lines):
-        short = words < 2000 and len(found) >= 2 and all(x < 30 for x in lines)
-        kind = "production" if n >= 80 else "example" if n < 15 and (short or words >= 2000 and not any(x >= 80 for x in lines)) else "unknown"
-        out.append({"language": language if language and language != "text" else code_language(code), "code": code, "lines": n, "kind": kind})
-    return out
+    named = [language if language not in ("", "text") else code_language(code) for language, code in found]
+    return [{"language": name, "code": code, "lines": n, "kind": _kind(n, max(sizes), len(found), words)} for name, (_, code), n in zip(named, found, sizes)]
 
 
 def articles(pages: DataFrame, *, id_col: str, html: str) -> DataFrame:
