@@ -3,21 +3,66 @@
 from __future__ import annotations
 
 # Hosts and their trust, 0 to 100.
-TRUST_HOSTS: dict[int, str] = {
-    100: "docs.python.org docs.rust-lang.org doc.rust-lang.org docs.oracle.com docs.swift.org docs.djangoproject.com docs.spring.io docs.nestjs.com docs.astro.build nuxt.com nextjs.org react.dev vuejs.org angular.dev svelte.dev kit.svelte.dev solidjs.com remix.run laravel.com rubyonrails.org go.dev kotlinlang.org typescriptlang.org nodejs.org deno.land bun.sh webpack.js.org vitejs.dev esbuild.github.io rollupjs.org jestjs.io vitest.dev playwright.dev docs.docker.com kubernetes.io terraform.io docs.aws.amazon.com cloud.google.com pytorch.org tensorflow.org",
-    99: "developer.mozilla.org",
-    98: "learn.microsoft.com rfc-editor.org datatracker.ietf.org",
-    96: "github.com",
-    95: "arxiv.org openai.com",
-    90: "platform.openai.com docs.anthropic.com aws.amazon.com w3.org whatwg.org ietf.org",
-    85: "paperswithcode.com lilianweng.github.io console.aws.amazon.com azure.microsoft.com docs.vercel.com npmjs.com pypi.org crates.io ieee.org acm.org jmlr.org proceedings.mlr.press",
-    80: "overreacted.io kentcdodds.com addyosmani.com 2ality.com jakearchibald.com web.dev css-tricks.com smashingmagazine.com martinfowler.com blog.jbrains.ca increment.com changelog.com thenewstack.io blog.rust-lang.org blog.golang.org v8.dev webkit.org hacks.mozilla.org engineering.atspotify.com netflixtechblog.com engineering.fb.com research.google huggingface.co jax.readthedocs.io mlflow.org wandb.ai docs.cohere.com github.blog simonwillison.net stability.ai replicate.com langchain.com python.langchain.com js.langchain.com llamaindex.ai docs.llamaindex.ai firebase.google.com docs.supabase.com vercel.com rubygems.org nuget.org springer.com link.springer.com sciencedirect.com nature.com",
-    75: "learnprompting.org promptingguide.ai blog.langchain.dev digitalocean.com linode.com planetscale.com neon.tech netlify.com fly.io packagist.org circleci.com githubactions.com plos.org openreview.net",
-    70: "dev.to towardsdatascience.com railway.app render.com codecov.io sonarcloud.io",
-    65: "betterprogramming.pub",
-    60: "medium.com levelup.gitconnected.com",
-}
-HIGH_AUTHORITY = "docs.python.org docs.rust-lang.org doc.rust-lang.org docs.oracle.com docs.swift.org docs.djangoproject.com docs.spring.io docs.nestjs.com docs.astro.build nuxt.com nextjs.org react.dev vuejs.org angular.dev svelte.dev kit.svelte.dev solidjs.com remix.run laravel.com rubyonrails.org go.dev kotlinlang.org typescriptlang.org nodejs.org deno.land bun.sh webpack.js.org vitejs.dev esbuild.github.io rollupjs.org jestjs.io vitest.dev playwright.dev docs.docker.com kubernetes.io terraform.io docs.aws.amazon.com cloud.google.com learn.microsoft.com pytorch.org tensorflow.org developer.mozilla.org rfc-editor.org datatracker.ietf.org github.com openai.com platform.openai.com docs.anthropic.com huggingface.co arxiv.org paperswithcode.com langchain.com python.langchain.com llamaindex.ai lilianweng.github.io openreview.net w3.org whatwg.org ietf.org stackoverflow.com stackoverflow.co ieee.org acm.org spring.io hibernate.org apache.org elastic.co redis.io mongodb.com postgresql.org sqlite.org prisma.io tailwindcss.com getbootstrap.com npmjs.com pypi.org crates.io aws.amazon.com azure.microsoft.com supabase.com vercel.com neon.tech jmlr.org proceedings.mlr.press opencode.ai".split()
+TRUST_HOSTS: dict[int, list[str]] = {
+    100: [
+        "docs.python.org", "docs.rust-lang.org", "doc.rust-lang.org", "docs.oracle.com", "docs.swift.org", "docs.djangoproject.com", "docs.spring.io", "docs.nestjs.com",
+        "docs.astro.build", "nuxt.com", "nextjs.org", "react.dev", "vuejs.org", "angular.dev", "svelte.dev", "kit.svelte.dev", "solidjs.com", "remix.run", "laravel.com",
+        "rubyonrails.org", "go.dev", "kotlinlang.org", "typescriptlang.org", "nodejs.org", "deno.land", "bun.sh", "webpack.js.org", "vitejs.dev", "esbuild.github.io",
+        "rollupjs.org", "jestjs.io", "vitest.dev", "playwright.dev", "docs.docker.com", "kubernetes.io", "terraform.io", "docs.aws.amazon.com", "cloud.google.com", "pytorch.org",
+        "tensorflow.org",
+    ],
+    99: [
+        "developer.mozilla.org",
+    ],
+    98: [
+        "learn.microsoft.com", "rfc-editor.org", "datatracker.ietf.org",
+    ],
+    96: [
+        "github.com",
+    ],
+    95: [
+        "arxiv.org", "openai.com",
+    ],
+    90: [
+        "platform.openai.com", "docs.anthropic.com", "aws.amazon.com", "w3.org", "whatwg.org", "ietf.org",
+    ],
+    85: [
+        "paperswithcode.com", "lilianweng.github.io", "console.aws.amazon.com", "azure.microsoft.com", "docs.vercel.com", "npmjs.com", "pypi.org", "crates.io", "ieee.org",
+        "acm.org", "jmlr.org", "proceedings.mlr.press",
+    ],
+    80: [
+        "overreacted.io", "kentcdodds.com", "addyosmani.com", "2ality.com", "jakearchibald.com", "web.dev", "css-tricks.com", "smashingmagazine.com", "martinfowler.com",
+        "blog.jbrains.ca", "increment.com", "changelog.com", "thenewstack.io", "blog.rust-lang.org", "blog.golang.org", "v8.dev", "webkit.org", "hacks.mozilla.org",
+        "engineering.atspotify.com", "netflixtechblog.com", "engineering.fb.com", "research.google", "huggingface.co", "jax.readthedocs.io", "mlflow.org", "wandb.ai",
+        "docs.cohere.com", "github.blog", "simonwillison.net", "stability.ai", "replicate.com", "langchain.com", "python.langchain.com", "js.langchain.com", "llamaindex.ai",
+        "docs.llamaindex.ai", "firebase.google.com", "docs.supabase.com", "vercel.com", "rubygems.org", "nuget.org", "springer.com", "link.springer.com", "sciencedirect.com",
+        "nature.com",
+    ],
+    75: [
+        "learnprompting.org", "promptingguide.ai", "blog.langchain.dev", "digitalocean.com", "linode.com", "planetscale.com", "neon.tech", "netlify.com", "fly.io",
+        "packagist.org", "circleci.com", "githubactions.com", "plos.org", "openreview.net",
+    ],
+    70: [
+        "dev.to", "towardsdatascience.com", "railway.app", "render.com", "codecov.io", "sonarcloud.io",
+    ],
+    65: [
+        "betterprogramming.pub",
+    ],
+    60: [
+        "medium.com", "levelup.gitconnected.com",
+    ],
+}
+HIGH_AUTHORITY = [
+    "docs.python.org", "docs.rust-lang.org", "doc.rust-lang.org", "docs.oracle.com", "docs.swift.org", "docs.djangoproject.com", "docs.spring.io", "docs.nestjs.com",
+    "docs.astro.build", "nuxt.com", "nextjs.org", "react.dev", "vuejs.org", "angular.dev", "svelte.dev", "kit.svelte.dev", "solidjs.com", "remix.run", "laravel.com",
+    "rubyonrails.org", "go.dev", "kotlinlang.org", "typescriptlang.org", "nodejs.org", "deno.land", "bun.sh", "webpack.js.org", "vitejs.dev", "esbuild.github.io", "rollupjs.org",
+    "jestjs.io", "vitest.dev", "playwright.dev", "docs.docker.com", "kubernetes.io", "terraform.io", "docs.aws.amazon.com", "cloud.google.com", "learn.microsoft.com",
+    "pytorch.org", "tensorflow.org", "developer.mozilla.org", "rfc-editor.org", "datatracker.ietf.org", "github.com", "openai.com", "platform.openai.com", "docs.anthropic.com",
+    "huggingface.co", "arxiv.org", "paperswithcode.com", "langchain.com", "python.langchain.com", "llamaindex.ai", "lilianweng.github.io", "openreview.net", "w3.org",
+    "whatwg.org", "ietf.org", "stackoverflow.com", "stackoverflow.co", "ieee.org", "acm.org", "spring.io", "hibernate.org", "apache.org", "elastic.co", "redis.io", "mongodb.com",
+    "postgresql.org", "sqlite.org", "prisma.io", "tailwindcss.com", "getbootstrap.com", "npmjs.com", "pypi.org", "crates.io", "aws.amazon.com", "azure.microsoft.com",
+    "supabase.com", "vercel.com", "neon.tech", "jmlr.org", "proceedings.mlr.press", "opencode.ai",
+]
 
 CREDIBLE = [".edu", ".gov", ".mil", "wikipedia.org", "arxiv.org", "github.com", "stackoverflow.com", "stackexchange.com", "developer.mozilla.org", "scholar.google.com", "semanticscholar.org", "pubmed.ncbi.nlm.nih.gov", "ieee.org", "acm.org", "nature.com", "science.org", "springer.com"]
 DOUBTFUL = ["medium.com", "dev.to", "vocal.media", "quora.com", "hubpages.com", "wikihow.com", "buzzfeed.com", "dailymail.co.uk"]
@@ -40,16 +85,24 @@ CODE_INDICATORS = [
 EXAMPLE_INDICATORS = r"\b(example|tutorial|guide|how.to|demo|sample|recipe|quickstart|getting.started|walkthrough|cookbook|playground|sandbox)\b"
 
 CLICKBAIT = ["you won't believe", "you will not believe", "mind blowing", "mind-blowing", "top 10", "top 5", "top 3", "number one", "shocking", "jaw dropping", "jaw-dropping", "life changing", "life-changing", "secret revealed", "doctors hate", "one weird trick", "click here", "don't miss", "do not miss", "limited time", "act now", "free money", "make money fast", "get rich", "lose weight fast"]
-STUFFING_STOPWORDS = "the a an and or but in on at to for of with by from is are was were be been have has had do does did it its this that as if not so we you he she they i my your our their can will would could should".split()
-CONCEPT_STOPWORDS = (
-    "a an the and or but in on at to for of with by from is are was were be been have has had do does did it its this that as if not so we you he she they i my your our their can will would could should "
-    "what which who whom how where when why want need get make use build create find best good great top new latest all some any about into over up out off down just also very too much more most many such than then "
-    "now here there only really actually still even well back being done going know take see like look way thing things something everything nothing someone everyone anyone anything"
-).split()
-TOPIC_STOPWORDS = (
-    "the a an and or but in on at to for of with by from is are was were be been have has had do does did it its this that what which who how where when why want need get make use build can will would "
-    "should could about into over up out just also very too much many some any all more most not no yes like well back going looking"
-).split()
+STUFFING_STOPWORDS = [
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "is", "are", "was", "were", "be", "been", "have", "has", "had", "do", "does",
+    "did", "it", "its", "this", "that", "as", "if", "not", "so", "we", "you", "he", "she", "they", "i", "my", "your", "our", "their", "can", "will", "would", "could", "should",
+]
+CONCEPT_STOPWORDS = [
+    "a", "an", "the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "is", "are", "was", "were", "be", "been", "have", "has", "had", "do", "does",
+    "did", "it", "its", "this", "that", "as", "if", "not", "so", "we", "you", "he", "she", "they", "i", "my", "your", "our", "their", "can", "will", "would", "could", "should",
+    "what", "which", "who", "whom", "how", "where", "when", "why", "want", "need", "get", "make", "use", "build", "create", "find", "best", "good", "great", "top", "new",
+    "latest", "all", "some", "any", "about", "into", "over", "up", "out", "off", "down", "just", "also", "very", "too", "much", "more", "most", "many", "such", "than", "then",
+    "now", "here", "there", "only", "really", "actually", "still", "even", "well", "back", "being", "done", "going", "know", "take", "see", "like", "look", "way", "thing",
+    "things", "something", "everything", "nothing", "someone", "everyone", "anyone", "anything",
+]
+TOPIC_STOPWORDS = [
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "is", "are", "was", "were", "be", "been", "have", "has", "had", "do", "does",
+    "did", "it", "its", "this", "that", "what", "which", "who", "how", "where", "when", "why", "want", "need", "get", "make", "use", "build", "can", "will", "would", "should",
+    "could", "about", "into", "over", "up", "out", "just", "also", "very", "too", "much", "many", "some", "any", "all", "more", "most", "not", "no", "yes", "like", "well", "back",
+    "going", "looking",
+]
 OFF_TOPIC_SOURCES = {"mdn": ["agent", "autonomous", "research", "paper", "LLM", "benchmark"], "devto": ["research", "paper", "arxiv", "LLM benchmark"]}
 
 # First match decides. Only the first is case-sensitive.
@@ -78,11 +131,34 @@ ENTITY_DOMAINS = [
     ("llm_research_paper", [r"\b(LLM|large\s*language\s*model)\s*(paper|research|survey|benchmark)\b", r"\b(state.?of.?the.?art|SOTA)\s*(LLM|language\s*model)\b", r"\b(best\s*(open.?source|OSS)\s*(LLM|model|project))\b"], ["semanticscholar", "arxiv", "pubmed", "github"], ["mdn", "devto"]),
 ]
 INTENT_SOURCES = {
-    "programming": "github stackexchange mdn devto medium", "package": "npm pypi github brave", "github": "github brave", "security": "github stackexchange hackernews mdn", "debugging": "stackexchange github hackernews medium", "api": "mdn github stackexchange brave", "academic": "semanticscholar pubmed arxiv crossref wikipedia",
-    "news": "googlenews hackernews twitter reddit brave medium wikipedia stackexchange", "documentation": "mdn github wikipedia devto", "comparison": "hackernews reddit stackexchange twitter wikipedia brave", "tutorial": "mdn devto stackexchange github youtube medium", "reference": "wikipedia mdn github brave duckduckgo",
-    "architecture": "github hackernews medium wikipedia", "research": "semanticscholar pubmed arxiv crossref github hackernews brave", "general": "brave duckduckgo wikipedia hackernews reddit stackexchange",
+    "programming": ["github", "stackexchange", "mdn", "devto", "medium"],
+    "package": ["npm", "pypi", "github", "brave"],
+    "github": ["github", "brave"],
+    "security": ["github", "stackexchange", "hackernews", "mdn"],
+    "debugging": ["stackexchange", "github", "hackernews", "medium"],
+    "api": ["mdn", "github", "stackexchange", "brave"],
+    "academic": ["semanticscholar", "pubmed", "arxiv", "crossref", "wikipedia"],
+    "news": ["googlenews", "hackernews", "twitter", "reddit", "brave", "medium", "wikipedia", "stackexchange"],
+    "documentation": ["mdn", "github", "wikipedia", "devto"],
+    "comparison": ["hackernews", "reddit", "stackexchange", "twitter", "wikipedia", "brave"],
+    "tutorial": ["mdn", "devto", "stackexchange", "github", "youtube", "medium"],
+    "reference": ["wikipedia", "mdn", "github", "brave", "duckduckgo"],
+    "architecture": ["github", "hackernews", "medium", "wikipedia"],
+    "research": ["semanticscholar", "pubmed", "arxiv", "crossref", "github", "hackernews", "brave"],
+    "general": ["brave", "duckduckgo", "wikipedia", "hackernews", "reddit", "stackexchange"],
 }
-KEYWORD_SOURCES = [("youtube", "youtube"), ("video", "youtube"), ("tutorial", "youtube devto medium"), ("reddit", "reddit"), ("github", "github"), ("npm", "npm"), ("pypi", "pypi"), ("arxiv", "arxiv"), ("paper", "arxiv semanticscholar"), ("research", "semanticscholar pubmed arxiv")]
+KEYWORD_SOURCES = [
+    ("youtube", ["youtube"]),
+    ("video", ["youtube"]),
+    ("tutorial", ["youtube", "devto", "medium"]),
+    ("reddit", ["reddit"]),
+    ("github", ["github"]),
+    ("npm", ["npm"]),
+    ("pypi", ["pypi"]),
+    ("arxiv", ["arxiv"]),
+    ("paper", ["arxiv", "semanticscholar"]),
+    ("research", ["semanticscholar", "pubmed", "arxiv"]),
+]
 KEYWORD_BOOSTS = [("youtube", "youtube"), ("video", "youtube"), ("tutorial", "youtube"), ("reddit", "reddit"), ("github", "github"), ("npm", "npm"), ("pypi", "pypi"), ("arxiv", "arxiv")]
 # id, priority, most results, category
 SOURCES = [
@@ -116,7 +192,9 @@ CODE_LANGUAGES = {
     "sql": [r"(?is)\bSELECT\b.*\bFROM\b", r"(?i)\bCREATE\s+TABLE\b", r"(?i)\bINSERT\s+INTO\b", r"(?i)\bALTER\s+TABLE\b", r"(?i)\bWHERE\b.*=", r"(?i)\bJOIN\b"],
     "dockerfile": [r"(?m)^FROM\s+\w+", r"(?m)^RUN\s+", r"(?m)^CMD\s+", r"(?m)^COPY\s+", r"(?m)^WORKDIR\s+", r"(?m)^EXPOSE\s+\d+"],
 }
-SKIPPED_EXTENSIONS = ".pdf .zip .png .jpg .jpeg .gif .svg .mp4 .mp3 .woff .woff2 .ttf .ico".split()
+SKIPPED_EXTENSIONS = [
+    ".pdf", ".zip", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".mp4", ".mp3", ".woff", ".woff2", ".ttf", ".ico",
+]
 
 # Repositories of well-known projects, by the name that a query uses.
 KNOWN_REPOSITORIES = {

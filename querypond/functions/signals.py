@@ -35,7 +35,7 @@ def normal_url(d: Spark, url: str = "url") -> str:
 
 
 def trust(host: str = "host") -> str:
-    rules = [(within(host, hosts.split()), f"{score}") for score, hosts in K.TRUST_HOSTS.items()]
+    rules = [(within(host, hosts), f"{score}") for score, hosts in K.TRUST_HOSTS.items()]
     return first([(f"{host} IS NULL", "40"), *rules, (f"{host} LIKE '%.edu'", "95")], "40")
 
 

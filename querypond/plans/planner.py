@@ -24,7 +24,7 @@ def keyword_sources(text: Column) -> Column:
     found = F.array().cast("array<string>")
     for word, sources in K.KEYWORD_SOURCES:
         hit = F.contains(F.lower(text), F.lit(word))
-        found = F.concat(found, F.when(hit, F.array(*[F.lit(s) for s in sources.split()])).otherwise(F.array().cast("array<string>")))
+        found = F.concat(found, F.when(hit, F.array(*[F.lit(s) for s in sources])).otherwise(F.array().cast("array<string>")))
     return F.array_distinct(found)
 
 
@@ -38,8 +38,8 @@ def domain_hints(text: Column) -> Column:
 
 def sources(intent: Column, text: Column, limit: int = LIMIT) -> Column:
     """Named sources first (the last named in front), the intent's list, then the rest by priority, up to the limit."""
-    table = F.create_map(*[F.lit(x) if isinstance(x, str) else x for k, v in K.INTENT_SOURCES.items() for x in (k, F.array(*[F.lit(s) for s in v.split()]))])
-    own = F.coalesce(F.try_element_at(table, intent), F.array(*[F.lit(s) for s in K.INTENT_SOURCES["general"].split()]))
+    table = F.create_map(*[F.lit(x) if isinstance(x, str) else x for k, v in K.INTENT_SOURCES.items() for x in (k, F.array(*[F.lit(s) for s in v]))])
+    own = F.coalesce(F.try_element_at(table, intent), F.array(*[F.lit(s) for s in K.INTENT_SOURCES["general"]]))
     named = F.array_except(keyword_sources(text), own)
     rest = F.array(*[F.lit(s[0]) for s in sorted(K.SOURCES, key=lambda s: -s[1])])
     return F.slice(F.array_distinct(F.concat(F.reverse(named), own, rest)), 1, limit)

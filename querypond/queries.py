@@ -256,8 +256,8 @@ def query_plan(spark: SparkSession, d: str) -> DataFrame:
 
 
 _COUNTS = signals.news_counts(DUCK, "query")
-_OWN = " ".join(f"WHEN '{k}' THEN [{', '.join(repr(x) for x in v.split())}]" for k, v in K.INTENT_SOURCES.items())
-_NAMED = "list_concat(" * (len(K.KEYWORD_SOURCES) - 1) + "".join((f"CASE WHEN contains(lower(coalesce(query, '')), '{w}') THEN [{', '.join(repr(x) for x in v.split())}] ELSE []::VARCHAR[] END" + (")" if i else "") + (", " if i < len(K.KEYWORD_SOURCES) - 1 else "")) for i, (w, v) in enumerate(K.KEYWORD_SOURCES))
+_OWN = " ".join(f"WHEN '{k}' THEN [{', '.join(repr(x) for x in v)}]" for k, v in K.INTENT_SOURCES.items())
+_NAMED = "list_concat(" * (len(K.KEYWORD_SOURCES) - 1) + "".join((f"CASE WHEN contains(lower(coalesce(query, '')), '{w}') THEN [{', '.join(repr(x) for x in v)}] ELSE []::VARCHAR[] END" + (")" if i else "") + (", " if i < len(K.KEYWORD_SOURCES) - 1 else "")) for i, (w, v) in enumerate(K.KEYWORD_SOURCES))
 _REST = "[" + ", ".join(repr(s[0]) for s in sorted(K.SOURCES, key=lambda s: -s[1])) + "]"
 SQL["query_plan"] = f"""WITH p AS (SELECT entry_id, query, {signals.language(DUCK, 'query')} AS language, {signals.intent(DUCK, 'query')} AS intent, {signals.entity_domain(DUCK, 'query')} AS entity_domain, {', '.join(f'{c} AS n_{n}' for n, c in _COUNTS)} FROM {ASKED}),
 n AS (SELECT *, {signals.news_class([n for n, _ in _COUNTS])} AS news_class, CASE intent {_OWN} END AS own, {_NAMED} AS named FROM p),

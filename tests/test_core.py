@@ -153,10 +153,10 @@ def test_streams(spark, tmp_path):
 
 
 def test_json_source(spark):
-    body = '{"objects": [{"package": {"name": "left-pad", "links": {"npm": "https://npm/left-pad"}, "description": "pads", "date": "2024-01-01", "publisher": {"username": "me"}}}]}'
+    body = '{"objects": [{"package": {"name": "left-pad", "version": "1.3.0", "links": {"npm": "https://npm/left-pad"}, "description": "pads", "date": "2024-01-01", "publisher": {"username": "me"}}}]}'
     path, fields = registry.JSON_SOURCES["npm"]
     row = registry.from_json(spark.createDataFrame([(body,), ("{}",), (None,)], "body string"), "npm", path=path, fields=fields).collect()
-    assert [(r.id, r.url, r.snippet, r.provider, r.author) for r in row] == [("left-pad", "https://npm/left-pad", "pads", "npm", "me")]
+    assert [(r.id, r.url, r.snippet, r.provider, r.author) for r in row] == [("npm-left-pad@1.3.0", "https://npm/left-pad", "pads", "npm", "me")]
 
 
 @settings(max_examples=25, deadline=None)
