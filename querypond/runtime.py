@@ -19,6 +19,8 @@ def session(app: str = "querypond", master: str = "local[8]", **conf: str) -> Sp
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # a checkpoint's files go when nothing refers to it any more
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.shuffle.partitions", conf.pop("shuffle_partitions", "8"))
     )
     for key, value in conf.items():
