@@ -266,15 +266,6 @@ a AS (SELECT *, list_concat(list_concat(list_reverse(extra), own), {_REST}) AS e
 SELECT entry_id, language, intent, news_class, entity_domain, array_to_string(list_slice(list_filter(every, lambda x, i: list_position(every, x) = i), 1, 8), ',') AS sources FROM a"""
 
 
-def query_boosts(spark: SparkSession, d: str) -> DataFrame:
-    """Boosted sources of each query, one row a pair."""
-    pairs = _asked(spark, d).where("query IS NOT NULL").select("entry_id", "query", F.explode(F.array(*[F.lit(p) for p in sorted({p for _, p in K.KEYWORD_BOOSTS})])).alias("provider"))
-    return pairs.withColumn("boost", F.expr(signals.boost(SPARK, "query", "provider")).cast("double")).where("boost > 1").drop("query")
-
-
-SQL["query_boosts"] = f"SELECT * FROM (SELECT entry_id, provider, ({signals.boost(DUCK, 'query', 'provider')})::DOUBLE AS boost FROM {ASKED}, (VALUES {', '.join(f'({p!r})' for p in sorted({p for _, p in K.KEYWORD_BOOSTS}))}) v(provider) WHERE query IS NOT NULL) WHERE boost > 1"
-
-
 def domain_hints(spark: SparkSession, d: str) -> DataFrame:
     return _asked(spark, d).select("entry_id", F.explode(planner.domain_hints(F.col("query"))).alias("domain"))
 
@@ -498,7 +489,7 @@ SQL["usage_analytics"] = "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, co
 
 
 def watch_alerts(spark: SparkSession, d: str) -> DataFrame:
-    """Events of a user as results, watched since the middle of the user's own history."""
+    """Events of a user as results, watched since the user's first one."""
     e = table(spark, d, "events")
     subs = e.groupBy(F.col("user_id").alias("query")).agg(F.min("ts").alias("last_checked")).withColumn("threshold", F.lit(50.0))
     return state.watch_alerts(e.select(F.col("user_id").alias("query"), F.col("ts").alias("published"), F.col("value").alias("score"), "event_id"), subs).select("query", "event_id", "published")
@@ -552,7 +543,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 NAMES = (
-    "p4_found p4_instants p4_zones exact_dedup token_stats term_freq doc_freq bm25_topk final_scores reranked rrf url_dedup url_parts provider_cap spam_penalty query_plan query_boosts domain_hints text_flags detected_language cosine_topk cache_probe search_results research_sources judge_match retrieval_metrics "
+    "p4_found p4_instants p4_zones exact_dedup token_stats term_freq doc_freq bm25_topk final_scores reranked rrf url_dedup url_parts provider_cap spam_penalty query_plan domain_hints text_flags detected_language cosine_topk cache_probe search_results research_sources judge_match retrieval_metrics "
     "metrics_summary threshold_violations budget_truncate context_strings answer_confidence citation_list page_links articles code_blocks crawl greedy_dedup provider_results source_registry rate_windows value_histogram usage_analytics watch_alerts credibility_fold memory_fold circuit_fold best_sources order_revenue"
 ).split()
 

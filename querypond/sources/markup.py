@@ -61,11 +61,11 @@ def commoncrawl(payloads: DataFrame) -> DataFrame:
     return _form(lines.where(get("url").isNotNull()), "commoncrawl", id=get("digest"), url=get("url"), title=get("url"), snippet=get("mime"), published_at=day).dropDuplicates(["url"])
 
 
-def duckduckgo(payloads: DataFrame, depth: int = 3) -> DataFrame:
-    """Related topics, groups within groups flattened to a bounded depth; the title is what stands before a dash."""
+def duckduckgo(payloads: DataFrame) -> DataFrame:
+    """Related topics, groups within groups of any depth; the title is what stands before a dash."""
     level = payloads.select(F.explode(F.from_json(F.get_json_object("body", "$.RelatedTopics"), "array<string>")).alias("item"))
     leaves = None
-    for _ in range(depth):
+    while leaves is None or level.limit(1).count():
         here = level.where(F.get_json_object("item", "$.FirstURL").isNotNull())
         leaves = here if leaves is None else leaves.unionByName(here)
         level = level.select(F.explode(F.from_json(F.get_json_object("item", "$.Topics"), "array<string>")).alias("item"))
