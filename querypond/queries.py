@@ -517,6 +517,30 @@ def circuit_fold(spark: SparkSession, d: str) -> DataFrame:
     return state.fold(e, key="user_id", order=["ts", "event_id"], step=state.circuit, state_schema=_CIRCUIT)
 
 
+_EVENTS = "WITH RECURSIVE e AS (SELECT user_id, coalesce(value, 0.0)::DOUBLE AS v, event_type = 'error' AS failed, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), "
+_LAST = "FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1"
+SQL["credibility_fold"] = (
+    _EVENTS
+    + f"""f AS (SELECT user_id, n, greatest(0.0, least(100.0, v)) AS score, 1::BIGINT AS signals FROM e WHERE n = 1 UNION ALL
+ SELECT user_id, n, greatest(0.0, least(100.0, CASE WHEN s >= 0 THEN floor(s + 0.5) ELSE 0.0 END)), signals + 1 FROM (SELECT e.user_id, e.n, signals, CASE WHEN signals < 10 THEN score + v ELSE 0.95 * score + 0.05 * v END AS s FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1))
+SELECT user_id, score, signals {_LAST}"""
+)
+SQL["memory_fold"] = (
+    _EVENTS
+    + f"""f AS (SELECT user_id, n, 1::BIGINT AS used, floor(v * 100 + 0.5) / 100 AS mean FROM e WHERE n = 1 UNION ALL
+ SELECT e.user_id, e.n, used + 1, floor((mean * used + v) / (used + 1) * 100 + 0.5) / 100 FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
+SELECT user_id, used, mean {_LAST}"""
+)
+SQL["circuit_fold"] = (
+    _EVENTS
+    + f"""f AS (SELECT user_id, 0::BIGINT AS n, 0::BIGINT AS failures, 0::BIGINT AS opened_ms, 0::BIGINT AS wait_ms, 0::BIGINT AS blocked FROM e WHERE n = 1 UNION ALL
+ SELECT user_id, n, CASE WHEN shut THEN failures WHEN failed THEN failures + 1 ELSE 0 END, CASE WHEN shut THEN opened_ms WHEN failed AND failures >= 2 THEN ms ELSE 0 END,
+  CASE WHEN shut THEN wait_ms WHEN failed AND failures >= 2 THEN least(30000 * pow(2, failures - 2), 300000)::BIGINT ELSE 0 END, blocked + shut::INT
+ FROM (SELECT e.user_id, e.n, e.failed, e.ms, failures, opened_ms, wait_ms, blocked, failures >= 3 AND e.ms <= opened_ms + wait_ms AS shut FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1))
+SELECT user_id, failures, opened_ms, wait_ms, blocked {_LAST}"""
+)
+
+
 def best_sources(spark: SparkSession, d: str) -> DataFrame:
     """Hosts by the mean trust of their results, most used first among equals."""
     rows = results(spark, d).withColumn("host", F.expr(signals.host(SPARK))).withColumn("trust", F.expr(signals.trust()))

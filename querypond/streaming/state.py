@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -24,10 +25,9 @@ def credibility(state: dict | None, event: dict) -> dict:
 
 
 def memory(state: dict | None, event: dict) -> dict:
-    """Running mean, rounded to two digits at each step."""
-    used = (state["used"] if state else 0) + 1
-    mean = state["mean"] if state else 0.0
-    return {"used": used, "mean": round(mean + (float(event["score"]) - mean) / used, 2)}
+    """Running mean, rounded to two digits (halves up) at each step."""
+    used, mean = (state["used"], state["mean"]) if state else (0, 0.0)
+    return {"used": used + 1, "mean": math.floor((mean * used + float(event["score"])) / (used + 1) * 100 + 0.5) / 100}
 
 
 def tagged_memory(state: dict | None, event: dict) -> dict:
