@@ -444,6 +444,13 @@ def crawl(spark: SparkSession, d: str) -> DataFrame:
     return extract.crawl(docs.select("url"), links, same_host=False)
 
 
+_CLEAN = r"lower(regexp_replace(regexp_replace({x}, '[?#].*$', ''), '/+$', ''))"
+_FILES = " OR ".join(f"ends_with(lower(regexp_replace(t, '[?#].*$', '')), '{e}')" for e in K.SKIPPED_EXTENSIONS)
+SQL["crawl"] = rf"""WITH RECURSIVE d AS (SELECT DISTINCT url, markdown FROM extractions WHERE url IS NOT NULL), l AS (SELECT url AS s, unnest(regexp_extract_all(markdown, '\[[^\]]*\]\((https?://[^)]+)\)', 1)) AS t FROM d),
+ed AS (SELECT DISTINCT {_CLEAN.format(x="s")} AS source, {_CLEAN.format(x="t")} AS target FROM l WHERE NOT ({_FILES})), r AS (SELECT DISTINCT {_CLEAN.format(x="url")} AS url, 0 AS depth FROM d UNION SELECT target, depth + 1 FROM r JOIN ed ON r.url = ed.source WHERE depth < 3)
+SELECT url, min(depth)::INTEGER AS depth FROM r GROUP BY url"""
+
+
 def greedy_dedup(spark: SparkSession, d: str) -> DataFrame:
     return dedup.greedy(table(spark, d, "embeddings").select("vec_id", "label", "embedding"), group="label", position="vec_id", vector="embedding")
 
