@@ -109,7 +109,7 @@ def cached(queries: DataFrame, cache: DataFrame, *, distance: float = 0.08, now:
     alive = cache.where(F.expr(f"expires_at IS NULL OR expires_at > {now}"))
     exact = queries.join(alive.select("query_hash", F.col("entry_id").alias("hit")), "query_hash").groupBy("query_id").agg(F.min("hit").alias("entry_id")).withColumn("distance", F.lit(0.0))
     rest = vectors.units(queries.join(exact, "query_id", "left_anti"), "query_id", "embedding", "q")
-    pairs = vectors.against_all(rest, vectors.units(alive, "entry_id", "embedding", "e"), least=1 - distance).select("query_id", "entry_id", (1 - F.col("cosine")).alias("distance"))
+    pairs = vectors.within(rest, vectors.units(alive, "entry_id", "embedding", "e"), 1 - distance).select("query_id", "entry_id", (1 - F.col("cosine")).alias("distance"))
     return exact.unionByName(pairs.groupBy("query_id").agg(F.min_by("entry_id", F.struct("distance", "entry_id")).alias("entry_id"), F.min("distance").alias("distance")))
 
 

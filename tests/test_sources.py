@@ -2,6 +2,11 @@
 
 from datetime import datetime
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from querypond import queries as core
+from querypond.operators import vectors
 from querypond.plans import search
 from querypond.sources import markup
 
@@ -70,3 +75,18 @@ def test_cache(spark):
     assert {(r.query_id, r.entry_id) for r in search.cached(q, e).collect()} == {(10, 1), (11, 1)}
     later = spark.createDataFrame([(1, "h9", [1.0, 0.0], datetime(2031, 1, 1)), (9, "h9", None, datetime(2031, 1, 1))], e.schema)
     assert {(r.entry_id, r.query_hash) for r in search.upsert(e, later, key="entry_id", at="expires_at").collect()} == {(1, "h9"), (2, "h2"), (3, "h3"), (9, "h9")}
+
+
+def test_near_pairs_against_brute_force(spark, sf, monkeypatch):
+    """Every pair at or above the limit comes out with the very cosine of the plain sum, whatever the blocks; vectors of other lengths don't meet."""
+    rng = np.random.default_rng(7)
+    some = rng.normal(size=(60, 8))
+    rows = [(i, [float(x) for x in v[: 8 - 2 * (i % 3 == 0)]]) for i, v in enumerate(np.concatenate([some, some + rng.normal(size=(60, 8)) / 5, some]))]
+    e = vectors.units(spark.createDataFrame(rows, "entry_id bigint, embedding array<double>"), "entry_id", "embedding", "e").repartition(3)
+    q = e.where("entry_id % 4 = 0").select(F.col("entry_id").alias("query_id"), F.col("e").alias("q"))
+    want = {tuple(r) for r in vectors.against_all(q, e).where("cosine >= 0.92").select("query_id", "entry_id", "cosine").collect()}
+    monkeypatch.setattr(vectors, "QUERIES_PER_SCAN", 20)
+    monkeypatch.setattr(vectors, "COSINES", 100)
+    assert len(want) > 90 and {tuple(r) for r in vectors.within(q, e, 0.92).select("query_id", "entry_id", "cosine").collect()} == want
+    assert vectors.within(q.limit(0), e, 0.92).count() == 0 and vectors.within(q, e.limit(0), 0.92).count() == 0
+    assert "NestedLoopJoin" not in core.cache_probe(spark, sf)._jdf.queryExecution().toString()
