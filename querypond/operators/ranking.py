@@ -22,11 +22,25 @@ def tokens(text) -> F.Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def spread(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(doc, dl, term): one row a word; the length is taken before the words are spread. The outer generator is not preceded by a
-    filter that would tokenize the text once more."""
-    words = docs.select(F.col(id_col).alias("doc"), tokens(F.col(text)).alias("w"))
-    return words.select("doc", F.size("w").alias("dl"), F.explode_outer("w").alias("term")).where("term IS NOT NULL")
+def spread(docs: DataFrame, id_col: str, text: str, *keep: str) -> DataFrame:
+    """(doc, kept columns, dl, term): one row a word; the length is taken before the words are spread. The outer generator is not
+    preceded by a filter that would tokenize the text once more."""
+    words = docs.select(F.col(id_col).alias("doc"), *keep, tokens(F.col(text)).alias("w"))
+    return words.select("doc", *keep, F.size("w").alias("dl"), F.explode_outer("w").alias("term")).where("term IS NOT NULL")
+
+
+def asked_terms(queries: DataFrame, query_id: str = "query_id", query: str = "query") -> DataFrame:
+    """(query_id, term, times) of the queries' words."""
+    return queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+
+
+def inverse_frequency(n, df) -> F.Column:
+    return F.log((n - df + 0.5) / (df + 0.5) + 1.0)
+
+
+def saturated(weight, average) -> F.Column:
+    """What a term adds to the score of a document with tf and dl."""
+    return weight * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / average))
 
 
 def term_frequencies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -43,16 +57,39 @@ def bm25(queries: DataFrame, docs: DataFrame, *, query_id: str = "query_id", que
     """
     stats = docs.select(F.regexp_count(F.lower(text), F.lit("[a-z0-9]+")).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avg")).first()
     n, average = stats["n"], stats["avg"] or 1.0
-    wanted = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    wanted = asked_terms(queries, query_id, query)
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     hint = F.broadcast if few else (lambda df: df)
     postings = spread(docs, doc_id, text).join(hint(wanted.select("term").distinct()), "term", "left_semi").repartition("doc").groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     # The lengths, which a document with a term always has, are read here only so that both branches are one exchange.
     df = postings.groupBy("term").agg(F.count("*").alias("df"), F.min("dl").alias("least")).where("least > 0").select("term", "df")
-    idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
+    idf = inverse_frequency(F.lit(float(n)), F.col("df"))
     weighted = wanted.join(df, "term").select("query_id", "term", (idf * F.col("times")).alias("weight"))
-    part = F.col("weight") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / average))
-    return postings.join(hint(weighted), "term").groupBy("query_id", F.col("doc").alias("doc_id")).agg(F.sum(part).alias("raw"))
+    return postings.join(hint(weighted), "term").groupBy("query_id", F.col("doc").alias("doc_id")).agg(F.sum(saturated(F.col("weight"), average)).alias("raw"))
+
+
+def bm25_first(queries: DataFrame, groups: DataFrame, docs: DataFrame, k: int, *, group: str) -> DataFrame:
+    """(query_id, group, doc_id, raw, place): of documents (doc_id, group, text), the k best of each query in each of its groups
+    (query_id, group), with statistics over all documents.
+
+    Only scores that a query's groups ask for are made, and all but k of a task's stay where they are made. Statistics, frequencies and
+    scores read the same columns of the documents, so that these are one exchange where they come out of one by doc_id (which the
+    word counts then need no other for).
+    """
+    wanted = asked_terms(queries)
+    asked = wanted.join(groups.select("query_id", group).distinct(), "query_id")
+    few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    hint = F.broadcast if few else (lambda df: df)
+    # A group's length is never negative: the comparison only keeps the column.
+    length = F.regexp_count(F.lower("text"), F.lit("[a-z0-9]+"))
+    stats = docs.agg(F.count("*").cast("double").alias("n"), F.avg(length).alias("avg"), F.max(F.length(group)).alias("most")).where("coalesce(most, 0) >= 0").select("n", F.coalesce(F.nullif("avg", F.lit(0.0)), F.lit(1.0)).alias("avg"))
+    postings = spread(docs, "doc_id", "text", group).join(hint(wanted.select("term").distinct()), "term", "left_semi").groupBy("doc", group, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    df = postings.groupBy("term").agg(F.count("*").alias("df"), F.min("dl").alias("least")).where("least > 0").select("term", "df")
+    weighted = asked.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", group, "term", (inverse_frequency(F.col("n"), F.col("df")) * F.col("times")).alias("weight"), "avg")
+    # Documents without an id count in the statistics only; a filter before the exchange would make a second one of it.
+    scores = postings.join(hint(weighted), ["term", group]).groupBy("doc", "query_id", group).agg(F.sum(saturated(F.col("weight"), F.col("avg"))).alias("raw"), F.count("doc").alias("known")).where("known > 0")
+    order = Window.partitionBy("query_id", group).orderBy(F.col("raw").desc(), "doc")
+    return scores.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("query_id", group, F.col("doc").alias("doc_id"), "raw", "place")
 
 
 #: Scores that are kept of each wanted one before they are rounded: those that rounding makes equal are ranked by document.

@@ -13,6 +13,7 @@ from querypond.functions import signals
 from querypond.functions.dialect import SPARK
 from querypond.operators import dedup, ranking, vectors
 from querypond.plans import planner
+from querypond.runtime import cut
 
 
 def healthy_sources(sources: DataFrame, query: str = "query_id") -> DataFrame:
@@ -41,15 +42,18 @@ def candidates(queries: DataFrame, corpus: DataFrame, *, per_source: int = 3, mo
     corpus = corpus.select("result_id", "url", "title", "snippet", "provider", "author", "published_at")
     chosen = select_sources(queries)
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit("")))
-    scores = ranking.bm25(queries, corpus.select(F.col("result_id").alias("doc_id"), text.alias("text")))
-    matched = scores.withColumnRenamed("doc_id", "result_id").join(corpus, "result_id").join(chosen.select("query_id", "provider", "query", "intent", "news_class", "position"), ["query_id", "provider"])
-    order = [F.col("raw").desc(), F.col("result_id")]
-    capped = matched.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "provider").orderBy(*order))).where(F.col("_n") <= per_source)
+    docs = corpus.select(F.col("result_id").alias("doc_id"), "provider", text.alias("text"))
+    # A few rows a query and source; they are read more than once below, and the corpus' other columns only for them.
+    first = cut(ranking.bm25_first(queries, chosen, docs, per_source, group="provider").select("query_id", "provider", F.col("doc_id").alias("result_id"), F.col("place").alias("_n")))
+    ids = first.select("result_id").distinct()
+    few = ids.limit(ranking.BROADCAST_ROWS + 1).count() <= ranking.BROADCAST_ROWS
+    found = corpus.join(F.broadcast(ids) if few else ids, "result_id", "left_semi")
+    capped = first.join(found, ["result_id", "provider"]).join(chosen.select("query_id", "provider", "query", "intent", "news_class", "position"), ["query_id", "provider"])
     by = [F.col("position"), F.col("_n")]
     once = dedup.first_by(capped, [F.col("query_id"), F.col("url")], by)
     once = once.withColumn("_text", F.sha2(dedup.normal_text(text), 256))
     once = dedup.first_by(once, [F.col("query_id"), F.col("_text")], by)
-    return once.withColumn("input_pos", F.row_number().over(Window.partitionBy("query_id").orderBy(*by))).where(F.col("input_pos") <= most).drop("_n", "_text", "raw")
+    return cut(once.withColumn("input_pos", F.row_number().over(Window.partitionBy("query_id").orderBy(*by))).where(F.col("input_pos") <= most).drop("_n", "_text"))
 
 
 def batch_bm25(batch: DataFrame) -> DataFrame:

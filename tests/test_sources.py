@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from querypond import queries as core
-from querypond.operators import vectors
+from querypond.operators import ranking, vectors
 from querypond.plans import search
 from querypond.sources import markup
 
@@ -90,3 +90,19 @@ def test_near_pairs_against_brute_force(spark, sf, monkeypatch):
     assert len(want) > 90 and {tuple(r) for r in vectors.within(q, e, 0.92).select("query_id", "entry_id", "cosine").collect()} == want
     assert vectors.within(q.limit(0), e, 0.92).count() == 0 and vectors.within(q, e.limit(0), 0.92).count() == 0
     assert "NestedLoopJoin" not in core.cache_probe(spark, sf)._jdf.queryExecution().toString()
+
+
+def test_first_scores_of_each_source(spark):
+    """The scores of all documents, cut afterwards, have the same first rows; none but these move, and texts move once."""
+    rng = np.random.default_rng(3)
+    word = lambda n: " ".join(f"w{int(x * x * 12)}" for x in rng.random(n))
+    docs = spark.createDataFrame([(i if i else None, "abc"[i % 3] if i % 7 else None, word(i % 9) if i % 11 else None) for i in range(200)], "doc_id bigint, provider string, text string").dropDuplicates(["doc_id"])
+    queries = spark.createDataFrame([(1, "w0 w3 w3"), (2, "w1 w11 other"), (3, ""), (4, None)], "query_id bigint, query string")
+    groups = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (2, "d"), (3, "a")], "query_id bigint, provider string")
+    scores = ranking.bm25(queries, docs.na.fill("", ["text"])).join(docs.drop("text"), "doc_id").join(groups, ["query_id", "provider"])
+    want = sorted((r.query_id, r.provider, r["rank"], r.doc_id, round(r.raw, 9)) for r in ranking.top_per_query(scores.withColumn("raw", F.round("raw", 9)).withColumn("both", F.struct("query_id", "provider")), 4, "raw", query="both").collect())
+    found = ranking.bm25_first(queries, groups, docs.withColumn("text", F.coalesce("text", F.lit(""))), 4, group="provider")
+    got = sorted((r.query_id, r.provider, r.place, r.doc_id, round(r.raw, 9)) for r in found.collect())
+    assert len(want) > 9 and [g[:3] + g[4:] for g in got] == [w[:3] + w[4:] for w in want]
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("WindowGroupLimit") == 2 and "Exchange hashpartitioning(doc#" not in plan and plan.count("Exchange hashpartitioning(doc_id#") - plan.count("], Exchange hashpartitioning(doc_id#") == 1
