@@ -166,3 +166,18 @@ def test_zone_of_a_source_with_summer_time(spark):
     df = spark.createDataFrame(rows, "src string, stamp string, seen timestamp")
     got = {r.source: r.zone for r in timestamps.estimate_zones(df, source="src", stamp="stamp", ingested="seen").collect()}
     assert got["den"] == "America/Denver" and named["America/Phoenix"] == got["phx"]
+
+
+def test_zone_from_the_order_of_issue(spark):
+    """Stamps that were all loaded at once, weeks later, tell their zone by their numbered neighbours of known zone; lags alone do not."""
+    rows, start = [], datetime(2023, 5, 1)
+    for i in range(80):
+        at = start + timedelta(minutes=10 * i)
+        rows.append(("jp", i, (at + timedelta(hours=9)).strftime("%Y-%m-%d %H:%M:%S") if i % 2 else at.strftime("%Y-%m-%dT%H:%M:%SZ"), start + timedelta(days=20)))
+        rows.append(("utc", i, at.strftime("%Y-%m-%dT%H:%M:%SZ"), at + timedelta(seconds=30)))
+    rows.append(("jp", None, "2023-05-01 05:00:00", start + timedelta(days=20)))
+    df = spark.createDataFrame(rows, "src string, id bigint, stamp string, seen timestamp")
+    found = lambda **k: {r.source: r for r in timestamps.estimate_zones(df, source="src", stamp="stamp", ingested="seen", candidates=("UTC", "Asia/Tokyo", "America/New_York", "Etc/GMT+12", "Asia/Shanghai"), **k).collect()}
+    got = found(sequence="id")
+    assert set(got) == {"jp"} and got["jp"].zone == "Asia/Tokyo" and got["jp"].disorder == 0 and got["jp"].stamps == 41
+    assert found()["jp"].zone != "Asia/Tokyo"
