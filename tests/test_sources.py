@@ -106,3 +106,9 @@ def test_first_scores_of_each_source(spark):
     assert len(want) > 9 and [g[:3] + g[4:] for g in got] == [w[:3] + w[4:] for w in want]
     plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("WindowGroupLimit") == 2 and "Exchange hashpartitioning(doc#" not in plan and plan.count("Exchange hashpartitioning(doc_id#") - plan.count("], Exchange hashpartitioning(doc_id#") == 1
+
+
+def test_research_reads_the_corpus_once(spark, sf):
+    """Candidates are kept, so neither their scores nor the corpus are made again by the stages that use them."""
+    plan = core.research_sources(spark, sf)._jdf.queryExecution().toString()
+    assert "eval_items" in plan and "search_results" not in plan
