@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from querypond import constants as K
 from querypond.functions import signals
@@ -16,6 +21,8 @@ from querypond.runtime import parallelism
 K1, B = 1.5, 0.75
 #: Rows up to which a side is broadcast.
 BROADCAST_ROWS = 200_000
+#: Scores and what they are summed from that a Python worker holds at once.
+CELLS = 1_000_000
 
 
 def tokens(text) -> F.Column:
@@ -69,27 +76,130 @@ def bm25(queries: DataFrame, docs: DataFrame, *, query_id: str = "query_id", que
 
 
 def bm25_first(queries: DataFrame, groups: DataFrame, docs: DataFrame, k: int, *, group: str) -> DataFrame:
-    """(query_id, group, doc_id, raw, place): of documents (doc_id, group, text), the k best of each query in each of its groups
-    (query_id, group), with statistics over all documents.
+    """(query_id, group, doc_id, raw, place): of documents (doc_id, group, text), each once, the k best of each query in each of its
+    groups (query_id, group), with statistics over all documents.
 
-    Only scores that a query's groups ask for are made, and all but k of a task's stay where they are made. Statistics, frequencies and
-    scores read the same columns of the documents, so that these are one exchange where they come out of one by doc_id (which the
-    word counts then need no other for).
+    Only scores that a query's groups ask for are made, of some documents at once, and all but a task's first k stay where they are
+    made, so no task holds the words or scores of all its documents, whatever their number. Statistics, frequencies and scores read the
+    same columns of the documents, so that these are one exchange where they come out of one by doc_id. Queries with more words than
+    are broadcast at once are scored in further blocks, over the same documents.
     """
-    wanted = asked_terms(queries)
-    asked = wanted.join(groups.select("query_id", group).distinct(), "query_id")
-    few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    hint = F.broadcast if few else (lambda df: df)
-    # A group's length is never negative: the comparison only keeps the column.
+    wanted, groups = asked_terms(queries), groups.select("query_id", group).distinct()
+    size = wanted.count()
+    hint = F.broadcast if size <= BROADCAST_ROWS else (lambda df: df)
+    # A group's length is never negative: the comparisons only keep the column.
+    most, kept = F.max(F.length(group)).alias("most"), "coalesce(most, 0) >= 0"
     length = F.regexp_count(F.lower("text"), F.lit("[a-z0-9]+"))
-    stats = docs.agg(F.count("*").cast("double").alias("n"), F.avg(length).alias("avg"), F.max(F.length(group)).alias("most")).where("coalesce(most, 0) >= 0").select("n", F.coalesce(F.nullif("avg", F.lit(0.0)), F.lit(1.0)).alias("avg"))
-    postings = spread(docs, "doc_id", "text", group).join(hint(wanted.select("term").distinct()), "term", "left_semi").groupBy("doc", group, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"), F.min("dl").alias("least")).where("least > 0").select("term", "df")
-    weighted = asked.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", group, "term", (inverse_frequency(F.col("n"), F.col("df")) * F.col("times")).alias("weight"), "avg")
-    # Documents without an id count in the statistics only; a filter before the exchange would make a second one of it.
-    scores = postings.join(hint(weighted), ["term", group]).groupBy("doc", "query_id", group).agg(F.sum(saturated(F.col("weight"), F.col("avg"))).alias("raw"), F.count("doc").alias("known")).where("known > 0")
-    order = Window.partitionBy("query_id", group).orderBy(F.col("raw").desc(), "doc")
-    return scores.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("query_id", group, F.col("doc").alias("doc_id"), "raw", "place")
+    stats = docs.agg(F.count("*").cast("double").alias("n"), F.avg(length).alias("avg"), most).where(kept).select("n", F.coalesce(F.nullif("avg", F.lit(0.0)), F.lit(1.0)).alias("avg"))
+    words = docs.select(group, F.explode_outer(F.array_distinct(tokens(F.col("text")))).alias("term")).where("term IS NOT NULL")
+    df = words.join(hint(wanted.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), most).where(kept)
+    known = df.agg(F.collect_list(F.struct("term", "df")).alias("terms")).crossJoin(stats).select(F.struct("n", "avg", "terms").alias("known"))
+    # The first row of a task brings the statistics. Documents without an id count in these only; a filter before the exchange would
+    # make a second one of it.
+    is_first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    told = docs.select("doc_id", group, tokens(F.col("text")).alias("w")).crossJoin(F.broadcast(known)).select("doc_id", group, "w", F.when(is_first, F.col("known")).alias("known"))
+    schema = T.StructType([wanted.schema["query_id"], docs.schema[group], docs.schema["doc_id"], T.StructField("raw", T.DoubleType())])
+    blocks = max(1, -(-size // BROADCAST_ROWS))
+    some = lambda rows, b: (rows.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else rows).toArrow()
+    scores = reduce(DataFrame.unionByName, [told.mapInArrow(_first_scores(some(wanted, b), some(groups, b), k, schema.names), schema) for b in range(blocks)])
+    order = Window.partitionBy("query_id", group).orderBy(F.col("raw").desc(), "doc_id")
+    return scores.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
+def _at(values, among: pa.Array) -> np.ndarray:
+    """Positions of values in an array, -1 where they are not."""
+    return pc.fill_null(pc.index_in(values, value_set=among), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _first_scores(asked: pa.Table, groups: pa.Table, k: int, names: list[str]):
+    """The function from a task's batches (doc, group, words, statistics) to its first k (query, group, doc, raw) of each query and
+    group; asked: (query, term, times), groups: (query, group). Terms are summed in one order, so equal texts have equal scores."""
+    asked = asked.filter(pc.is_valid(asked.column(0)))
+    ids, terms = pc.unique(asked.column(0)), pc.unique(asked.column(1))
+    terms = terms.take(pc.sort_indices(terms))
+    query, term, times = _at(asked.column(0), ids), _at(asked.column(1), terms), asked.column(2).to_numpy()
+    by_term = np.argsort(term, kind="stable")
+    query, term, times = query[by_term], term[by_term], times[by_term]
+    asks: dict[object, list[int]] = {}
+    for name, q in zip(groups.column(1).to_pylist(), _at(groups.column(0), ids), strict=True):
+        if name is not None and q >= 0:
+            asks.setdefault(name, []).append(q)
+
+    def weights(name) -> tuple[np.ndarray, ...]:
+        """The queries of a group, and by term the places of those that have it, with their times."""
+        own = np.array(asks[name])
+        local = np.full(len(ids), -1)
+        local[own] = np.arange(len(own))
+        its = local[query] >= 0
+        return own, np.searchsorted(term[its], np.arange(len(terms) + 1)), local[query[its]], times[its]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, average, of, kind = None, 1.0, {}, None
+        for batch in batches:
+            if not batch.num_rows or not len(terms):
+                continue
+            if idf is None:
+                n, average, df = (batch.column(3).slice(0, 1).field(x) for x in ("n", "avg", "terms"))
+                n, average, df, met = n[0].as_py(), average[0].as_py(), df.flatten(), np.zeros(len(terms))
+                at = _at(df.field("term"), terms)
+                met[at[at >= 0]] = df.field("df").to_numpy()[at >= 0]
+                idf, kind = np.log((n - met + 0.5) / (met + 0.5) + 1.0), batch.column(1).type
+            batch = batch.filter(pc.is_valid(batch.column(0)))
+            dl = pc.fill_null(batch.column(2).value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            t = _at(batch.column(2).flatten(), terms)
+            cell, tf = np.unique((np.repeat(np.arange(len(dl)), dl) * len(terms) + t)[t >= 0], return_counts=True)
+            d, t = np.divmod(cell, len(terms))
+            part = idf[t] * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl[d] / average))
+            coded = batch.column(1).dictionary_encode()
+            group = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False)[d]
+            order = np.argsort(group, kind="stable")
+            edges = np.searchsorted(group[order], np.arange(len(coded.dictionary) + 1))
+            for g, name in enumerate(coded.dictionary.to_pylist()):
+                if name in asks:
+                    if name not in of:
+                        w = weights(name)
+                        of[name] = _Best(w, np.full(len(w[0]), np.finfo(float).tiny), batch.column(0).slice(0, 0))
+                    at = order[edges[g] : edges[g + 1]]
+                    of[name].add(d[at], t[at], part[at], batch.column(0), k)
+        for name, best in of.items():
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(best.own[best.query])), pa.array([name] * len(best.raw), kind), best.docs, pa.array(best.raw)], names=names)
+
+    return find
+
+
+class _Best:
+    """The first k documents of each query of a group so far; least: the score that a further one needs."""
+
+    def __init__(self, weights: tuple[np.ndarray, ...], least: np.ndarray, docs: pa.Array):
+        self.own, self.start, self.column, self.times = weights
+        self.least, self.docs, self.query, self.raw = least, docs, np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, d: np.ndarray, t: np.ndarray, part: np.ndarray, docs: pa.Array, k: int) -> None:
+        """Documents d, in order, with term t, which adds part to the score for each time that it is asked for."""
+        times = self.start[t + 1] - self.start[t]
+        d, t, part, times = (x[times > 0] for x in (d, t, part, times))
+        if not len(d):
+            return
+        own, row = np.unique(d, return_inverse=True)
+        chunk = (np.cumsum(np.bincount(row, times) + len(self.own)) // CELLS)[row]
+        for some in np.split(np.arange(len(d)), np.flatnonzero(np.diff(chunk)) + 1):
+            low, n = row[some[0]], row[some[-1]] - row[some[0]] + 1
+            each, ends = times[some], np.cumsum(times[some])
+            at = np.repeat(self.start[t[some]] - ends + each, each) + np.arange(ends[-1])
+            raw = np.bincount(self.column[at] * n + np.repeat(row[some] - low, each), self.times[at] * np.repeat(part[some], each), len(self.own) * n).reshape(-1, n)
+            if n > k:
+                self.least = np.maximum(self.least, np.partition(raw, n - k, axis=1)[:, n - k])
+            query, place = np.nonzero(raw >= self.least[:, None])
+            if len(query):
+                self._merge(query, raw[query, place], docs.take(pa.array(own[low + place])), k)
+
+    def _merge(self, query: np.ndarray, raw: np.ndarray, docs: pa.Array, k: int) -> None:
+        query, raw, docs = np.concatenate((self.query, query)), np.concatenate((self.raw, raw)), pa.concat_arrays([self.docs, docs])
+        order = np.lexsort((pc.rank(docs, sort_keys="ascending").to_numpy(), -raw, query))
+        place = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+        kept, full = order[place < k], order[place == k - 1]
+        self.least[query[full]] = raw[full]
+        self.query, self.raw, self.docs = query[kept], raw[kept], docs.take(pa.array(kept))
 
 
 #: Scores that are kept of each wanted one before they are rounded: those that rounding makes equal are ranked by document.

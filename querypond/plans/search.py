@@ -15,6 +15,9 @@ from querypond.operators import dedup, ranking, vectors
 from querypond.plans import planner
 from querypond.runtime import cut
 
+#: Ids up to which rows are picked by a list of them, which is applied at the scan, below the first row of each id.
+LISTED_IDS = 10_000
+
 
 def healthy_sources(sources: DataFrame, query: str = "query_id") -> DataFrame:
     """Rows (query, provider, healthy) without unhealthy sources; a query that has no other keeps all of its own."""
@@ -46,8 +49,9 @@ def candidates(queries: DataFrame, corpus: DataFrame, *, per_source: int = 3, mo
     # A few rows a query and source; they are read more than once below, and the corpus' other columns only for them.
     first = cut(ranking.bm25_first(queries, chosen, docs, per_source, group="provider").select("query_id", "provider", F.col("doc_id").alias("result_id"), F.col("place").alias("_n")))
     ids = first.select("result_id").distinct()
-    few = ids.limit(ranking.BROADCAST_ROWS + 1).count() <= ranking.BROADCAST_ROWS
-    found = corpus.join(F.broadcast(ids) if few else ids, "result_id", "left_semi")
+    listed = [r.result_id for r in ids.limit(LISTED_IDS + 1).collect()]
+    few = len(listed) > LISTED_IDS and ids.limit(ranking.BROADCAST_ROWS + 1).count() <= ranking.BROADCAST_ROWS
+    found = corpus.where(F.col("result_id").isin(listed)) if len(listed) <= LISTED_IDS else corpus.join(F.broadcast(ids) if few else ids, "result_id", "left_semi")
     capped = first.join(found, ["result_id", "provider"]).join(chosen.select("query_id", "provider", "query", "intent", "news_class", "position"), ["query_id", "provider"])
     by = [F.col("position"), F.col("_n")]
     once = dedup.first_by(capped, [F.col("query_id"), F.col("url")], by)

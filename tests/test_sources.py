@@ -1,12 +1,15 @@
 """Readers of payloads on small bodies, and the search pipeline on a handful of rows."""
 
+import re
+from collections import Counter
 from datetime import datetime
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from querypond import queries as core
-from querypond.operators import ranking, vectors
+from querypond.operators import dedup, ranking, vectors
 from querypond.plans import search
 from querypond.sources import markup
 
@@ -112,3 +115,40 @@ def test_research_reads_the_corpus_once(spark, sf):
     """Candidates are kept, so neither their scores nor the corpus are made again by the stages that use them."""
     plan = core.research_sources(spark, sf)._jdf.queryExecution().toString()
     assert "eval_items" in plan and "search_results" not in plan
+
+
+def test_first_scores_in_parts(spark, monkeypatch):
+    """Blocks of queries and parts of documents give the rows of a plain loop, equal scores by id; no task sums the scores of all its documents."""
+    rng = np.random.default_rng(5)
+    docs = [(int(i), "abc"[i % 3], " ".join(f"w{x}" for x in rng.integers(0, 5, i % 4))) for i in rng.permutation(300)]
+    asked, groups = {1: "w0 w3 w3", 2: "w1 w2", 3: "w4 other"}, [(1, "a"), (1, "b"), (2, "c"), (2, "d"), (3, "a"), (3, "c")]
+    n, average, df = len(docs), float(np.mean([len(x[2].split()) for x in docs])), Counter(w for x in docs for w in set(x[2].split()))
+    gain = lambda w, words: np.log((n - df[w] + 0.5) / (df[w] + 0.5) + 1) * words.count(w) * 2.5 / (words.count(w) + 1.5 * (0.25 + 0.75 * len(words) / average))
+    raw = lambda q, words: sum(gain(w, words) for w in asked[q].split() if w in words)
+    scores = {(q, g): sorted((-round(raw(q, t.split()), 9), i) for i, p, t in docs if p == g and raw(q, t.split())) for q, g in groups}
+    want = sorted((q, g, i, place) for (q, g), rows in scores.items() for place, (_, i) in enumerate(rows[:4], 1))
+    assert len(want) == 20 and any(a[0] == b[0] for rows in scores.values() for a, b in zip(rows[3:4], rows[4:5], strict=True))
+
+    monkeypatch.setattr(ranking, "CELLS", 40)
+    known = {"n": float(n), "avg": average, "terms": [{"term": w, "df": c} for w, c in df.items()]}
+    rows = [{"doc_id": i, "provider": p, "w": t.split(), "known": known if not k else None} for k, (i, p, t) in enumerate(docs)]
+    words = pa.table({"query_id": [q for q, t in asked.items() for _ in set(t.split())], "term": [w for t in asked.values() for w in sorted(set(t.split()))], "times": [t.split().count(w) for t in asked.values() for w in sorted(set(t.split()))]})
+    find = ranking._first_scores(words, pa.table({"query_id": [q for q, _ in groups], "provider": [g for _, g in groups]}), 4, ["query_id", "provider", "doc_id", "raw"])
+    assert sorted((r["query_id"], r["provider"], r["doc_id"]) for b in find(iter(pa.Table.from_pylist(rows).to_batches(37))) for r in b.to_pylist()) == sorted(w[:3] for w in want)
+
+    monkeypatch.setattr(ranking, "BROADCAST_ROWS", 4)
+    found = ranking.bm25_first(spark.createDataFrame(list(asked.items()), "query_id bigint, query string"), spark.createDataFrame(groups, "query_id bigint, provider string"), spark.createDataFrame(docs, "doc_id bigint, provider string, text string"), 4, group="provider")
+    assert sorted((r.query_id, r.provider, r.doc_id, r.place) for r in found.collect()) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") >= 2 and "Aggregate(keys=[doc" not in plan
+
+
+def test_candidates_are_picked_at_the_scan(spark, monkeypatch):
+    """Few candidates are picked below the first row of each id, so the corpus doesn't move for them; many by a join, with equal rows."""
+    queries, plans, keep = spark.createDataFrame([(1, "rust async runtime"), (2, "pasta with rust")], "query_id bigint, query string"), [], search.cut
+    monkeypatch.setattr(search, "cut", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), keep(df))[1])
+    once = dedup.first_by(corpus(spark), [F.col("result_id")], [F.col("url")])
+    few = search.candidates(queries, once).collect()
+    assert few and re.search(r"result_id#\d+L IN[^\n]*\n[^\n]*LogicalRDD", plans[-1])
+    monkeypatch.setattr(search, "LISTED_IDS", 0)
+    assert sorted(search.candidates(queries, once).collect()) == sorted(few)
